@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, orc_tokens, packing, scratch
+from . import chat, fingerprints, orc_tokens, packing, pii, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = orc_tokens.write(table(spark, sf_dir, "documents"), scratch.new_path(spark, "orc"))
     return orc_tokens.ids_crc32(orc_tokens.with_starts(orc_tokens.read(spark, path)))
@@ -38,6 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
+    "op4_pii": op4_pii,
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
 }
