@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, orc_tokens, packing, pii, scratch
+from . import chat, fingerprints, langid, orc_tokens, packing, pii, quality, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,23 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def _fold(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(_fold(5) != 0))
+    return langid.predict(docs.select("doc_id", "text", (_fold(5) == 0).alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), _fold(4) != 2)
+    return quality.score(docs.select("doc_id", "text", (_fold(4) == 2).alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = orc_tokens.write(table(spark, sf_dir, "documents"), scratch.new_path(spark, "orc"))
     return orc_tokens.ids_crc32(orc_tokens.with_starts(orc_tokens.read(spark, path)))
@@ -43,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
     "op4_pii": op4_pii,
+    "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
 }
