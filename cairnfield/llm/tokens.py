@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from . import text as T
 
-CACHE_IDS = 24_000_000
+CACHE_PRETOKENS = 600_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -78,7 +78,7 @@ def pretoken_starts(chunk: T.Chunk) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes columns of texts; the cache is emptied when it holds more than CACHE_IDS ids."""
+    """Encodes columns of texts; the cache is emptied when it holds more than CACHE_PRETOKENS."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -111,7 +111,7 @@ class Encoder:
         starts = pretoken_starts(chunk)
         if not len(starts):
             return Encoded(chunk.first, np.zeros(0, self.ids.dtype), np.zeros(chunk.rows + 1, np.int64))
-        if self.bounds[self.n] > CACHE_IDS:
+        if self.n > CACHE_PRETOKENS:
             self._clear()
         lengths = np.diff(np.append(starts, len(chunk.cps)))
         codes, distinct = pd.factorize(T.run_hashes(chunk.cps, starts, lengths))
