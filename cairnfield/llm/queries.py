@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chat, decontam, fingerprints, langid, orc_tokens, packing, pii, quality, scratch
+from . import bagminhash, chat, decontam, fingerprints, html_crf, langid, orc_tokens, packing, pii, quality, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text", (_fold(4) == 2).alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = orc_tokens.write(table(spark, sf_dir, "documents"), scratch.new_path(spark, "orc"))
     return orc_tokens.ids_crc32(orc_tokens.with_starts(orc_tokens.read(spark, path)))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
+    "op7_html_text": op7_html_text,
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
     "op10_bagminhash": op10_bagminhash,
