@@ -272,3 +272,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     classes = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return member.join(classes, "label").select("doc_id", "class_id", "class_size")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs`, all columns unchanged, of the least id of each class; of repeated rows of it one."""
+    classes = scratch.materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold), "classes")
+    first = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = first.select(F.col("doc_id").alias("_kept_id"))
+    kept = docs.join(ids, docs[id_col].cast("bigint") == ids["_kept_id"], "left_semi")
+    if first.filter("n > 1").limit(1).count():
+        return kept.dropDuplicates([id_col, text_col])
+    return kept

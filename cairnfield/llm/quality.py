@@ -241,3 +241,16 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return plain.mapInArrow(run, f"{kept_fields}score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns unchanged, whose texts reach the threshold; without a model all stay."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
