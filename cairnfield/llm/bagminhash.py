@@ -10,9 +10,10 @@ Points are made only up to the time at which all slots of the document are fille
 
 Signatures are banded; documents that share a band are candidates. Equal word
 sequences are one node from the start. In each bucket all nodes are compared with
-one of them, by the exact overlap of multisets; whoever is in one class by then
-needs no further comparison. Then all pairs of a bucket that are still in different
-classes are compared too, so no link between classes is lost.
+two of them, by the exact overlap of multisets; whoever is in one class by then
+needs no further comparison. Then all members of a bucket that are still in
+different classes are compared too, so no link between classes is lost: in small
+buckets pair by pair, in large ones in blocks inside of tasks.
 
 Defined results: null is the empty text; texts of fewer words than a shingle are
 one shingle; texts without words are alike only if they are equal; repeated rows
@@ -39,6 +40,8 @@ BANDS, BAND_ROWS = 40, 6
 SLOTS = BANDS * BAND_ROWS
 CHUNK_BYTES = 2_000_000
 FILTER_BITS = 1 << 26
+FEW_MEMBERS = 48
+BLOCK_MEMBERS, BLOCK_BYTES = 800, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,6 +248,70 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _forest(links: list[tuple[int, int]], label: list[int]) -> list[int]:
+    """Numbers of the links that join labels not yet joined by earlier ones."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(links):
+        ra, rb = find(label[a]), find(label[b])
+        if ra != rb:
+            root[ra] = rb
+            out.append(k)
+    return out
+
+
+def block_links(group: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
+    """Links between different labels in a pair of blocks (node, label, block, units): enough of them to join all that belong together."""
+    node, label, block = (group.column(c).to_numpy() for c in ("node", "label", "block"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("units")]
+    size = np.array(list(map(len, sets)))
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    every = np.concatenate([sets[k] for k in right]) if len(right) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    found: list[tuple[int, int]] = []
+    for a in left.tolist():
+        lo, hi = np.searchsorted(every, sets[a], "left"), np.searchsorted(every, sets[a], "right")
+        both = np.bincount(owner[T.ranges(lo, hi - lo)], minlength=len(right))
+        near = np.flatnonzero((both >= threshold * (size[a] + size[right] - both)) & (label[right] != label[a]) & (both > 0))
+        _, first = np.unique(label[right[near]], return_index=True)  # one link to each other label
+        found += [(a, int(right[k])) for k in near[first]]
+    kept = [found[k] for k in _forest(found, label.tolist())]
+    return [int(min(node[a], node[b])) for a, b in kept], [int(max(node[a], node[b])) for a, b in kept]
+
+
+def _links_in_blocks(many: DataFrame, labels: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes among the members of large buckets.
+
+    Buckets that share members are one group, whose members are dealt into blocks of
+    bounded size; a task compares two blocks by an index of their elements and
+    returns no more links than join different classes. No pair of members is a row.
+    """
+    first = many.groupBy("band").agg(F.min("node").alias("a"))
+    ties = many.select("band", F.col("node").alias("b")).join(first, "band").filter("a != b").select("a", "b").distinct()
+    group = components(ties).select("node", F.col("label").alias("cluster"))
+    member = group.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")).join(content, "node")
+    sizes = group.join(content.select("node", F.length("units").alias("bytes")), "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = sent.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "units")
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = block_links(table, threshold)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return keyed.groupBy("cluster", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size for every row."""
     plain = _plain(docs, id_col, text_col)
@@ -260,13 +327,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     content = scratch.materialise(contents(plain, wanted), "contents")
     links = scratch.materialise(verified(pairs, content, threshold), "links")
     labels = components(links)
-    # what a bucket holds of different classes is compared pair by pair
+    # what a bucket holds of different classes is compared: few members pair by pair, many in blocks
     placed = shared.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") < F.col("hi")).select("band")
+    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter(F.col("lo") < F.col("hi")).select("band", "members")
     open_buckets = scratch.materialise(placed.join(mixed, "band"), "open")
-    x, y = (open_buckets.select("band", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in ("a", "b"))
+    few = open_buckets.filter(F.col("members") <= FEW_MEMBERS)
+    x, y = (few.select("band", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in ("a", "b"))
     across = x.join(y, "band").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
-    more = scratch.materialise(verified(across.join(pairs, ["a", "b"], "left_anti"), content, threshold), "links")
+    few_links = verified(across.join(pairs, ["a", "b"], "left_anti"), content, threshold)
+    many = open_buckets.filter(F.col("members") > FEW_MEMBERS)
+    more = scratch.materialise(few_links.unionByName(_links_in_blocks(many, labels, content, threshold)) if many.limit(1).count() else few_links, "links")
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a != b").unionByName(more))
     member = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
