@@ -36,7 +36,9 @@ from . import text as T
 
 PASSAGE_WORDS, STRIDE = 48, 24
 SKETCH_ROWS, TOPICS = 256, 64
-COSINE, EXACT, PARAPHRASE, ANSWER = 0.15, 0.8, 0.6, 0.5
+FREQUENT = 0.05
+CHUNK_BYTES = 500_000
+COSINE, EXACT, PARAPHRASE, ANSWER = 0.18, 0.8, 0.6, 0.5
 MIN_WORDS = 5
 BLOCK_ITEMS, BLOCK_WORDS = 512, 60_000
 COUNT_BITS, COUNT_BLOCKS = 20, 16
@@ -86,7 +88,11 @@ class Space(NamedTuple):
     other: np.ndarray  # of any word, by the upper bits of its hash
     basis: np.ndarray  # terms x rank
     latent: np.ndarray  # rank x items
-    most: np.ndarray  # of each term, its largest share in an item
+    place: np.ndarray  # of each term among the frequent ones, or -1
+    table: np.ndarray  # weighted shares of the frequent terms in the items
+    bounds: np.ndarray  # of the postings of each other term
+    item: np.ndarray  # postings: items of a term
+    share: np.ndarray  # postings: weighted share of the term in the item
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -178,8 +184,14 @@ def fit(texts: DataFrame, items: Items) -> Space:
     rank = min(len(items.ids) + TOPICS, int((values > 1e-9 * values[0]).sum()))
     basis = right[:rank].T
     latent = basis.T @ queries.T
-    most = np.abs(basis @ latent).max(axis=1)
-    return Space(items, vocabulary, weight.astype(np.float32), other, basis.astype(np.float32), latent.astype(np.float32), most.astype(np.float32))
+    shares = basis @ latent * weight[:, None]
+    shares[np.abs(shares) < 1e-6] = 0
+    frequent = (shares != 0).mean(axis=1) > FREQUENT
+    place = np.where(frequent, np.cumsum(frequent) - 1, -1)
+    listed = np.where(frequent[:, None], 0, shares)
+    term, item = np.nonzero(listed)
+    bounds = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    return Space(items, vocabulary, weight.astype(np.float32), other, basis.astype(np.float32), latent.astype(np.float32), place, shares[frequent].astype(np.float32), bounds, item.astype(np.int64), listed[term, item])
 
 
 def common_subsequence(pattern: np.ndarray, text: np.ndarray) -> int:
@@ -197,9 +209,11 @@ def common_subsequence(pattern: np.ndarray, text: np.ndarray) -> int:
     return len(pattern) - row.bit_count()
 
 
-def judged(item: np.ndarray, words: np.ndarray) -> tuple[float, float]:
-    """Shares of the item and of its answer in the stretch of `words` that holds most of the item."""
+def judged(item: np.ndarray, words: np.ndarray, least: float) -> tuple[float, float]:
+    """Shares of the item and of its answer in the stretch of `words` that holds most of the item; (0, 0) if no stretch can hold `least`."""
     m = len(item)
+    if common_subsequence(item, words) < least * m:
+        return 0.0, 0.0
     width, step = m + max(4, m // 3), max(1, m // 6)
     best, at = 0, 0
     for start in range(0, max(1, len(words) - width + step), step):
@@ -212,45 +226,70 @@ def judged(item: np.ndarray, words: np.ndarray) -> tuple[float, float]:
     return best / m, common_subsequence(answer, words[at : at + width]) / len(answer)
 
 
-def _windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word and number of words of the overlapping passages of all rows."""
-    count = np.diff(bounds)
-    n = np.where(count > PASSAGE_WORDS, -(-(count - PASSAGE_WORDS) // STRIDE) + 1, np.minimum(count, 1))
-    row = np.repeat(np.arange(len(count)), n)
-    start = bounds[:-1][row] + T.ranges(np.zeros(len(n), np.int64), n) * STRIDE
-    start = np.minimum(start, np.maximum(bounds[1:][row] - PASSAGE_WORDS, bounds[:-1][row]))
-    return row, start, np.minimum(PASSAGE_WORDS, bounds[1:][row] - start)
+def _blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of the stretches of STRIDE words; a passage is two that follow each other in a row."""
+    n = -(-np.diff(bounds) // STRIDE)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, bounds[:-1][row] + T.ranges(np.zeros(len(n), np.int64), n) * STRIDE
 
 
-def search(chunk: T.Chunk, space: Space, *, cosine: float, exact: float, paraphrase: float) -> list[tuple[int, int, float, float, float]]:
-    """(row, item, cosine, share, answer share) of the leaks in a chunk, the best for each row and item."""
-    found = T.words(chunk)
-    row, start, size = _windows(found.bounds)
+def candidates(found: T.Words, space: Space, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(row, first word, last word, item, cosine) of the passages whose latent cosine with an item reaches `cosine`.
+
+    A linear count of terms bounds the cosine from above; only passages that reach
+    the bound are scored.
+    """
+    row, start = _blocks(found.bounds)
     if not len(row):
-        return []
+        return
+    n = len(space.items.ids)
     term = space.vocabulary.numbers(found.hashes)
-    known = term >= 0
-    weight = np.where(known, space.weight[term], space.other[(found.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]).astype(np.float64)
-    reach = np.where(known, weight * space.most[term], 0.0)
-    square = np.concatenate([[0.0], np.cumsum(weight**2)])
-    bound = np.concatenate([[0.0], np.cumsum(reach)])
-    norm = np.sqrt(square[start + size] - square[start])
-    possible = np.flatnonzero(bound[start + size] - bound[start] >= (cosine - 1e-6) * norm)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for k in possible.tolist():
-        a, b, r = int(start[k]), int(start[k] + size[k]), int(row[k])
-        inside, n = np.unique(term[a:b], return_counts=True)
+    known = np.flatnonzero(term >= 0)
+    weight = space.other[(found.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.float64)
+    weight[known] = space.weight[term[known]]
+    block = np.searchsorted(start, np.arange(len(term)), "right") - 1
+    square = np.bincount(block, weight**2, len(start))
+    t, at = term[known], block[known]
+    place = space.place[t]
+    often = np.flatnonzero(place >= 0)
+    width = len(space.table)
+    times = np.bincount(at[often] * width + place[often], minlength=len(start) * width).reshape(len(start), width)
+    dense = times.astype(np.float32) @ space.table
+    count = space.bounds[t + 1] - space.bounds[t]
+    posting = T.ranges(space.bounds[t], count)
+    dense += np.bincount(np.repeat(at, count) * n + space.item[posting], space.share[posting], len(start) * n).reshape(len(start), n)
+    follows = np.flatnonzero(np.append(row[1:] == row[:-1], False))
+    dense[follows] += dense[follows + 1]
+    whole = square.copy()
+    whole[follows] += square[follows + 1]
+    alone = np.append(True, row[1:] != row[:-1])
+    alone[follows] = True
+    dense[~alone] = -np.inf  # the last stretch of a row stands in the passage before it
+    limit = (cosine - 1e-4) * np.sqrt(whole)
+    ends = np.append(start[1:], len(term))
+    for k in np.flatnonzero(dense.max(axis=1) >= limit).tolist():
+        a = int(start[k])
+        b = int(ends[k + 1] if k + 1 < len(row) and row[k + 1] == row[k] else ends[k])
+        inside, times = np.unique(term[a:b], return_counts=True)
         if inside[0] < 0:
-            inside, n = inside[1:], n[1:]
-        likeness = (np.sqrt(n) * space.weight[inside]) @ space.basis[inside] @ space.latent / norm[k]
+            inside, times = inside[1:], times[1:]
+        likeness = (np.sqrt(times) * space.weight[inside]) @ space.basis[inside] @ space.latent / np.sqrt(whole[k])
         for item in np.flatnonzero(likeness >= cosine).tolist():
-            words = space.items.words[item]
-            lo, hi = max(int(found.bounds[r]), a - len(words)), min(int(found.bounds[r + 1]), b + len(words))
-            if best.get((r, item), (0.0, 0.0, 0.0))[1] >= 1:
-                continue
-            share, answer = judged(words, found.hashes[lo:hi])
-            if share >= exact or share >= paraphrase and answer >= ANSWER:
-                best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (float(likeness[item]), share, answer), key=lambda x: x[1])
+            yield int(row[k]), a, b, item, float(likeness[item])
+
+
+def search(chunk: T.Chunk, space: Space, *, cosine: float, exact: float, paraphrase: float) -> list[tuple[int, int, float, float, float]]:
+    """(row, item, cosine, share, answer share) of the leaks in a chunk, the best for each row and item."""
+    found = T.words(chunk)
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for r, a, b, item, likeness in candidates(found, space, cosine):
+        words = space.items.words[item]
+        if best.get((r, item), (0.0, 0.0, 0.0))[1] >= 1:
+            continue
+        lo, hi = max(int(found.bounds[r]), a - len(words)), min(int(found.bounds[r + 1]), b + len(words))
+        share, answer = judged(words, found.hashes[lo:hi], min(exact, paraphrase))
+        if share >= exact or share >= paraphrase and answer >= ANSWER:
+            best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (likeness, share, answer), key=lambda x: x[1])
     return [(r, item, *x) for (r, item), x in sorted(best.items())]
 
 
@@ -266,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             space = shared.value
             for batch in batches:
-                for chunk in T.chunks(batch.column(1)):
+                for chunk in T.chunks(batch.column(1), CHUNK_BYTES):
                     found = search(chunk, space, cosine=cosine, exact=exact, paraphrase=paraphrase)
                     if found:
                         ids = batch.column(0)
@@ -287,7 +326,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             space = shared.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for chunk in T.chunks(batch.column(at)):
+                for chunk in T.chunks(batch.column(at), CHUNK_BYTES):
                     for x in search(chunk, space, cosine=cosine, exact=exact, paraphrase=paraphrase):
                         clean[chunk.first + x[0]] = False
                 yield batch.filter(pa.array(clean))

@@ -111,36 +111,34 @@ def chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[Chunk]:
         first = last
 
 
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+
+
 @cache
-def _powers(size: int) -> np.ndarray:
-    out = np.empty(size, np.uint64)
-    value = 1
-    for i in range(size):
-        out[i] = value
-        value = value * _MULTIPLIER % 2**64
+def _powers(size: int, base: int) -> np.ndarray:
+    """base ** i modulo 2**64, by doubling."""
+    out = np.ones(size, np.uint64)
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
+        done += step
     return out
 
 
 def run_hashes(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs `cps[starts[i]:starts[i] + lengths[i]]`, which don't overlap."""
+    """64-bit hashes of the runs `cps[starts[i]:starts[i] + lengths[i]]`: polynomials, as differences of one cumulative sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    longest = int(lengths.max())
-    powers = _powers(1 << max(8, int(longest).bit_length()))
-    ends = starts + lengths
-    position = np.arange(len(cps), dtype=np.int64)
-    owner = np.zeros(len(cps) + 1, np.int64)
-    owner[starts] = starts
-    np.maximum.accumulate(owner, out=owner)
-    position -= owner[:-1]
-    np.minimum(position, len(powers) - 1, out=position)
+    size = 1 << max(20, len(cps).bit_length())
     weighted = cps.astype(np.uint64)
     weighted += np.uint64(1)
-    weighted *= powers[position]
-    # cumulative sums wrap modulo 2**64, and so do their differences
+    weighted *= _powers(size, _MULTIPLIER)[: len(cps)]
+    # sums wrap modulo 2**64, and so do their differences; the start's power is divided out
     total = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum(weighted, out=total[1:])
-    return mix64((total[ends] - total[starts]) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    found = (total[starts + lengths] - total[starts]) * _powers(size, _INVERSE)[starts]
+    return mix64(found ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
 class Words(NamedTuple):
