@@ -38,7 +38,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 40, 6
 SLOTS = BANDS * BAND_ROWS
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 FILTER_BITS = 1 << 26
 FEW_MEMBERS = 48
 BLOCK_MEMBERS, BLOCK_BYTES = 800, 16 << 20
@@ -60,7 +60,7 @@ def _points(seed: np.ndarray, width: np.ndarray, lower: np.ndarray, weight: np.n
     np.minimum(block, 4096, out=block)
     for size in np.unique(block).tolist():
         members = np.flatnonzero(block == size)
-        step = max(1, 1_000_000 // size)
+        step = max(1, 300_000 // size)
         for k in range(0, len(members), step):
             at = members[k : k + step]
             base, draw = np.zeros(len(at)), 0

@@ -26,11 +26,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/cairnfield/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, tag: str, batch_rows: int = 2000) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    Arrow batches are kept small meanwhile, as whole documents stand in their rows.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
