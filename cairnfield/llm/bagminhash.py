@@ -230,21 +230,19 @@ def verified(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component of the links (a, b).
 
-    Every node takes the least label of its neighbours, then the label of its
-    label, until nothing changes; each round is written, and only a count reaches
-    the driver.
+    In each round every node moves to its least neighbour or stays, and the links
+    are drawn between the places reached; equal links, and those inside of a place,
+    go. A star is gone after one round, and as nodes are hashes, any graph shrinks by a
+    share in each. Rounds are written, and only a count reaches the driver.
     """
-    edges = scratch.materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label")
-    labels = scratch.materialise(labels, "labels")
+    edges = scratch.materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
-        moved = hooked.join(jump, "to").select("node", F.least("to", "beyond").alias("label"), (F.least("to", "beyond") < F.col("label")).alias("changed"))
-        moved = scratch.materialise(moved, "labels")
-        labels = moved.select("node", "label")
-        if not moved.filter("changed").limit(1).count():
+        step = edges.groupBy("a").agg(F.min("b").alias("to"))
+        labels = scratch.materialise(labels.join(step.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        ends = edges.join(step, "a").select(F.col("to").alias("x"), "b").join(step.select(F.col("a").alias("b"), F.col("to").alias("below")), "b", "left").select("x", F.coalesce("below", "b").alias("y"))
+        edges = scratch.materialise(ends.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
 
 
