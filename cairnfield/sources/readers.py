@@ -24,9 +24,10 @@ def _line_order() -> list[Column]:
 
 def read_json_lines(spark: SparkSession, paths: list[str] | str, ddl: str) -> DataFrame:
     """Rows of JSON lines with a fixed schema, their source file and place; blank and broken lines are dropped."""
-    rows = spark.read.schema(f"{ddl}, {_CORRUPT} STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).json(paths)
-    placed = rows.withColumn("_source", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "")).withColumn("_line", F.monotonically_increasing_id())
-    return placed.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    lines = spark.read.text(paths).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "").alias("_source")).withColumn("_line", F.monotonically_increasing_id())
+    parsed = F.from_json("value", S.struct(f"{ddl}, {_CORRUPT} STRING"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    rows = lines.filter(T.trim(F.col("value")) != "").select(parsed.alias("_r"), "_source", "_line")
+    return rows.filter("_r is not null and _r._corrupt is null").select("_r.*", "_source", "_line").drop(_CORRUPT)
 
 
 def read_existing(spark: SparkSession, paths: list[str], ddl: str) -> DataFrame:
