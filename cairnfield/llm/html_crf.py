@@ -371,7 +371,7 @@ def _list(r: random.Random, n: int, kind: str = "ul") -> str:
     return f"<{kind}>" + "".join(f'<li><a href="/{k}">{_words(r, 1, 3)}</a></li>' for k in range(n)) + f"</{kind}>"
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
     """Pages in many layouts whose main text carries `data-main`."""
     r = random.Random(seed)
     pages = []
@@ -393,7 +393,8 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
             return f"<p>{text}</p>"
 
         body: list[str] = []
-        for _ in range(r.randint(1, 14)):
+        bare = r.random() < 0.15  # little but the article itself
+        for _ in range(r.randint(1, 3) if bare else r.randint(1, 14)):
             kind = r.random()
             if kind < 0.72:
                 body.append(paragraph())
@@ -413,7 +414,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
                 body.append(f'<div data-main="0"{" class=" + r.choice(NAMES["advert"].split()) if r.random() < 0.8 else ""}>{_sentence(r, r.randint(3, 10))}</div>')
             else:
                 body.append('<div data-main="0">' + box(r.choice(("aside", "div")), r.choice(("side", "social", "notice", "advert")), _sentence(r, r.randint(2, 9)) + (_list(r, 3) if r.random() < 0.5 else "")) + "</div>")
-        title = f"<h1>{_words(r, 2, 10)}</h1>" if r.random() < 0.85 else ""
+        title = f"<h1>{_words(r, 2, 10)}</h1>" if r.random() < (0.5 if bare else 0.85) else ""
         if title and r.random() < 0.15:
             title = f"<header>{title}</header>"
         inside = ""
@@ -443,6 +444,8 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
             after.append(f"<form{' class=newsletter' if r.random() < 0.5 else ''}><label>{_words(r, 1, 4)}</label><input name=q><button>{_words(r, 1, 1)}</button></form>")
         if r.random() < 0.2:
             after.append(box("div", "social", _list(r, 3)))
+        if bare:
+            before, after = before[:1] if r.random() < 0.3 else [], after[:1]
         r.shuffle(after)
         if r.random() < 0.3 and after:  # comments and others inside the article's frame
             content = content[: content.rindex("</")] + f'<div data-main="0">{after.pop()}</div>' + content[content.rindex("</") :]
