@@ -75,13 +75,13 @@ def resume_todo(spark, sf_dir):
     return lookups.to_do(V.table(spark, sf_dir, "customer").select("c_custkey"), V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
 
 
-@query("SELECT p_partkey, shard FROM (SELECT p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) % 4 AS shard FROM part) WHERE shard IN (1, 3)")
+@query("SELECT p_partkey, shard FROM (SELECT p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) % 4 AS shard FROM part)")
 def shard_tiles(spark, sf_dir):
     """W4, F29."""
     part = V.table(spark, sf_dir, "part").select("p_partkey", "p_name")
     order = [F.col("p_name"), F.col("p_partkey")]
     one = lambda i: lookups.shard(part, i, 4, order).select("p_partkey", F.lit(i).cast("bigint").alias("shard"))
-    return one(1).unionByName(one(3))
+    return one(0).unionByName(one(1)).unionByName(one(2)).unionByName(one(3))
 
 
 _FNV = """list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(s, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, c: ((xor(h, c)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"""
@@ -177,13 +177,13 @@ def tool_op_jaccard(spark, sf_dir):
     return n.join(share("strict"), "p_brand").join(share("loose"), "p_brand")
 
 
-@query(f"""WITH k AS (SELECT p_brand, p_partkey, p_size, {_TOOL} AS name FROM part WHERE p_size <= 10), t AS (SELECT p_brand, p_partkey, name, list_distinct({_tokens_sql('name')}) AS w FROM k),
+@query(f"""WITH k AS (SELECT p_brand, p_partkey, p_size, {_TOOL} AS name FROM part), t AS (SELECT p_brand, p_partkey, name, list_distinct({_tokens_sql('name')}) AS w FROM k),
  x AS (SELECT a.p_partkey, b.name AS best_op, len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) AS s, b.p_partkey AS pos FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
  m AS (SELECT * FROM x WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, pos) = 1)
 SELECT t.p_partkey AS tool_pos, t.name AS tool, best_op, coalesce(round(s, 2), 0)::DOUBLE AS overlap FROM t LEFT JOIN m USING (p_partkey) WHERE p_partkey % 2 = 0""")
 def nearest_op(spark, sf_dir):
     """J15, F22."""
-    rows = V.table(spark, sf_dir, "part").filter("p_size <= 10").select("p_brand", "p_partkey", F.expr(_TOOL).alias("name"))
+    rows = V.table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.expr(_TOOL).alias("name"))
     tools = rows.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("host"), F.col("p_partkey").alias("tool_pos"), F.col("name").alias("tool"))
     ops = rows.filter("p_partkey % 2 = 1").select(F.col("p_brand").alias("host"), F.col("p_partkey").alias("op_pos"), F.col("name").alias("op"))
     return consistency.nearest_operations(tools, ops).select("tool_pos", "tool", "best_op", "overlap")
@@ -338,11 +338,11 @@ def hourly_hits(spark, sf_dir):
     return stream_hits.hourly(rows.select(F.col("at").alias("ts"), "path")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "artifact", "n")
 
 
-@query("""SELECT conv_id, turn, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM conversations c JOIN (SELECT item_id, lower(regexp_extract(text, '^\\S+ \\S+', 0)) AS token FROM benchmark WHERE item_id < 40) b
+@query("""SELECT conv_id, turn, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM conversations c JOIN (SELECT item_id, lower(regexp_extract(text, '^\\S+ \\S+', 0)) AS token FROM benchmark) b
  ON contains(trim(regexp_replace(lower(c.text), '[\\s_-]+', ' ', 'g')), trim(regexp_replace(token, '[\\s_-]+', ' ', 'g'))) WHERE token <> '' GROUP BY ALL""")
 def canary_in_answer(spark, sf_dir):
-    """Openings of the first forty benchmark items (a fixed list of tokens) in conversations."""
-    items = V.table(spark, sf_dir, "benchmark").filter("item_id < 40").select("item_id", F.lower(F.regexp_extract("text", r"^\S+ \S+", 0)).alias("token")).filter("token <> ''")
+    """Openings of benchmark items (a short list of tokens) in conversations."""
+    items = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^\S+ \S+", 0)).alias("token")).filter("token <> ''")
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s_-]+", " "))
     tokens = items.agg(F.array_sort(F.collect_list(F.struct("item_id", norm(F.col("token")).alias("t")))).alias("tokens")).withColumn("k", F.lit(1))
     rows = V.table(spark, sf_dir, "conversations").withColumn("k", F.lit(1)).join(F.broadcast(tokens), "k")
