@@ -135,18 +135,23 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands of every whole text."""
+    """doc_id, node, bands of every whole text; in each task only the first row of a node carries its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for chunk in T.chunks(batch.column(1), CHUNK_BYTES):
                 found = T.words(chunk)
                 hashes, bounds = T.shingles(found.hashes, found.bounds, SHINGLE_WORDS)
                 row = np.repeat(np.arange(chunk.rows), np.diff(bounds))
                 keys = band_keys(signatures(*multiset(hashes, row), chunk.rows))
+                node = nodes(chunk, found).view(np.int64)
                 some = np.diff(bounds) > 0
+                for k, x in enumerate(node.tolist()):
+                    some[k] &= x not in seen
+                    seen.add(x)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(nodes(chunk, found).view(np.int64)), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(node), lists], names=["doc_id", "node", "bands"])
 
     return docs.mapInArrow(run, "doc_id bigint, node bigint, bands array<bigint>")
 
@@ -314,8 +319,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, class_id, class_size for every row."""
     plain = _plain(docs, id_col, text_col)
     signed = scratch.materialise(sign(plain), "bands")
-    # copies of a word sequence are one node, and meet before the shuffle
-    bands = signed.select(F.explode("bands").alias("band"), "node").distinct()
+    # copies of a word sequence are one node, and a task sends its bands once; one shuffle by band serves all that follows
+    bands = signed.select(F.explode("bands").alias("band"), "node").repartition(scratch.partitions(docs.sparkSession), "band").dropDuplicates(["band", "node"])
     leaders = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last"))
     shared = scratch.materialise(bands.join(leaders, "band"), "buckets")
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("other")).filter(F.col("node") != F.col("other"))
