@@ -11,6 +11,7 @@ from . import bagminhash, chat, decontam, fingerprints, html_crf, langid, orc_to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

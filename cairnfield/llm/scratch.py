@@ -27,21 +27,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 
 
-def materialise(df: DataFrame, tag: str, batch_rows: int = 2000) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, as whole documents stand in them; smaller ones stay."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
-    Arrow batches are kept small meanwhile, as whole documents stand in their rows.
-    """
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, tag)
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

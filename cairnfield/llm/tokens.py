@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from . import text as T
 
-CACHE_PRETOKENS = 600_000
+CACHE_PRETOKENS = 300_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
