@@ -56,9 +56,8 @@ def in_answer(answer: Column, tokens: Column) -> Column:
 
 def score_trials(manifest: DataFrame, trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS) -> DataFrame:
     """One row for each trial: its cell, the kinds of documents fetched in its window, reported and quoted."""
-    keyed = trials.withColumn("_id", F.monotonically_increasing_id())
-    keyed = keyed.withColumn("_id", F.xxhash64("agent", "domain", "task_id", "start_ms", "end_ms", F.coalesce("answer", F.lit(""))))
-    found = window_hits(keyed.select("_id", "domain", "start_ms", "end_ms"), hits.withColumn("artifact", artifact_of(F.col("path"))).filter(F.col("artifact").isNotNull()), slack_ms=slack_ms)
+    keyed = trials.withColumn("_id", F.xxhash64("agent", "domain", "task_id", "start_ms", "end_ms", F.coalesce("answer", F.lit(""))))
+    found = window_hits(keyed.select("_id", "domain", "start_ms", "end_ms").distinct(), hits.withColumn("artifact", artifact_of(F.col("path"))).filter(F.col("artifact").isNotNull()), slack_ms=slack_ms)
     fetched = found.groupBy("_id").agg(*[F.bool_or(F.col("artifact") == k).alias(f"fetched_{k}") for k in S.ARTIFACT_PATHS], F.count("*").alias("n_hits"))
     paths = [p for group in S.ARTIFACT_PATHS.values() for p in group]
     host = lambda u: T.hostname(u)
@@ -136,8 +135,7 @@ def clustered_interval(rows: DataFrame, cluster: str, value: str, pos: str, *, g
 
 def hit_context(trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS) -> DataFrame:
     """Hits on documents by user-agent product, inside any window and outside of all."""
-    keyed = hits.filter(artifact_of(F.col("path")).isNotNull()).withColumn("_hit", F.monotonically_increasing_id())
-    keyed = keyed.withColumn("_hit", F.xxhash64("host", "ts", "path", "ua", "status"))
+    keyed = hits.filter(artifact_of(F.col("path")).isNotNull()).withColumn("_hit", F.xxhash64("host", "ts", "path", "ua", "status"))
     inside = window_hits(trials.select("domain", "start_ms", "end_ms"), keyed, slack_ms=slack_ms).select("_hit").distinct()
     marked = keyed.join(inside.withColumn("_in", F.lit(True)), "_hit", "left")
     return marked.groupBy(F.coalesce("_in", F.lit(False)).alias("in_window"), H.ua_product(F.col("ua")).alias("product")).agg(F.count("*").alias("n"))

@@ -182,17 +182,16 @@ def hygiene(valid_cards: DataFrame, follow_ups: DataFrame) -> DataFrame:
 # findings
 
 
-def on_platform(results: DataFrame) -> Column:
+def on_platform() -> Column:
     """A storefront of the platform, by its fingerprint or an issuer that its hygiene names."""
     issuers = F.exists(F.coalesce("hygiene", F.array()), lambda h: F.exists(F.coalesce(h["authorization_servers"], F.array()), lambda a: F.coalesce(a["issuer"].rlike(PLATFORM_ISSUER), F.lit(False))))
-    del results
     return (F.coalesce(F.col("fingerprint.primary"), F.lit("")) == "shopify") | F.coalesce(F.array_contains("fingerprint.platforms", "shopify"), F.lit(False)) | F.coalesce(issuers, F.lit(False))
 
 
 def hygiene_findings(results: DataFrame) -> DataFrame:
     """host, rank, platform, finding, evidence, notes from the hygiene entries of each host."""
     sources = F.create_map(*[F.lit(x) for _, path, artifact, *_ in S.PROBE_SPECS for x in (artifact, path)])
-    rows = results.select("host", "rank", on_platform(results).alias("platform"), F.explode("hygiene").alias("h"))
+    rows = results.select("host", "rank", on_platform().alias("platform"), F.explode("hygiene").alias("h"))
     src = F.concat(F.lit("https://"), "host", F.coalesce(F.try_element_at(sources, F.col("h.source")), F.concat(F.lit("/"), F.col("h.source"))))
     rows = rows.withColumn("src", src)
     has = lambda note: F.array_contains("h.notes", note)
@@ -221,7 +220,7 @@ def hygiene_findings(results: DataFrame) -> DataFrame:
 def findings(results: DataFrame, handshakes: DataFrame) -> DataFrame:
     """All findings in order of rank (null last), host and finding, each once; those of platform hosts are one row."""
     found = hygiene_findings(results)
-    context = dedupe(results.withColumn("_pos", F.monotonically_increasing_id()), ["host"], [F.desc("_pos")]).select("host", F.col("rank").alias("_rank"), on_platform(results).alias("platform"))
+    context = dedupe(results.withColumn("_pos", F.monotonically_increasing_id()), ["host"], [F.desc("_pos")]).select("host", F.col("rank").alias("_rank"), on_platform().alias("platform"))
     info = F.when(F.col("result.server_info").isNotNull(), F.concat(F.coalesce("result.server_info.name", F.lit("?")), F.lit("@"), F.coalesce("result.server_info.version", F.lit("?")))).otherwise("serverInfo absent")
     session = F.when(F.col("mcp_session_id_present"), ", session id issued").otherwise("")
     open_ = handshakes.filter("classification = 'no_challenge_200'").join(context, "host", "left").select(
