@@ -1,18 +1,22 @@
 """Personal data: base patterns, and terms that disclose a protected entity by corpus co-occurrence.
 
-Protected entities are the values that the base patterns find. A term near a
-mention discloses its entity e by the share d = PMI(e; t) / IC(e), where
+Protected entities are the values that the base patterns find. A term of a document
+that holds entity e discloses it by the share d = PMI(e; t) / IC(e), where
 PMI = ln(n_et N / (n_e n_t)) and IC = ln(N / n_e) over document counts of the
 whole corpus: 1 if the term occurs with e only, 0 if it is independent of it.
 Terms with d >= `remove` are removed, those with d >= `generalise` replaced by
-their class. A pair counts only if it stands in at least `min_contexts` distinct
-contexts, so copies of one passage prove nothing.
+their class, wherever they stand in the documents that hold e. A pair counts only if
+it stands in at least `min_contexts` distinct contexts, so copies of one passage
+prove nothing: the context of a mention are the words next to it, and an occurrence
+of a term has the contexts of the mentions it is next to, or else of the nearest one.
 
 Statistics are exact over all documents: terms are counted per task first and
-then summed by a shuffle; pairs are deduplicated before they are counted.
+then summed by a shuffle; a pair is counted once for each document. Whole texts are
+read again for pairs and for spans; filters of fixed size pass over entities and
+pairs that cannot count, and whatever slips through them is joined away.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-spans; long runs of digits or mail characters are scanned in linear time; terms of
+spans, also those without an id; long runs of digits or mail characters are scanned in linear time; terms of
 one entity that stand in several spans are all marked; other columns are kept by
 `sanitise` and not read by `detect`.
 """
@@ -22,13 +26,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import bagminhash, scratch
 from . import text as T
 from .fingerprints import pieces
 
@@ -104,43 +109,81 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{normal}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_CONTEXT = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_CONTEXT = pa.struct([("entity", pa.int64()), ("context", pa.int64())])
+_PAIR = pa.schema([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("n", pa.int64())])
+_HIT = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("contexts", pa.list_(_CONTEXT))])
-_FOUND_SCHEMA = "doc_id bigint, row_key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, contexts array<struct<entity: bigint, context: bigint, term: bigint, start: int, end: int>>"
+_FOUND_SCHEMA = "doc_id bigint, row_key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, contexts array<struct<entity: bigint, context: bigint>>"
 
 
-def _contexts(texts: list[str], spans: list[list[Span]]) -> list[list[dict]]:
-    """Terms within CONTEXT_WORDS words of each mention, outside of all base spans."""
-    out: list[list[dict]] = []
+class Mention(NamedTuple):
+    """A mention of an entity: numbers of the words that end before it and that start after it, and of the usable ones next to it."""
+
+    entity: int
+    left: int
+    right: int
+    near: np.ndarray
+    context: int
+
+
+class Terms(NamedTuple):
+    """Words of a text (hash, start, end), numbers of the usable ones outside of all base spans, and the text's mentions."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    free: np.ndarray
+    mentions: list[Mention]
+
+
+def _terms(texts: list[str], spans: list[list[Span]]) -> Iterator[Terms]:
+    """Terms and mentions of each whole text; a mention's context is made of the usable words within CONTEXT_WORDS words of it."""
     for chunk in T.chunks(pa.array(texts, pa.string())):
         found = T.words(chunk)
         letters = np.concatenate([[0], np.cumsum(T.class_table()[chunk.cps] == T.LETTER)])
         usable = (letters[found.starts + found.lengths] - letters[found.starts] >= 3) if len(found.starts) else np.zeros(0, bool)
         for k in range(chunk.rows):
             first, last = int(found.bounds[k]), int(found.bounds[k + 1])
-            base = int(chunk.bounds[k])
-            starts = found.starts[first:last] - base
+            starts = found.starts[first:last] - int(chunk.bounds[k])
             ends = starts + found.lengths[first:last]
             hashes, own = found.hashes[first:last].view(np.int64), spans[chunk.first + k]
             free = usable[first:last].copy()
             for a, _, b in own:
                 free[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = False
-            rows: list[dict] = []
+            mentions = []
             for a, kind, b in own:
                 left, right = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
                 near = np.r_[max(0, left - CONTEXT_WORDS) : left, right : min(len(starts), right + CONTEXT_WORDS)]
                 near = near[free[near]]
-                if len(near):
-                    text = texts[chunk.first + k]
-                    entity = _entity(kind, text[a:b])
-                    context = int(np.bitwise_xor.reduce(T.mix64(hashes[near].view(np.uint64) + np.arange(len(near), dtype=np.uint64))).astype(np.uint64).view(np.int64))
-                    rows += [{"entity": entity, "context": context, "term": int(hashes[i]), "start": int(starts[i]), "end": int(ends[i])} for i in near.tolist()]
-            out.append(rows)
-    return out
+                context = int(np.bitwise_xor.reduce(T.mix64(hashes[near].view(np.uint64) + np.arange(len(near), dtype=np.uint64)), initial=np.uint64(0)).astype(np.uint64).view(np.int64))
+                mentions.append(Mention(_entity(kind, texts[chunk.first + k][a:b]), left, right, near, context))
+            yield Terms(hashes, starts, ends, np.flatnonzero(free), mentions)
+
+
+def term_contexts(terms: Terms, mentions: list[Mention]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (term, context) of a text with the mentions of one entity in page order, and 1 at the first of each term."""
+    beside = np.concatenate([m.near for m in mentions])
+    context = np.concatenate([np.full(len(m.near), m.context, np.int64) for m in mentions])
+    far = np.setdiff1d(terms.free, beside)
+    left, right = np.array([m.left for m in mentions]), np.array([m.right for m in mentions])
+    after = np.searchsorted(left, far, "right")  # the first mention after each word
+    before, after = np.maximum(after - 1, 0), np.minimum(after, len(mentions) - 1)
+    ahead = np.where(left[after] > far, left[after] - far, len(terms.hashes) + 1)
+    behind = np.where(left[before] <= far, far - right[before] + 1, len(terms.hashes) + 1)
+    nearest = np.where(behind <= ahead, before, after)
+    term = terms.hashes[np.concatenate([beside, far])]
+    context = np.concatenate([context, np.array([m.context for m in mentions], np.int64)[nearest]])
+    order = np.lexsort((context, term))
+    term, context = term[order], context[order]
+    new = np.ones(len(term), bool)
+    new[1:] = term[1:] != term[:-1]
+    kept = new.copy()
+    kept[1:] |= context[1:] != context[:-1]
+    return term[kept], context[kept], new[kept].astype(np.int64)
 
 
 def _find(docs: DataFrame) -> DataFrame:
-    """Base spans of every text, with the terms in their contexts."""
+    """Base spans of every text, with the entities and contexts of its mentions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +192,8 @@ def _find(docs: DataFrame) -> DataFrame:
                 spans = [base_spans(x) for x in texts]
                 some = [k for k, x in enumerate(spans) if x]
                 near: list[list[dict]] = [[] for _ in texts]
-                for k, rows in zip(some, _contexts([texts[k] for k in some], [spans[k] for k in some]), strict=True):
-                    near[k] = rows
+                for k, terms in zip(some, _terms([texts[k] for k in some], [spans[k] for k in some]), strict=True):
+                    near[k] = [{"entity": m.entity, "context": m.context} for m in terms.mentions]
                 names = [joined(x) for x in spans]
                 counts = [[sum(s[1] == kind for s in x) for x in spans] for kind in range(len(BASE_KINDS))]
                 yield pa.RecordBatch.from_arrays(
@@ -162,6 +205,59 @@ def _find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "row_key").mapInArrow(run, _FOUND_SCHEMA)
 
 
+def _holding(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[int, Terms, dict[int, list[Mention]]]]:
+    """Number, terms and mentions by entity of the rows that hold an entity of the filter."""
+    at = 0
+    for ids, texts in pieces(batch):
+        spans = [base_spans(x) for x in texts]
+        some = [k for k, x in enumerate(spans) if x and _in(np.array([_entity(kind, texts[k][a:b]) for a, kind, b in x], np.int64), bits).any()]
+        for k, terms in zip(some, _terms([texts[k] for k in some], [spans[k] for k in some]), strict=True):
+            by: dict[int, list[Mention]] = {}
+            for m, held in zip(terms.mentions, _in(np.array([m.entity for m in terms.mentions], np.int64), bits), strict=True):
+                if held:
+                    by.setdefault(m.entity, []).append(m)
+            yield at + k, terms, by
+        at += len(ids)
+
+
+def _in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = bagminhash._places(pa.array(keys, pa.int64()))
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _pairs(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, term, context, n of whole documents: n is 1 once for each pair of a document."""
+    bits = docs.sparkSession.sparkContext.broadcast(bagminhash._filter_of(docs.sparkSession, entities))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, terms, by in _holding(batch, bits.value):
+                for entity, mentions in by.items():
+                    term, context, n = term_contexts(terms, mentions)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), entity, np.int64)), pa.array(term), pa.array(context), pa.array(n)], schema=_PAIR)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "entity bigint, term bigint, context bigint, n bigint")
+
+
+def _occurrences(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, row_key, entity, term, start, end of all occurrences of marked pairs, and perhaps of a few others."""
+    keys = marked.select(F.explode(F.array("entity", F.col("entity").bitwiseXOR(F.col("term")))).alias("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(bagminhash._filter_of(docs.sparkSession, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, terms, by in _holding(batch, bits.value):
+                for entity in by:
+                    at = terms.free[_in(terms.hashes[terms.free] ^ np.int64(entity), bits.value)]
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([batch.column(c)[k].as_py()] * n, pa.int64()) for c in (0, 2)), pa.array(np.full(n, entity, np.int64)), pa.array(terms.hashes[at]), pa.array(terms.starts[at].astype(np.int32)), pa.array(terms.ends[at].astype(np.int32))],
+                        schema=_HIT,
+                    )
+
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id bigint, row_key bigint, entity bigint, term bigint, start int, end int")
+
+
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term, n_docs over all documents: counted in each task before the shuffle."""
     schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
@@ -203,11 +299,12 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def disclosing(docs: DataFrame, found: DataFrame, *, remove: float, generalise: float, min_contexts: int) -> DataFrame:
     """entity, term, kind for the pairs whose disclosure reaches a threshold."""
-    near = found.select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.entity", "c.context", "c.term")
-    n_contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    pairs = near.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
-    entities = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    frequent = n_contexts.filter(F.col("n_contexts") >= min_contexts).join(pairs, ["entity", "term"]).join(entities, "entity")
+    mentions = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.context").distinct()
+    some = mentions.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contexts).select("entity")
+    placed = _pairs(docs, some).groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
+    pairs = placed.groupBy("entity", "term").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_pair"))
+    entities = found.select(F.explode(F.array_distinct("contexts.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    frequent = pairs.filter(F.col("n_contexts") >= min_contexts).join(entities, "entity")
     total = F.lit(found.count())
     scored = frequent.join(term_counts(docs), "term").filter(F.col("n_entity") < total)
     share = F.log(F.col("n_pair") * total / (F.col("n_entity") * F.greatest("n_term", "n_pair"))) / F.log(total / F.col("n_entity"))
@@ -218,8 +315,7 @@ def disclosing(docs: DataFrame, found: DataFrame, *, remove: float, generalise:
 def _term_spans(docs: DataFrame, found: DataFrame, **thresholds) -> DataFrame:
     """doc_id, row_key, terms: the spans that the method adds."""
     marked = scratch.materialise(disclosing(docs, found, **thresholds), "pii-terms")
-    near = found.select("doc_id", "row_key", F.explode("contexts").alias("c")).select("doc_id", "row_key", "c.entity", "c.term", "c.start", "c.end")
-    hit = near.join(marked, ["entity", "term"]).select("doc_id", "row_key", "start", "end", "kind")
+    hit = _occurrences(docs, marked).join(marked, ["entity", "term"]).select("doc_id", "row_key", "start", "end", "kind")
     least = hit.groupBy("doc_id", "row_key", "start", "end").agg(F.min("kind").alias("kind"))
     return least.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("terms"))
 
@@ -242,7 +338,8 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
             spans = [base if not more else joined(sorted(parsed(base) + [(x["start"], x["kind"], x["end"]) for x in more])) for base, more in zip(batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(spans, pa.string())], names=["doc_id", *names, "spans"])
 
-    return found.drop("contexts").join(terms, ["doc_id", "row_key"], "left").select("doc_id", *names, "base", "terms").mapInArrow(run, schema)
+    both = found.join(terms, found["doc_id"].eqNullSafe(terms["doc_id"]) & (found["row_key"] == terms["row_key"]), "left")
+    return both.select(found["doc_id"], *names, "base", "terms").mapInArrow(run, schema)
 
 
 def replaced(text: str, spans: list[Span]) -> str:
@@ -279,5 +376,5 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.col(text_col).cast("string")
     key = docs.select(F.struct("*").alias("row"), text.alias("_text"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"))
-    both = key.join(terms, (key["_id"] == terms["doc_id"]) & (key["_key"] == terms["row_key"]), "left")
+    both = key.join(terms, key["_id"].eqNullSafe(terms["doc_id"]) & (key["_key"] == terms["row_key"]), "left")
     return both.select("row", "_text", "terms").mapInArrow(run, schema)  # the row stays a struct, whatever its columns' names

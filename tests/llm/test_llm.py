@@ -204,6 +204,24 @@ def test_disclosing_terms(spark, odd, none):
     assert sorted(str(r["text"]) for r in pii.sanitise(odd).collect()) == sorted(str(x[1]) for x in ODD)
 
 
+def test_disclosing_terms_far_from_the_mention(spark):
+    """Every occurrence in a document of the entity is marked, and terms that never stand near the mention are found."""
+    fill = [" ".join(f"filler{k}x{j}" for j in range(30)) for k in range(6)]
+    rows = [(k, f"note{k} Zebulon at zeb@example.com with part{k} {fill[k]} then zebulon of Quorvania {fill[k]}") for k in range(5)]
+    rows += [(None, f"note5 Zebulon at zeb@example.com with part5 {fill[5]} then zebulon of Quorvania")] + [(10 + k, f"plain words with other notes then at things of number{k}") for k in range(60)]
+    # one document alone, and copies of a passage in different documents, prove nothing of a term far away
+    rows += [(80, f"one two three lone@example.com four five six {fill[0]} seven eight nine lone@example.com ten eleven twelve {fill[1]} some more words lone@example.com here again {fill[2]} Solitaire")]
+    passage = "the very same eight or nine words stand before mail cop@example.com and the very same eight or nine words after"
+    rows += [(90 + k, f"{fill[k]} {passage} {fill[k]} Copyterm") for k in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}
+    for k in (0, 1, 2, 3, 4, None):
+        assert "ebulon" not in clean[k] and "Quorvania" not in clean[k] and "[EMAIL]" in clean[k] and "filler" in clean[k]
+    assert "Solitaire" in clean[80] and all("Copyterm" in clean[90 + k] for k in range(4)) and clean[10] == rows[6][1]
+    spans = {r["doc_id"]: r["spans"] for r in pii.detect(frame).collect()}
+    assert all(spans[k].count("term_removed") == 3 for k in (0, 1, 2, 3, 4, None))
+
+
 def test_pii_query_equals_the_patterns(spark, docs):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in queries.op4_pii(spark, SF).collect():
