@@ -3,7 +3,8 @@
 The `tokenizers` library encodes each distinct pre-token once per worker; texts
 are cut into pre-tokens on arrays (the split of byte-level BPE: contractions,
 letters, numbers, others, each with one leading space, and white space), and the
-ids are gathered from the cache.
+ids are gathered from the cache. Texts that hold an added token of the tokenizer
+(such as `<|endoftext|>`) are encoded whole by the library instead.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [np.array(list(map(ord, x.content)), np.uint32) for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self._clear()
 
     def _clear(self) -> None:
@@ -149,7 +150,32 @@ class Encoder:
         self.known.add(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
         self.n += len(keys)
 
+    def _rows_with_added(self, chunk: T.Chunk) -> np.ndarray:
+        """Numbers of the rows that hold an added token."""
+        rows = [np.zeros(0, np.int64)]
+        for token in self.added:
+            at = np.flatnonzero(chunk.cps[: max(0, len(chunk.cps) - len(token) + 1)] == token[0])
+            for k in range(1, len(token)):
+                at = at[chunk.cps[at + k] == token[k]]
+            row = np.searchsorted(chunk.bounds, at, "right") - 1
+            rows.append(row[at + len(token) <= chunk.bounds[row + 1]])
+        return np.unique(np.concatenate(rows))
+
     def encode_chunk(self, chunk: T.Chunk) -> Encoded:
+        done = self._encode_pretokens(chunk)
+        rows = self._rows_with_added(chunk)
+        if not len(rows):
+            return done
+        counts, parts, last = np.diff(done.bounds), [], 0
+        for row in rows.tolist():
+            text = chunk.cps[chunk.bounds[row] : chunk.bounds[row + 1]].tobytes().decode("utf-32-le")
+            own = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, done.ids.dtype)
+            parts += [done.ids[done.bounds[last] : done.bounds[row]], own]
+            counts[row], last = len(own), row + 1
+        parts.append(done.ids[done.bounds[last] :])
+        return Encoded(chunk.first, np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)]))
+
+    def _encode_pretokens(self, chunk: T.Chunk) -> Encoded:
         starts = pretoken_starts(chunk)
         if not len(starts):
             return Encoded(chunk.first, np.zeros(0, self.ids.dtype), np.zeros(chunk.rows + 1, np.int64))

@@ -54,6 +54,19 @@ def test_pretokens_equal_the_library():
     assert got == encoded(texts)
 
 
+def test_added_tokens_equal_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(K.tokenizer_path())
+    r = random.Random(6)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endo", "ftext|>b", "", "it's<|endoftext|>'s  <|endoftext|><|endoftext|>  z", "<|endoftext|", "é日🙂 <|endoftext|>\n\n "]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", " ", "a", "'s", "1", "é", "\n"]) for _ in range(r.randint(0, 12))) for _ in range(500)]
+    got = []
+    for part in K.Encoder(K.tokenizer_path()).encode(pa.array(texts)):
+        got += [part.ids[a:b].tolist() for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True)]
+    assert got[0] == [87, 220, 50256, 331] and got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_cache_can_be_emptied(monkeypatch):
     monkeypatch.setattr(K, "CACHE_PRETOKENS", 5)
     own = K.Encoder(K.tokenizer_path())
