@@ -17,8 +17,11 @@ buckets pair by pair, in large ones in blocks inside of tasks.
 
 Defined results: null is the empty text; texts of fewer words than a shingle are
 one shingle; texts without words are alike only if they are equal; repeated rows
-(also of one id) are in one class if their texts are alike; the class id is its
-least doc_id; an empty table gives an empty table; other columns are not read.
+(also of one id) are in one class if their texts are alike; rows without an id are
+classed like others; the class id is its least doc_id, or null if none of its rows
+has one; an empty table gives an empty table; other columns are not read.
+
+Rows are told apart by a 64-bit key of id and text, which no row lacks.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -131,11 +134,16 @@ def nodes(chunk: T.Chunk, found: T.Words) -> np.ndarray:
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    doc_id, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(_row_key(doc_id, text).alias("row_key"), text.alias("text"), doc_id.alias("doc_id"))
+
+
+def _row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.isNull(), doc_id, F.coalesce(text, F.lit("")))
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands of every whole text; in each task only the first row of a node carries its bands."""
+    """row_key, doc_id, node, bands of every whole text; in each task only the first row of a node carries its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -151,9 +159,9 @@ def sign(docs: DataFrame) -> DataFrame:
                     some[k] &= x not in seen
                     seen.add(x)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(node), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(chunk.first, chunk.rows) for c in (0, 2)), pa.array(node), lists], names=["row_key", "doc_id", "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "row_key bigint, doc_id bigint, node bigint, bands array<bigint>")
 
 
 def units(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -184,8 +192,8 @@ def _places(ids: pa.Array) -> np.ndarray:
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, units of the documents `wanted` (doc_id, node); others are passed over by a filter of fixed size, and any that slip through are joined away."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(docs.sparkSession, wanted.select("doc_id")))
+    """node, units of the rows `wanted` (row_key, node); others are passed over by a filter of fixed size, and any that slip through are joined away."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(docs.sparkSession, wanted.select("row_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +208,10 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keys = units(hashes, np.repeat(np.arange(chunk.rows), np.diff(bounds)))
                 raw = keys.tobytes()
                 data = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([picked.column(0).slice(chunk.first, chunk.rows), pa.array(nodes(chunk, found).view(np.int64)), pa.array(data, pa.binary())], names=["doc_id", "node", "units"])
+                yield pa.RecordBatch.from_arrays([picked.column(0).slice(chunk.first, chunk.rows), pa.array(nodes(chunk, found).view(np.int64)), pa.array(data, pa.binary())], names=["row_key", "node", "units"])
 
-    made = docs.mapInArrow(run, "doc_id bigint, node bigint, units binary")
-    return made.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "units")
+    made = docs.select("row_key", "text").mapInArrow(run, "row_key bigint, node bigint, units binary")
+    return made.join(wanted, ["row_key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "units")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -315,8 +323,8 @@ def _links_in_blocks(many: DataFrame, labels: DataFrame, content: DataFrame, thr
     return keyed.groupBy("cluster", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size for every row."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """row_key, doc_id, label of its class for every row."""
     plain = _plain(docs, id_col, text_col)
     signed = scratch.materialise(sign(plain), "bands")
     # copies of a word sequence are one node, and a task sends its bands once; one shuffle by band serves all that follows
@@ -326,7 +334,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("other")).filter(F.col("node") != F.col("other"))
     pairs = scratch.materialise(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = scratch.materialise(signed.select("doc_id", "node").join(candidates, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "candidates")
+    wanted = scratch.materialise(signed.select("row_key", "node").join(candidates, "node").groupBy("node").agg(F.min("row_key").alias("row_key")), "candidates")
     content = scratch.materialise(contents(plain, wanted), "contents")
     links = scratch.materialise(verified(pairs, content, threshold), "links")
     labels = components(links)
@@ -342,17 +350,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = scratch.materialise(few_links.unionByName(_links_in_blocks(many, labels, content, threshold)) if many.limit(1).count() else few_links, "links")
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a != b").unionByName(more))
-    member = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    return signed.select("row_key", "doc_id", "node").join(labels, "node", "left").select("row_key", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, class_size for every row."""
+    member = _labelled(docs, id_col, text_col, threshold).drop("row_key")
     classes = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return member.join(classes, "label").select("doc_id", "class_id", "class_size")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs`, all columns unchanged, of the least id of each class; of repeated rows of it one."""
-    classes = scratch.materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold), "classes")
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = first.select(F.col("doc_id").alias("_kept_id"))
-    kept = docs.join(ids, docs[id_col].cast("bigint") == ids["_kept_id"], "left_semi")
-    if first.filter("n > 1").limit(1).count():
-        return kept.dropDuplicates([id_col, text_col])
-    return kept
+    """One of the rows of `docs` of each class, all columns unchanged: of the least id (none comes last), and of several of it that of the least key."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    kept_keys = _labelled(docs, id_col, text_col, threshold).groupBy("label", "row_key").agg(F.min(first).alias("first"), F.count("*").alias("n")).groupBy("label").agg(F.min(F.struct("first", "n")).alias("kept"))
+    keys = scratch.materialise(kept_keys.select(F.col("kept.first.row_key").alias("kept_key"), "kept.n"), "classes")
+    keyed = docs.select(F.struct("*").alias("row"), _row_key(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).alias("key"))
+    kept = keyed.join(keys, keyed["key"] == keys["kept_key"], "left_semi")
+    if keys.filter("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")

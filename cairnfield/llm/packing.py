@@ -8,7 +8,7 @@ at most `block` pieces, so nothing is shuffled and memory is bounded; a block
 leaves at most a few windows open.
 
 Defined results: a null or empty text has only its end id; repeated rows are
-packed each for itself; ties in length keep the order of the input; an empty table
+packed each for itself, and rows without an id keep none; ties in length keep the order of the input; an empty table
 gives an empty table; other columns, whatever their names, are not read.
 """
 
@@ -87,9 +87,9 @@ class _Block:
 
     def __init__(self, part: int, window: int, tail: int) -> None:
         self.part, self.window, self.tail, self.sequences = part, window, tail, 0
-        self.docs: list[tuple[int, np.ndarray]] = []
+        self.docs: list[tuple[int | None, np.ndarray]] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, np.append(ids.astype("<u4"), np.array([self.tail], "<u4"))))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -109,11 +109,11 @@ class _Block:
         sequence[~last] = n + np.arange(int(full.sum()))
         sequence += self.sequences + (self.part << 36)
         self.sequences += n + int(full.sum())
-        doc_ids = np.array([d for d, _ in self.docs], np.int64)
+        doc_ids = pa.array([d for d, _ in self.docs], pa.int64())
         for k in range(0, len(owner), 4096):
             own, s, m = owner[k : k + 4096], start[k : k + 4096], length[k : k + 4096]
             ids = pa.array([self.docs[o][1][a : a + b].tobytes() for o, a, b in zip(own.tolist(), s.tolist(), m.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (doc_ids[own], s, m, size[own], sequence[k : k + 4096], at[k : k + 4096])), ids], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(own)), *map(pa.array, (s, m, size[own], sequence[k : k + 4096], at[k : k + 4096])), ids], schema=_ARROW)
         self.docs = []
 
 

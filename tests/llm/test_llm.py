@@ -439,6 +439,22 @@ def test_near_duplicate_classes(spark, docs, odd, none, monkeypatch, few):
         assert bagminhash.near_duplicates(none).count() == 0
 
 
+def test_rows_without_ids_and_repeated_ids(spark):
+    """Each class keeps one row, also of rows without ids and where an id repeats with different texts of one class."""
+    words = [[f"w{k}x{j}" for j in range(60)] for k in range(4)]
+    near = [" ".join(x) + " and one more end" for x in words]
+    far = [" ".join(x) + " or an other end" for x in words]
+    rows = [(None, near[0]), (None, far[0]), (None, "a unique text without any id"), (7, near[1]), (7, far[1]), (9, near[2]), (None, far[2]), (None, near[3]), (None, near[3]), (3, near[3])]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in bagminhash.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(None, None, 2)] * 2 + [(None, None, 1)] + [(7, 7, 2)] * 2 + [(9, 9, 2), (None, 9, 2)] + [(None, 3, 3)] * 2 + [(3, 3, 3)], key=str)
+    kept = [tuple(r) for r in bagminhash.keep_first(frame).collect()]
+    assert len(kept) == 5 and len(set(kept)) == 5 and (None, "a unique text without any id") in kept and (9, near[2]) in kept and (3, near[3]) in kept
+    assert sum(r in rows[:2] for r in kept) == 1 and sum(r in rows[3:5] for r in kept) == 1
+    packed = packing.pack(frame.filter("doc_id IS NULL OR doc_id = 9")).collect()
+    assert sorted(r["doc_id"] or 0 for r in packed) == [0] * 6 + [9]
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(0)
     a = collections.Counter(r.integers(0, 300, 600).tolist())
