@@ -253,7 +253,7 @@ def experiment_table(spark, sf_dir):
 _U = """(SELECT i, (xor(t2, t2 >> 14)) / 4294967296.0 AS u FROM (SELECT i, xor(t1, (t1 + ((xor(t1, t1 >> 7) * (t1 | 61)) % 4294967296)::BIGINT) % 4294967296) AS t2
  FROM (SELECT i, ((xor(a, a >> 15))::HUGEINT * (a | 1) % 4294967296)::BIGINT AS t1 FROM (SELECT i, (({seed} + i::HUGEINT * 1831565813) % 4294967296)::BIGINT AS a FROM {source}))))"""
 _U = _U.replace("(xor(t1, t1 >> 7) * (t1 | 61))", "((xor(t1, t1 >> 7))::HUGEINT * (t1 | 61))")
-REPS = 400
+REPS = 2000
 
 
 @query(f"""WITH c AS (SELECT source, count(*) FILTER (WHERE quality = 1) AS k, count(*) AS n, row_number() OVER (ORDER BY min(doc_id)) - 1 AS j FROM documents JOIN labels USING (doc_id) GROUP BY source), g AS (SELECT count(*) AS g FROM c),

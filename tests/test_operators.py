@@ -8,6 +8,7 @@ from cairnfield import schemas as S
 from cairnfield.functions import documents as D
 from cairnfield.functions import http as H
 from cairnfield.operators import cards, classify, consistency, corpora, experiment, fingerprint, handshake, lookups, sampling, summary
+from cairnfield.plans import queries_rows
 from cairnfield.sources import readers, sinks
 from cairnfield.streaming import hits as stream_hits
 
@@ -294,3 +295,10 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(f"file://{tmp_path}/once").count() == 1
     assert stream_hits.sessions(hits).count() == 2
+
+
+def test_registered_bootstrap_has_all_replicates(spark):
+    """The registered query gives the interval of the operator's own number of replicates."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("doc_id", "source", (F.col("quality") == 1).alias("good"))
+    assert queries_rows.cluster_bootstrap_ci(spark, sf).first() == experiment.clustered_interval(rows, "source", "good", "doc_id").first()
