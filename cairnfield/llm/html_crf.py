@@ -12,7 +12,8 @@ Labelled pages carry the attribute `data-main` on elements of the main text; it
 never a feature.
 
 Defined results: null, empty and textless pages have an empty text; unclosed tags,
-comments and quotes end with the page; ties in decoding go to main text; repeated
+comments, quotes and scripts end with the page, and other elements whose texts are
+not read with the block around them; a self-closed svg or math is empty; ties in decoding go to main text; repeated
 rows are each extracted; other columns are not read.
 """
 
@@ -32,7 +33,11 @@ from pyspark.sql import functions as F
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe template svg math object select canvas audio video head".split())
+RAW = frozenset("script style textarea title iframe head".split())
+#: Elements without text of the page, of which markup is read to find their end; texts of math, object and noscript are read.
+SKIPPED = frozenset("template svg select canvas audio video".split())
+FOREIGN = frozenset({"svg", "math"})
+_HTML_INSIDE = frozenset({"foreignobject", "desc", "title"})
 BLOCK = frozenset(
     "html body address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -126,6 +131,31 @@ def _frame(parent: Frame, tag: str, attributes: str) -> Frame:
     return Frame(tag, mask, own, main)
 
 
+def _skipped_end(html: str, at: int, tag: str, around: set[str]) -> int:
+    """Where an element that began before `at` ends: after its end tag, or before a tag that ends it as it was left open."""
+    inner = [tag]
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if not name:
+            continue
+        if m[1] or m[4]:
+            if name in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                if not inner:
+                    return at
+            elif name in BLOCK and name in around:
+                return m.start()
+        elif tag == "svg" and name in BLOCK and not _HTML_INSIDE.intersection(inner):
+            return m.start()
+        elif name in RAW and name not in _HTML_INSIDE and name != "head":
+            end = _raw_end(name).search(html, at)
+            at = end.end() if end else len(html)
+        elif (name in BLOCK or name in SKIPPED or name in _HTML_INSIDE) and name not in VOID and not (m[3] if m[2] else m[6]).endswith("/"):
+            inner.append(name)
+    return len(html)
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks of a page in page order, with their features as bits."""
     stack = [Frame("", _BIT["bias"], 0, False)]
@@ -203,6 +233,11 @@ def blocks(html: str) -> list[Block]:
             end = _raw_end(tag).search(html, at)
             at = end.end() if end else size
             continue
+        if tag in FOREIGN and attributes.endswith("/"):
+            continue
+        if tag in SKIPPED:
+            at = _skipped_end(html, at, tag, {x.tag for x in stack})
+            continue
         if tag == "br":
             parts.append(" ")
             continue

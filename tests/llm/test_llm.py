@@ -321,6 +321,18 @@ def test_extraction_of_odd_pages(spark):
     assert html_crf.extract(df.filter("false")).count() == 0
 
 
+def test_elements_that_are_not_closed_or_hold_text():
+    def texts(page):
+        return [b.text for b in html_crf.blocks(page)]
+
+    assert texts("<article><p>Before <svg class='i'/> after it.</p><p>And <math/> more.</p></article><p>End") == ["Before after it.", "And more.", "End"]
+    assert texts("<article><div>One <svg><path d='1'><g></div><p>Two</p><svg><p>Three</p></article><p>Four") == ["One", "Two", "Three", "Four"]
+    assert texts("<div>One <video><source src=x>no video</div><p>Two <select><option>a<option>b</p><p>Three") == ["One", "Two", "Three"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.<object data=a>A <b>fallback</b> text.</object> <noscript>No script.</noscript></p>") == ["Let x=1 be.A fallback text. No script."]
+    assert texts("<p>a <svg><title>t</title><svg><text>u</text></svg><text>v</text><foreignObject><div>w</div></foreignObject></svg> b<template><p>x<script>'</template>'</script></template> c</p>") == ["a b c"]
+    assert len(texts("<p>" + "x<svg></p><p>" * 20_000 + "end")) == 20_001
+
+
 def test_extraction_of_the_pages(spark):
     for r in queries.op7_html_text(spark, SF).join(queries.table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
