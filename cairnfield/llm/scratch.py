@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where that is unset, as in local tests."""
+    """The folder of `spark.checkpoint.dir`; one of our own only where that is unset and the master is local, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="cairnfield-")
@@ -36,17 +41,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed on leaving, but for those written with `outer`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop(spark, path)
+
+
+def materialise(df: DataFrame, tag: str, *, outer: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    The table belongs to the innermost scope, or with `outer` to the one around it; outside of all scopes it stays.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, tag)
+    owner = len(_scopes) - 1 - outer
+    if owner >= 0:
+        _scopes[owner].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Removes a table of ours before its session ends."""
+    """Removes a table of ours."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

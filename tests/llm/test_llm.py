@@ -437,20 +437,66 @@ def near_copies(n=70, seed=6):
     return rows
 
 
-@pytest.mark.parametrize("few", [48, 1])
-def test_near_duplicate_classes(spark, docs, odd, none, monkeypatch, few):
-    monkeypatch.setattr(bagminhash, "FEW_MEMBERS", few)
-    monkeypatch.setattr(bagminhash, "BLOCK_MEMBERS", 20)
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicate_classes(spark, docs, odd, none, monkeypatch, small):
+    """Classes of brute force, also where blocks are small and tables of keys count as too large for a broadcast."""
+    if small:
+        for name, value in (("BUCKET_BLOCK", 20), ("BLOCK_MEMBERS", 20), ("BROADCAST_ROWS", 10)):
+            monkeypatch.setattr(bagminhash, name, value)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + near_copies() + [(i, t) for i, t, _ in ODD if i not in (1,)] + [(5001, ODD[0][1])]
     rows = [(i + 20_000 * (n > 200), t) for n, (i, t) in enumerate(rows)]
-    got = sorted((r["doc_id"], r["class_id"]) for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect())
-    assert got == classes_by_force(rows)
-    if few == 1:
+    made = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in made) == classes_by_force(rows)
+    texts = dict(rows)
+    by = collections.defaultdict(set)
+    for r in made:
+        by[r["class_id"]].add(texts[r["doc_id"]] or "")
+    assert all((r["n_links"] > 0) == (len({tuple(x.split()) for x in by[r["class_id"]]}) > 1) for r in made)
+    if small:
         kept = bagminhash.keep_first(odd)
         assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6, 8]
         assert bagminhash.near_duplicates(none).count() == 0
 
 
+def test_links_inside_of_buckets_equal_all_pairs():
+    """Sketches leave every pair of the threshold open, alone or in blocks, and rule far ones out."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 400).astype(np.uint64)
+    sets = []
+    for k in range(90):
+        own = base.copy()
+        own[r.choice(400, int(r.integers(0, 110)), replace=False)] = r.integers(0, 2**63, 1)[0] + k
+        sets.append(np.unique(own))
+    rows = np.repeat(np.arange(90), [len(x) for x in sets])
+    sketch = bagminhash.sketches(bagminhash.signatures(np.concatenate(sets), rows, np.ones(len(rows), np.int64), 90))
+    true = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in range(90) for j in range(i)}
+    least, label = bagminhash.least_slots(0.8), np.arange(90) % 7
+    small = {(int(x), int(y)) for a, b in bagminhash._pairs_of_small(np.arange(90) // 45, label, sketch, least) for x, y in zip(a, b, strict=True)}
+    large = {tuple(sorted((int(x), int(y)), reverse=True)) for a, b in bagminhash._pairs_of_large(label, np.arange(90) >= 45, sketch, least) for x, y in zip(a, b, strict=True)}
+    for (i, j), x in true.items():
+        if label[i] != label[j] and x >= 0.8:
+            assert (i, j) in (small if i // 45 == j // 45 else large)
+        if x < 0.4:
+            assert (i, j) not in small | large
+    assert all(label[i] != label[j] for i, j in small | large) and large
+
+
+def test_texts_that_share_a_key_stay_two_nodes(spark):
+    rows = [(1, 10, 5), (2, 10, 5), (3, 10, 6), (4, 11, 5)]
+    for few in (0, 100):
+        bagminhash.BROADCAST_ROWS, before = few, bagminhash.BROADCAST_ROWS
+        got = {r["row_key"]: r["node"] for r in bagminhash._with_nodes(spark.createDataFrame(rows, "row_key BIGINT, raw BIGINT, `check` BIGINT")).collect()}
+        bagminhash.BROADCAST_ROWS = before
+        assert got[1] == got[2] == 10 and got[3] not in (10, 11) and got[4] == 11
+
+
+def test_ids_that_are_no_numbers(spark):
+    frame = spark.createDataFrame([("a", "one text of some words here"), ("b", "one text of some words here"), ("7", "another text that is alone in it")], "doc_id STRING, text STRING")
+    got = sorted((str(r["doc_id"]), r["class_size"]) for r in bagminhash.near_duplicates(frame).collect())
+    assert got == [("7", 1), ("None", 2), ("None", 2)]
+    assert bagminhash.keep_first(frame).count() == 2
+
+
 def test_rows_without_ids_and_repeated_ids(spark):
     """Each class keeps one row, also of rows without ids and where an id repeats with different texts of one class."""
     words = [[f"w{k}x{j}" for j in range(60)] for k in range(4)]
