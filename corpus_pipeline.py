@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept; all but the last return the columns of documents.
+
+Defined results: rows with null or repeated ids are rows like others; null texts and
+empty ones have the score of a text without words, so the first stage decides on
+them, and pass the others unchanged; of repeated rows one stays; extra columns pass
+all stages but the last; empty tables give empty tables, and without labels or
+benchmark the stages that use them keep all rows.
 """
 
 from __future__ import annotations
@@ -45,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over the whole table; a stage's tables, and the one it read, go once its own is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.materialise(stage(spark, docs, sf_dir), name)
+        path = scratch.new_path(spark, name)
+        with scratch.scope(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if last is not None:
+            scratch.drop(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
