@@ -189,7 +189,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 own = [batch.column(c).slice(chunk.first, chunk.rows) for c in (0, 1, 3)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(raw), pa.array(check), lists, sketch], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
-    return docs.select("row_key", "row_check", "text", "doc_id").mapInArrow(run, _SIGNED)
+    return docs.select("row_key", "row_check", "text", "doc_id").mapInArrow(scratch.lean(run), _SIGNED)
 
 
 def _with_nodes(signed: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def _placed(signed: DataFrame) -> DataFrame:
             via = node[first][np.cumsum(new) - 1] if len(first) else node
             yield pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(node[keep]), pa.array(via[keep])], names=["band", "node", "via"])
 
-    return signed.filter(F.size("bands") > 0).select("bands", "node").mapInArrow(run, "band bigint, node bigint, via bigint")
+    return signed.filter(F.size("bands") > 0).select("bands", "node").mapInArrow(scratch.lean(run), "band bigint, node bigint, via bigint")
 
 
 def units(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def _filter_of(spark, ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.packbits(bits)[some].astype(np.int32))], names=["at", "byte"])
 
     table = np.zeros(FILTER_BITS // 8, np.uint8)
-    found = ids.mapInArrow(run, "at bigint, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
+    found = ids.mapInArrow(scratch.lean(run), "at bigint, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
     table[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return table
 
@@ -277,7 +277,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own, check = nodes(chunk, found)
                 yield pa.RecordBatch.from_arrays([picked.column(0).slice(chunk.first, chunk.rows), pa.array(own), pa.array(check), pa.array(data, pa.binary())], names=["row_key", "raw", "check", "units"])
 
-    made = docs.select("row_key", "text").mapInArrow(run, "row_key bigint, raw bigint, check bigint, units binary")
+    made = docs.select("row_key", "text").mapInArrow(scratch.lean(run), "row_key bigint, raw bigint, check bigint, units binary")
     return made.join(wanted, ["row_key", "raw", "check"]).dropDuplicates(["node"]).select("node", "units")
 
 
@@ -312,7 +312,7 @@ def hopeful(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(equal >= least))
 
     left, right = (sketch.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(scratch.lean(run), "a bigint, b bigint")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -342,7 +342,7 @@ def verified(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFram
     left = content.select(F.col("node").alias("a"), F.col("units").alias("ua"))
     right = content.select(F.col("node").alias("b"), F.col("units").alias("ub"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(scratch.lean(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -448,7 +448,7 @@ def open_pairs(placed: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
         if n:
             yield from compared(pa.Table.from_batches(held).combine_chunks())
 
-    return ordered.mapInArrow(run, schema).distinct()
+    return ordered.mapInArrow(scratch.lean(run), schema).distinct()
 
 
 def verified_in_blocks(pairs: DataFrame, labels: DataFrame, content: DataFrame, threshold: float) -> DataFrame:

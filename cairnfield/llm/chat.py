@@ -142,7 +142,7 @@ def format_conversations(rows: DataFrame, *, tokenizer: str | None = None, train
 
     empty = F.lit("")
     plain = rows.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
-    return _sorted_turns(plain).mapInArrow(run, SCHEMA)
+    return _sorted_turns(plain).mapInArrow(scratch.lean(run, "tokens"), SCHEMA)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -182,4 +182,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return formatted.select("conv_id", "part", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(run, schema)
+    return formatted.select("conv_id", "part", "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(scratch.lean(run, "tokens"), schema)

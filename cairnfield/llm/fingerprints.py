@@ -105,7 +105,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for ids, texts in pieces(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(hexes(of_texts(texts)))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scratch.lean(run), "doc_id bigint, n_chars bigint, fingerprint string")
 
 
 def pieces(batch: pa.RecordBatch, limit: int = 1_500_000) -> Iterator[tuple[list[int], list[str]]]:
@@ -195,12 +195,12 @@ def edit_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = scratch.partitions(docs.sparkSession)
     ordered = plain.repartitionByRange(n, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
-    made = scratch.materialise(ordered.mapInArrow(run, _SCHEMA), "fingerprints")
+    made = scratch.materialise(ordered.mapInArrow(scratch.lean(run), _SCHEMA), "fingerprints")
     heads = made.filter("head").select("part", F.col("text").alias("following"))
     # one short row a task: the next task with rows, and after the last the first
     by_part = Window.orderBy("part")
     parts = heads.select("part").withColumn("after", F.coalesce(F.lead("part").over(by_part), F.min("part").over(Window.partitionBy())))
     waiting = made.filter(F.col("edited_sha256").isNull()).select("part", "doc_id", "text").join(F.broadcast(parts), "part")
     pairs = waiting.join(heads.withColumnRenamed("part", "after"), "after").select("doc_id", "text", "following")
-    last = pairs.mapInArrow(finish, ", ".join(_SCHEMA.split(", ")[2:9]))
+    last = pairs.mapInArrow(scratch.lean(finish), ", ".join(_SCHEMA.split(", ")[2:9]))
     return made.filter(F.col("edited_sha256").isNotNull()).select(*RESULT).unionByName(last.select(*RESULT))

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe head".split())
@@ -513,4 +515,4 @@ def extract(pages: DataFrame, field: Field | None = None, *, html_col: str = "ht
                     texts.append("\n".join(b.text for b, main in zip(found, labels, strict=True) if main))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return plain.mapInArrow(run, f"{kept}text string, n_chars bigint")
+    return plain.mapInArrow(scratch.lean(run), f"{kept}text string, n_chars bigint")

@@ -140,7 +140,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             seen += np.bincount(T.utf8(batch.column(0))[0], minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], names=["b", "n"])
 
-    seen = {r["b"]: r["n"] for r in sample.select("text").mapInArrow(histogram, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()}
+    seen = {r["b"]: r["n"] for r in sample.select("text").mapInArrow(scratch.lean(histogram, "langid"), "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()}
     fold = folded()
     weight = np.bincount(fold, weights=[seen.get(b, 0) for b in range(256)], minlength=256)
     n_symbols = int(min(MAX_SYMBOLS, (TABLE_CELLS / len(languages)) ** (1 / (ORDER + 1))))
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             some = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int64)), pa.array(table[some])], names=["lang", "k", "n"])
 
-    found = sample.select("lang", "text").mapInArrow(count, "lang string, k bigint, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.select("lang", "text").mapInArrow(scratch.lean(count, "langid"), "lang string, k bigint, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     lang, key, n = np.array(found.column(0).to_pylist(), object), found.column(1).to_numpy(), found.column(2).to_numpy()
     keys, counts = [], []
     for one in languages:
@@ -203,4 +203,4 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str] | None = None, tex
                     best[none], score[none] = len(own.languages), 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return plain.mapInArrow(run, f"{kept_fields}, lang_pred string, score double")
+    return plain.mapInArrow(scratch.lean(run, "langid"), f"{kept_fields}, lang_pred string, score double")

@@ -48,7 +48,7 @@ def encode_ordered(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
 
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = files or scratch.partitions(docs.sparkSession)
-    return plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(scratch.lean(run, "tokens"), FILE_SCHEMA)
 
 
 def write(docs: DataFrame, path: str, **options) -> str:
@@ -90,4 +90,4 @@ def ids_crc32(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], schema=schema)
 
-    return stored.select("doc_id", "start", "ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return stored.select("doc_id", "start", "ids").mapInArrow(scratch.lean(run, "tokens"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 from . import tokens as K
 
 WINDOW = 2048
@@ -141,4 +143,4 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
         yield from waiting.flush()
 
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, SCHEMA)
+    return plain.mapInArrow(scratch.lean(run, "tokens"), SCHEMA)

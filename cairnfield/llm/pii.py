@@ -202,7 +202,7 @@ def _find(docs: DataFrame) -> DataFrame:
                 )
                 at += len(ids)
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, _FOUND_SCHEMA)
+    return docs.select("doc_id", "text", "row_key").mapInArrow(scratch.lean(run), _FOUND_SCHEMA)
 
 
 def _holding(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[int, Terms, dict[int, list[Mention]]]]:
@@ -236,7 +236,7 @@ def _pairs(docs: DataFrame, entities: DataFrame) -> DataFrame:
                     term, context, n = term_contexts(terms, mentions)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), entity, np.int64)), pa.array(term), pa.array(context), pa.array(n)], schema=_PAIR)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "entity bigint, term bigint, context bigint, n bigint")
+    return docs.select("doc_id", "text").mapInArrow(scratch.lean(run), "entity bigint, term bigint, context bigint, n bigint")
 
 
 def _occurrences(docs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def _occurrences(docs: DataFrame, marked: DataFrame) -> DataFrame:
                         schema=_HIT,
                     )
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id bigint, row_key bigint, entity bigint, term bigint, start int, end int")
+    return docs.select("doc_id", "text", "row_key").mapInArrow(scratch.lean(run), "doc_id bigint, row_key bigint, entity bigint, term bigint, start int, end int")
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -294,7 +294,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for k in range(0, len(terms), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(terms[k : k + 200_000].view(np.int64)), pa.array(counts[k : k + 200_000].astype(np.int64))], schema=schema)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scratch.lean(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, *, remove: float, generalise: float, min_contexts: int) -> DataFrame:
@@ -339,7 +339,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(spans, pa.string())], names=["doc_id", *names, "spans"])
 
     both = found.join(terms, found["doc_id"].eqNullSafe(terms["doc_id"]) & (found["row_key"] == terms["row_key"]), "left")
-    return both.select(found["doc_id"], *names, "base", "terms").mapInArrow(run, schema)
+    return both.select(found["doc_id"], *names, "base", "terms").mapInArrow(scratch.lean(run), schema)
 
 
 def replaced(text: str, spans: list[Span]) -> str:
@@ -377,4 +377,4 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     key = docs.select(F.struct("*").alias("row"), text.alias("_text"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"))
     both = key.join(terms, key["_id"].eqNullSafe(terms["doc_id"]) & (key["_key"] == terms["row_key"]), "left")
-    return both.select("row", "_text", "terms").mapInArrow(run, schema)  # the row stays a struct, whatever its columns' names
+    return both.select("row", "_text", "terms").mapInArrow(scratch.lean(run), schema)  # the row stays a struct, whatever its columns' names

@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, label_col: str
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    found = rows.mapInArrow(run, "y int, x array<double>").toArrow()
+    found = rows.mapInArrow(scratch.lean(run), "y int, x array<double>").toArrow()
     y = found.column(0).to_numpy()
     if not (y == 1).any():
         return None
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None
             made = np.full(batch.num_rows, 0.5) if model is None else model.score(features(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(made), pa.array((made >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return plain.mapInArrow(run, f"{kept_fields}score double, predicted int")
+    return plain.mapInArrow(scratch.lean(run), f"{kept_fields}score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -253,4 +253,4 @@ def keep_good(docs: DataFrame, model: Model | None, *, text_col: str = "text", t
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(scratch.lean(run), docs.schema)

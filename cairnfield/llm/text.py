@@ -114,9 +114,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[Chunk]:
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
-@cache
 def _powers(size: int, base: int) -> np.ndarray:
-    """base ** i modulo 2**64, by doubling."""
+    """base ** i modulo 2**64; tables for texts of unusual length are made anew."""
+    return _short_powers(size, base) if size <= 1 << 21 else _short_powers.__wrapped__(size, base)
+
+
+@cache
+def _short_powers(size: int, base: int) -> np.ndarray:
     out = np.ones(size, np.uint64)
     done = 1
     while done < size:

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from . import scratch
 from . import text as T
 
 CACHE_PRETOKENS = 2_000_000
@@ -205,6 +206,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+scratch.CACHES["tokens"] = _encoders
 
 
 def encoder(path: str) -> Encoder:

@@ -141,30 +141,94 @@ def test_decontamination(spark, docs, odd, none):
     assert decontam.leaks(odd, bench).count() == 0 and decontam.leaks(none, bench).count() == 0 and decontam.leaks(odd, bench.filter("false")).count() == 0
 
 
-def test_candidates_are_those_of_brute_force_cosines(spark, docs):
-    """Recall of the candidate search against plain TF-IDF cosines of the same passages."""
-    items = next(decontam.blocks(queries.table(spark, SF, "benchmark"), "item_id", "text"))
-    space = decontam.fit(docs.select("text"), items)
-    found = total = 0
+def reworded(words, share, r, pool):
+    return [r.choice(pool) if r.random() < share else w for w in words]
+
+
+def test_reworded_long_and_short_items(spark, docs):
+    """Recall of the whole operator on changed copies inside of other documents, and clean documents left alone."""
+    r = random.Random(8)
+    rows = [x for x in docs.collect() if x["text"]]
+    pool = [w for x in rows for w in x["text"].split()]
+    items = [(x["item_id"], x["text"].split()) for x in queries.table(spark, SF, "benchmark").collect()]
+    vocabulary = [f"{a}{b}{c}" for a in ("ba", "ke", "ni", "to") for b in ("ru", "sa", "mi", "lo") for c in ("ne", "ti", "ga", "po", "fu")]
+    long = [r.choice(pool) if r.random() < 0.7 else r.choice(vocabulary) + str(k % 97) for k in range(2500)]
+    bench = [(i, " ".join(w)) for i, w in items] + [(5000, " ".join(long)), (5001, "zyx qwv kjh"), (5002, "Lonely"), (5003, None), (5004, "...")]
+    norm = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    clean = [x["text"] for x in rows if not any(norm(" ".join(w)) in norm(x["text"]) for _, w in items)]
+    planted, want = [], {"reworded": set(), "swapped": set(), "long": set(), "short": set()}
+
+    def plant(kind, item, words):
+        host = r.choice(clean).split()
+        at = r.randrange(len(host) + 1)
+        planted.append((10_000 + len(planted), " ".join(host[:at] + words + host[at:])))
+        want[kind].add((planted[-1][0], item))
+
+    for i, w in items:
+        for _ in range(4):
+            plant("reworded", i, reworded(w, 0.3, r, pool))
+        plant("swapped", i, w[len(w) // 2 :] + w[: len(w) // 2])
+    for _ in range(3):
+        plant("long", 5000, long)
+        plant("long", 5000, reworded(long, 0.3, r, pool))
+        plant("short", 5001, ["Zyx,", "qwv", "KJH."])
+    planted += [(20_000, "lonely!"), (20_001, "so lonely here"), (20_002, "zyx kjh qwv")]
+    untouched = [(30_000 + k, t) for k, t in enumerate(clean)]
+    got = {(x["doc_id"], x["item_id"]): x for x in decontam.leaks(spark.createDataFrame(planted + untouched, "doc_id BIGINT, text STRING"), spark.createDataFrame(bench, "item_id BIGINT, text STRING")).collect()}
+    recall = {k: len(v & set(got)) / len(v) for k, v in want.items()}
+    print("recall", recall)
+    assert recall["reworded"] >= 0.9 and recall["long"] == recall["short"] == 1.0 and recall["swapped"] >= 0.9
+    assert (20_000, 5002) in got and not {(20_001, 5002), (20_002, 5001)} & set(got)
+    assert sum(d >= 30_000 for d, _ in got) <= 0.01 * len(untouched)
+
+
+def test_latent_search_equals_brute_force(spark, docs):
+    """Candidates are those of all latent cosines; these are not the plain ones, of which the high ones are found; the passes find the corpus' main directions."""
+    group = next(decontam.passes(queries.table(spark, SF, "benchmark"), "item_id", "text"))
+    own = decontam.fit(docs.select("text"), group)[0]
+    pieces = own.items.pieces
+    plain, passages, found = [], [], {}
+    for chunk in T.chunks(pa.array([r["text"] for r in docs.collect()])):
+        w = T.words(chunk)
+        base = len(passages)
+        for row in range(chunk.rows):
+            words = w.hashes[w.bounds[row] : w.bounds[row + 1]]
+            for k in range(0, max(1, len(words) - decontam.STRIDE), decontam.STRIDE):
+                if len(words):
+                    passages.append((chunk.first + row, int(w.bounds[row]) + k, words[k : k + decontam.PASSAGE_WORDS]))
+        assert base >= 0
+        for row, a, b, piece, likeness in decontam.candidates(w, own, 0.55):
+            if b - a > decontam.STRIDE or len(pieces[piece]) > decontam.STRIDE:
+                key = chunk.first + row, a, int(own.items.owner[piece])
+                found[key] = max(found.get(key, 0), likeness)
+    plain = decontam.vectors([x for *_, x in passages], own.vocabulary, own.weight)
+    directions = own.project / own.weight[:, None]
+    latent = plain @ directions
+    latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-20) @ own.latent
+    cosine = plain @ decontam.vectors(pieces, own.vocabulary, own.weight).T
+    best = {(d, a, int(i)): latent[k, own.items.owner == i].max() for k, (d, a, _) in enumerate(passages) for i in set(own.items.owner.tolist())}
+    assert {k for k, x in best.items() if x >= 0.5501} <= set(found) and all(best.get(k, 1) >= 0.5499 for k in found)
+    high = [(passages[k][0], passages[k][1], int(own.items.owner[j])) for k, j in zip(*np.nonzero(cosine >= 0.5), strict=True)]
+    assert len(high) > 5 and sum(k in found for k in high) / len(high) >= 0.9
+    assert np.abs(latent - cosine).max() > 0.2 and np.corrcoef(latent.ravel(), cosine.ravel())[0, 1] < 0.99
+    # the two passes against an exact decomposition of the same matrix (passages of 48 words, end to end)
+    vocabulary = own.vocabulary
+    counts = []
     for chunk in T.chunks(pa.array([r["text"] for r in docs.collect()])):
         w = T.words(chunk)
-        got = {(r, a, i) for r, a, _, i, _ in decontam.candidates(w, space, 0.3)}
-        row, start = decontam._blocks(w.bounds)
-        for k in range(len(row)):
-            if k and row[k - 1] == row[k] and not (k + 1 < len(row) and row[k + 1] == row[k]):
-                continue
-            a, b = start[k], min(start[k] + decontam.PASSAGE_WORDS, w.bounds[row[k] + 1])
-            here = collections.Counter(w.hashes[a:b].tolist())
-            term = space.vocabulary.numbers(w.hashes[a:b])
-            weight = dict(zip(w.hashes[a:b].tolist(), np.where(term >= 0, space.weight[term], space.other[(w.hashes[a:b] >> np.uint64(44)).astype(int)]).tolist(), strict=True))
-            norm = sum(n * weight[h] ** 2 for h, n in here.items()) ** 0.5
-            for i, own in enumerate(items.words):
-                q = {h: n**0.5 * space.weight[space.vocabulary.numbers(np.array([h], np.uint64))[0]] for h, n in collections.Counter(own.tolist()).items()}
-                dot = sum(here[h] ** 0.5 * weight[h] * v for h, v in q.items() if h in here)
-                if dot / norm / sum(v * v for v in q.values()) ** 0.5 >= 0.32:
-                    total += 1
-                    found += (int(row[k]), int(a), i) in got
-    assert total > 0 and found / total >= 0.9
+        for row in range(chunk.rows):
+            words = w.hashes[w.bounds[row] : w.bounds[row + 1]]
+            for k in range(0, len(words), decontam.PASSAGE_WORDS):
+                t = vocabulary.numbers(words[k : k + decontam.PASSAGE_WORDS])
+                counts.append(np.bincount(t[t >= 0], minlength=len(vocabulary)))
+    matrix = np.array(counts) * own.weight
+    exact = np.linalg.svd(matrix, compute_uv=False)
+    signs = decontam._signs(vocabulary.terms)
+    images, held, n = decontam._product(docs.select("text"), [vocabulary], [signs])
+    assert n == docs.count() and np.allclose(images[0], np.array(counts).T @ (np.array(counts) @ signs))
+    basis = np.linalg.qr(images[0] * own.weight[:, None])[0]
+    main = decontam.topics(basis, matrix.T @ (matrix @ basis))
+    assert (main**2).sum() >= 0.75 * (exact[: len(main)] ** 2).sum() and abs(np.linalg.norm(main[0]) / exact[0] - 1) < 0.02
 
 
 def test_common_subsequence():
