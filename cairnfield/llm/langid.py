@@ -1,28 +1,31 @@
 """Language identification by prediction by partial matching.
 
 For each language a context tree of up to three bytes gives the next byte's
-probability; a symbol unseen in a context escapes to the next shorter one (method
-C: a context with n occurrences of q distinct symbols escapes with q / (n + q)).
-Statistics are frozen after learning, so the exact code length of every symbol is
-laid out in one table and a text's code length is a sum of lookups. The language
-with the shortest code wins.
+probability; a byte unseen in a context escapes to the next shorter one (method
+C: a context with n occurrences of q distinct bytes escapes with q / (n + q)), and
+at last to all 256 alike. All bytes are symbols of their own. Statistics are frozen
+after learning, so the exact code length of every byte in every context that some
+language knows is laid out once, in sorted tables that hold only contexts seen; a
+text's code length is a sum of lookups, and the shortest code wins.
 
-Bytes are folded first: ASCII letters to lower case, digits, white space and
-other ASCII to one symbol each, then the most frequent bytes keep their own symbol.
+The score is the share of the best language among all, by code lengths; as bytes
+aren't independent, those of a text longer than EVIDENCE_BYTES count as if it had
+that many bytes.
 
 Learning reads a bounded sample: about `sample_rows` documents per language,
-chosen by a hash of their ids, which plays no part in predictions.
+chosen by a hash of their ids, which plays no part in predictions. More than
+MAX_LANGUAGES languages are refused.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if
 nothing was learned; equal texts get equal results; ties go to the first language
-in order of name; other columns are not read.
+in order of name; a text starts as if after spaces; other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any, NamedTuple
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,83 +37,106 @@ from . import text as T
 
 ORDER = 3
 SAMPLE_ROWS = 1500
-TABLE_CELLS = 24_000_000
-MAX_SYMBOLS = 48
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 EVIDENCE_BYTES = 200
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES, CHUNK_COSTS = 500_000, 4_000_000
 
 
 class Model(NamedTuple):
-    """Counts of (context, symbol) by language, from which every worker lays out its table."""
+    """Counts of (three bytes before, byte) by language, from which every worker lays out its tables."""
 
     name: str
     languages: list[str]
-    symbols: np.ndarray
-    n_symbols: int
     keys: list[np.ndarray]
     counts: list[np.ndarray]
 
 
-def folded() -> np.ndarray:
-    """The folded byte of each byte."""
-    out = np.arange(256, dtype=np.uint8)
-    for b in range(128):
-        c = chr(b)
-        out[b] = ord(c.lower()) if c.isalpha() else ord("0") if c.isdigit() else ord(" ") if c.isspace() else ord(".")
-    return out
+class Order(NamedTuple):
+    """Code lengths (rows) of (context, byte) keys and of escapes from contexts, by language (columns); keys ascend."""
 
+    keys: np.ndarray
+    costs: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
 
-def _sequence(raw: np.ndarray, bounds: np.ndarray, symbols: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of (three symbols before, symbol) for all bytes, rows one after the other; a text starts after spaces."""
+
+def _sequence(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (three bytes before, byte) for all bytes, and their rows; a text starts after spaces."""
     n, sizes = len(bounds) - 1, np.diff(bounds)
-    padded = np.full(len(raw) + ORDER * n, symbols[32], np.int32)
+    padded = np.full(len(raw) + ORDER * n, 32, np.uint32)
     owner = np.repeat(np.arange(1, n + 1, dtype=np.int64), sizes)
     at = np.arange(len(raw), dtype=np.int64) + owner * ORDER
-    padded[at] = symbols[raw]
+    padded[at] = raw
     keys = padded.copy()
     for k in range(1, ORDER + 1):
-        keys[ORDER:] += padded[ORDER - k : len(padded) - k] * np.int32(n_symbols**k)
+        keys[ORDER:] |= padded[ORDER - k : len(padded) - k] << np.uint32(8 * k)
     return keys[at], owner - 1
 
 
-def code_table(keys: np.ndarray, counts: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Code length in bits of each (context, symbol) under one language's frozen counts."""
-    dense = np.bincount(keys, weights=counts, minlength=n_symbols ** (ORDER + 1))
-    # order -1: all symbols alike, reached from order 0 by an escape
-    cost = np.full(n_symbols, np.log2(n_symbols))
+def tables(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[Order]:
+    """Code lengths in bits under each language's frozen counts, from order 0 up; a key's shorter one is in the order below."""
+    out: list[Order] = []
     for order in range(ORDER + 1):
-        size = n_symbols ** (order + 1)
-        seen = dense.reshape(-1, size).sum(axis=0).reshape(-1, n_symbols)
-        total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-        shorter = np.tile(cost.reshape(-1, n_symbols), (max(1, n_symbols**order // max(1, len(cost) // n_symbols)), 1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log2(total + kinds) - np.log2(seen)
-            escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
-        cost = np.where(seen > 0, own, shorter + escape).reshape(-1)
-    return cost.astype(np.float32)
+        mask = np.uint32((1 << 8 * (order + 1)) - 1)
+        cut = [k & mask for k in keys]
+        every = np.unique(np.concatenate([*cut, np.zeros(0, np.uint32)]))
+        context = every >> np.uint32(8)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(every) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
+        costs, escapes = np.zeros((len(every), len(keys)), np.float32), np.zeros((len(first), len(keys)), np.float32)
+        for k, (c, n) in enumerate(zip(cut, counts, strict=True)):
+            seen = np.bincount(np.searchsorted(every, c), weights=n, minlength=len(every))
+            total, kinds = (np.bincount(group, weights=x, minlength=len(first)) for x in (seen, seen > 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
+                own = np.log2((total + kinds)[group]) - np.log2(seen)
+            below = out[-1].costs[np.searchsorted(out[-1].keys, every & (mask >> np.uint32(8))), k] if out else 8.0
+            costs[:, k] = np.where(seen > 0, own, escape[group] + below)
+            escapes[:, k] = escape
+        out.append(Order(every, costs, context[first], escapes))
+    return out
 
 
-_tables: dict[str, np.ndarray] = {}
+def _place(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Numbers of the wanted keys, or -1."""
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), max(0, len(sorted_keys) - 1))
+    return np.where(sorted_keys[at] == wanted, at, -1) if len(sorted_keys) else np.full(len(wanted), -1)
+
+
+def costs(keys: np.ndarray, orders: list[Order]) -> np.ndarray:
+    """Bits of each byte (rows) under each language (columns); a context that no language knows is passed over."""
+    at = _place(orders[ORDER].keys, keys)
+    out = orders[ORDER].costs[at]
+    new = np.flatnonzero(at < 0)
+    out[new] = 0
+    for order in range(ORDER, -1, -1):
+        if order < ORDER:
+            at = _place(orders[order].keys, keys[new] & np.uint32((1 << 8 * (order + 1)) - 1))
+            out[new[at >= 0]] += orders[order].costs[at[at >= 0]]
+            new = new[at < 0]
+        context = _place(orders[order].contexts, (keys[new] & np.uint32((1 << 8 * (order + 1)) - 1)) >> np.uint32(8))
+        out[new[context >= 0]] += orders[order].escapes[context[context >= 0]]
+    out[new] += 8
+    return out
 
 
-def _table(model: Model) -> np.ndarray:
-    if model.name not in _tables:
-        _tables.clear()
-        made = np.empty((model.n_symbols ** (ORDER + 1), len(model.languages)), np.float32)
-        for k, (keys, counts) in enumerate(zip(model.keys, model.counts, strict=True)):
-            made[:, k] = code_table(keys, counts, model.n_symbols)
-        _tables[model.name] = made
-    return _tables[model.name]
+_tables: dict[str, list[Order]] = {}
+scratch.CACHES["langid"] = _tables
 
 
 def code_lengths(raw: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
     """Bits of each text (rows) under each language (columns)."""
+    if model.name not in _tables:
+        _tables.clear()
+        _tables[model.name] = tables(model.keys, model.counts)
     out = np.zeros((len(bounds) - 1, len(model.languages)))
-    keys, owner = _sequence(raw, bounds, model.symbols, model.n_symbols)
-    if len(keys):
-        some = np.flatnonzero(np.diff(bounds))
-        out[some] = np.add.reduceat(_table(model)[keys], bounds[:-1][some], axis=0, dtype=np.float64)
+    keys, owner = _sequence(raw, bounds)
+    step = max(1, CHUNK_COSTS // max(1, len(model.languages)))
+    for k in range(0, len(keys), step):
+        part, own = costs(keys[k : k + step], _tables[model.name]), owner[k : k + step]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first]] += np.add.reduceat(part, first, axis=0, dtype=np.float64)
     return out
 
 
@@ -125,60 +151,50 @@ def _byte_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the rows of `docs` with a language."""
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.abs(F.hash(F.col(id_col), F.lit(5))).alias("h"))
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(total)
-    name = uuid.uuid4().hex
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    place = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(5)), F.lit(1 << 31))
+    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), place.alias("h"))
+    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(total) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages, name = sorted(total), uuid.uuid4().hex
     if not languages:
-        return Model(name, [], np.zeros(256, np.int32), 1, [], [])
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample_rows / total[k]) * 2**31))])
-    sample = scratch.materialise(rows.filter(F.col("h") < share[F.col("lang")]).select("lang", "text"), "langid-sample")
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(256, np.int64)
-        for batch in batches:
-            seen += np.bincount(T.utf8(batch.column(0))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], names=["b", "n"])
-
-    seen = {r["b"]: r["n"] for r in sample.select("text").mapInArrow(scratch.lean(histogram, "langid"), "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()}
-    fold = folded()
-    weight = np.bincount(fold, weights=[seen.get(b, 0) for b in range(256)], minlength=256)
-    n_symbols = int(min(MAX_SYMBOLS, (TABLE_CELLS / len(languages)) ** (1 / (ORDER + 1))))
-    kept = [b for b in np.argsort(-weight, kind="stable").tolist() if weight[b] > 0 and b != 32][: n_symbols - 2]
-    place = np.zeros(256, np.int32)  # 0: all others
-    place[[32, *kept]] = np.arange(1, len(kept) + 2)
-    symbols, n_symbols = place[fold], len(kept) + 2
+        return Model(name, [], [], [])
+    share = docs.sparkSession.createDataFrame([(k, int(min(1.0, sample_rows / total[k]) * 2**31)) for k in languages], "lang string, below bigint")
+    sample = rows.join(F.broadcast(share), "lang").filter("h < below").select("lang", "text")  # at most MAX_LANGUAGES short rows are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense: dict[str, np.ndarray] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for first, raw, bounds in _byte_pieces(batch.column(1)):
-                keys, owner = _sequence(raw, bounds, symbols, n_symbols)
+                keys, owner = _sequence(raw, bounds)
                 by = langs[first : first + len(bounds) - 1]
                 for lang in set(by.tolist()):
-                    if lang not in dense:
-                        dense[lang] = np.zeros(n_symbols ** (ORDER + 1), np.int64)
-                    np.add.at(dense[lang], keys[(by == lang)[owner]], 1)
-        for lang, table in dense.items():
-            some = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int64)), pa.array(table[some])], names=["lang", "k", "n"])
-
-    found = sample.select("lang", "text").mapInArrow(scratch.lean(count, "langid"), "lang string, k bigint, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
+                    new, n = np.unique(keys[(by == lang)[owner]], return_counts=True)
+                    if lang in held:
+                        old, m = held[lang]
+                        every, back = np.unique(np.concatenate([old, new]), return_inverse=True)
+                        new, n = every, np.bincount(back, weights=np.concatenate([m, n])).astype(np.int64)
+                    held[lang] = new, n
+        for lang, (keys, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "n"])
+
+    found = sample.mapInArrow(scratch.lean(count, "langid"), "lang string, k bigint, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     lang, key, n = np.array(found.column(0).to_pylist(), object), found.column(1).to_numpy(), found.column(2).to_numpy()
     keys, counts = [], []
     for one in languages:
         mine = np.flatnonzero(lang == one)
         mine = mine[np.argsort(key[mine])]
-        keys.append(key[mine].astype(np.int32))
+        keys.append(key[mine].astype(np.uint32))
         counts.append(n[mine].astype(np.int64))
-    return Model(name, languages, symbols, n_symbols, keys, counts)
+    return Model(name, languages, keys, counts)
 
 
 def predict(docs: DataFrame, model: Model, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns `keep` with lang_pred and score."""
     keep = keep or ["doc_id"]
-    shared: Any = docs.sparkSession.sparkContext.broadcast(model)  # at most TABLE_CELLS counts
+    shared: Any = docs.sparkSession.sparkContext.broadcast(model)  # the counts of a bounded sample
     plain = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kept_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
 

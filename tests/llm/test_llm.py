@@ -316,28 +316,47 @@ def test_language_held_out(spark, docs, odd, none):
 
 
 def test_code_lengths_equal_a_tree():
-    """The table of code lengths against escapes followed symbol by symbol."""
+    """The sparse tables against escapes followed byte by byte, in two languages, also for bytes never seen."""
     r = np.random.default_rng(1)
-    n, seq = 5, r.integers(0, 5, 400)
-    padded = np.concatenate([np.zeros(3, int), seq])
-    keys = sum(padded[3 - k : len(padded) - k] * n**k for k in range(4))
-    table = langid.code_table(keys, np.ones(len(keys)), n)
-    counts = [collections.Counter(tuple(padded[i - k : i + 1]) for i in range(3, len(padded))) for k in range(4)]
+    texts = [bytes(r.choice([97, 98, 200, 255, 32], 400).astype(np.uint8)), "жизнь и 日本語 и жизнь".encode()]
+    seen = [langid._sequence(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in texts]
+    both = [np.unique(x, return_counts=True) for x in seen]
+    orders = langid.tables([k for k, _ in both], [n for _, n in both])
+    counts = [[collections.Counter((b"   " + x)[i - k : i + 1] for i in range(3, len(x) + 3)) for k in range(4)] for x in texts]
 
-    def cost(context, s):
+    def cost(lang, context, s):
         if context is None:
-            return np.log2(n)
+            return 8.0
         k = len(context)
-        seen = [counts[k][(*context, x)] for x in range(n)]
-        total, kinds = sum(seen), sum(x > 0 for x in seen)
-        shorter = cost(context[1:] if k else None, s)
+        after = {x: n for x, n in counts[lang][k].items() if x[:k] == context}
+        total, kinds = sum(after.values()), len(after)
+        shorter = cost(lang, context[1:] if k else None, s)
         if not total:
             return shorter
-        return np.log2(total + kinds) - np.log2(seen[s]) if seen[s] else np.log2((total + kinds) / kinds) + shorter
+        n = after.get(context + s, 0)
+        return np.log2(total + kinds) - np.log2(n) if n else np.log2((total + kinds) / kinds) + shorter
 
-    for key in range(n**4):
-        d = [key // n**3 % n, key // n**2 % n, key // n % n, key % n]
-        assert table[key] == pytest.approx(cost(tuple(d[:3]), d[3]), abs=1e-4)
+    probe = texts[0][:60] + texts[1] + bytes([7, 97, 98, 97, 9, 200, 255, 3, 32])
+    keys, _ = langid._sequence(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))
+    got = langid.costs(keys, orders)
+    padded = b"   " + probe
+    for i in range(len(probe)):
+        for lang in (0, 1):
+            assert got[i, lang] == pytest.approx(cost(lang, padded[i : i + 3], padded[i + 3 : i + 4]), abs=1e-4)
+
+
+def test_languages_in_other_scripts(spark):
+    """Languages of one script apart from each other, beside many more languages."""
+    r = random.Random(3)
+    syllables = {"ru": "жи знь про ста ния ый ова ться", "uk": "жи ття їхн ній про сто ння ові", "bg": "жи вот ъра ща ния та пре към", "ja": "日本 語で す。 これ は 東京 の 人々", "zh": "中国 的人 们在 这里 工作 。我 们是", "ar": "الح ياة في هذا ال مكان من ون"}
+    syllables |= {f"x{k}": " ".join("".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(2)) for _ in range(8)) for k in range(40)}
+    text = lambda s, n: " ".join("".join(r.choice(s) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(100 * k + j, text(s.split(), 60), lang) for k, (lang, s) in enumerate(syllables.items()) for j in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    model = langid.learn(frame.filter("doc_id % 100 < 8"))
+    assert len(model.languages) == 46
+    held = {r["doc_id"]: r["lang_pred"] for r in langid.predict(frame.filter("doc_id % 100 >= 8"), model).collect()}
+    assert np.mean([held[i] == lang for i, _, lang in rows if i in held]) >= 0.97
 
 
 def test_quality_held_out(spark, docs, odd, none):
