@@ -202,12 +202,12 @@ def _with_nodes(signed: DataFrame) -> DataFrame:
     return told.withColumn("node", F.when(F.col("first_check") != F.col("check"), F.xxhash64("raw", "check")).otherwise(F.col("raw"))).drop("first_check")
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], n: int) -> DataFrame:
     """Left join of rows with a table of `n` distinct keys: broadcast if that is small, else salted, as keys may be hot."""
     if n <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), key, "left")
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
 
 
 def _placed(signed: DataFrame) -> DataFrame:

@@ -315,14 +315,15 @@ def disclosing(docs: DataFrame, found: DataFrame, *, remove: float, generalise:
 def _term_spans(docs: DataFrame, found: DataFrame, **thresholds) -> DataFrame:
     """doc_id, row_key, terms: the spans that the method adds."""
     marked = scratch.materialise(disclosing(docs, found, **thresholds), "pii-terms")
-    hit = _occurrences(docs, marked).join(marked, ["entity", "term"]).select("doc_id", "row_key", "start", "end", "kind")
+    # a mail address of every page is a hot entity: few marked pairs are broadcast, many salted
+    hit = bagminhash.looked_up(_occurrences(docs, marked), marked, ["entity", "term"], marked.count()).filter("kind is not null").select("doc_id", "row_key", "start", "end", "kind")
     least = hit.groupBy("doc_id", "row_key", "start", "end").agg(F.min("kind").alias("kind"))
     return least.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("terms"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"))
+    return docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"))
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
@@ -353,7 +354,7 @@ def replaced(text: str, spans: list[Span]) -> str:
                 out.append(f"[{KINDS[kind].upper()}]")
             elif KINDS[kind] == "term_generalised":
                 word = text[start:stop]
-                out.append("[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]")
+                out.append("[NAME]" if word[:1].isupper() else "[TERM]")
         end = max(end, stop)
     out.append(text[end:])
     return "".join(out)
@@ -362,8 +363,9 @@ def replaced(text: str, spans: list[Span]) -> str:
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """The same rows and columns with sanitised texts (null stays null); base spans are found again in place, only added spans are joined."""
     plain = _keyed(docs, id_col, text_col)
-    found = scratch.materialise(_find(plain), "pii-found")
-    terms = scratch.materialise(_term_spans(plain, found, remove=remove, generalise=generalise, min_contexts=min_contexts), "pii-spans")
+    with scratch.scope(docs.sparkSession):
+        found = scratch.materialise(_find(plain), "pii-found")
+        terms = scratch.materialise(_term_spans(plain, found, remove=remove, generalise=generalise, min_contexts=min_contexts), "pii-spans", outer=True)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,6 +377,6 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     text = F.col(text_col).cast("string")
-    key = docs.select(F.struct("*").alias("row"), text.alias("_text"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"))
+    key = docs.select(F.struct("*").alias("row"), text.alias("_text"), F.col(id_col).try_cast("bigint").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"))
     both = key.join(terms, key["_id"].eqNullSafe(terms["doc_id"]) & (key["_key"] == terms["row_key"]), "left")
     return both.select("row", "_text", "terms").mapInArrow(scratch.lean(run), schema)  # the row stays a struct, whatever its columns' names

@@ -109,6 +109,34 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(frame.filter("false"))).count() == 0
 
 
+def test_chat_tokens_equal_the_library():
+    """Ids and offsets of rendered turns against one call of the library that knows the marks."""
+    from tokenizers import AddedToken, Tokenizer
+
+    r = random.Random(5)
+    library = Tokenizer.from_file(K.tokenizer_path())
+    library.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (chat.START, chat.SEPARATOR, chat.END)])
+    ids = {x: library.token_to_id(x) for x in (chat.START, chat.SEPARATOR, chat.END)}
+    marks, _ = chat.mark_ids(K.tokenizer_path())
+    said = dict(zip(marks, ids.values(), strict=True))
+    turns = [(r.choice(("user", "assistant", "", "sys tem")), "".join(r.choice(("the ", " a", "\n", "naïve", "日本語", "🙂", "<|", "<\\|", "'s ", "  ", "12", "<|endoftext|>")) for _ in range(r.randint(0, 30)))) for _ in range(200)]
+    for first in range(0, 200, 20):
+        part = turns[first : first + 20]
+        text, starts, ends = chat.render(part)
+        want = library.encode(text, add_special_tokens=False)
+        got, a, b, counts = chat.encode(part, K.tokenizer_path())
+        assert [said.get(x, x) for x in got.tolist()] == want.ids and list(zip(a.tolist(), b.tolist(), strict=True)) == want.offsets and counts.sum() == len(got)
+        mask = chat.loss_mask(a, b, starts, ends)
+        assert mask.tolist() == [any(x < e and y > s for s, e in zip(starts, ends, strict=True)) for x, y in want.offsets]
+
+
+def test_chat_is_read_back_after_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 100)
+    frame = spark.createDataFrame([(c, k, ("user", "assistant")[k % 2], f"text {k} of {c} " * 9) for c in (1, 2, None) for k in range(12)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    made = chat.format_conversations(frame)
+    assert sorted(chat.read_back(made.orderBy(F.desc("part")), ordered=False).collect(), key=str) == sorted(chat.read_back(made, ordered=True).collect(), key=str)
+
+
 def test_chat_parts_of_long_conversations(spark, monkeypatch):
     frame = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], f"text {k} " * 9) for k in range(12)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
     whole = chat.read_back(chat.format_conversations(frame)).first()
@@ -299,6 +327,61 @@ def test_disclosing_terms_far_from_the_mention(spark):
     assert all(spans[k].count("term_removed") == 3 for k in (0, 1, 2, 3, 4, None))
 
 
+def test_added_spans_equal_brute_force(spark):
+    """All added spans of a corpus with planted disclosing terms against counts by loops; and how many of them were planted."""
+    r = random.Random(12)
+    common = [f"plain{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)]
+    people = [(f"Person{chr(97 + k)}zed", f"City{chr(97 + k)}ville", f"who{k}@mail.example.com") for k in range(8)]
+    rows = []
+    for k in range(160):
+        words = [r.choice(common) for _ in range(r.randint(20, 60))]
+        if k < 72:
+            name, city, mail = people[k % 8]
+            at = r.randrange(len(words))
+            words[at:at] = [f"seen{chr(97 + k % 26)}{chr(97 + k // 26)}", mail, name if k % 16 < 12 else "someone"]
+            if k % 3:
+                words.insert(r.randrange(len(words)), city)
+        elif k % 5 == 0:
+            words.insert(3, people[k % 8][1])
+        rows.append((k, " ".join(words)))
+    got = {x["doc_id"]: x["spans"] for x in pii.detect(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    holds, mails, contexts = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    tokens = {}
+    for d, text in rows:
+        base = [(a, b) for a, _, b in pii.base_spans(text)]
+        found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        usable = [(w, a, b) for w, a, b in found if sum(c.isalpha() for c in w) >= 3 and not any(a < y and b > x for x, y in base)]
+        tokens[d] = usable
+        for w, *_ in found:
+            holds[w].add(d)
+        for x, y in base:
+            entity = text[x:y].lower()
+            mails[entity].add(d)
+            around = [w for w, a, b in found if b <= x][-8:] + [w for w, a, b in found if a >= y][:8]
+            mine = tuple(w for w in around if w in {u for u, *_ in usable})
+            for w in {u for u, *_ in usable}:
+                contexts[entity, w].add(mine)
+    n, marked = len(rows), {}
+    for (entity, w), seen in contexts.items():
+        both = len(mails[entity] & holds[w])
+        if len(seen) >= 3:
+            share = np.log(both * n / (len(mails[entity]) * len(holds[w]))) / np.log(n / len(mails[entity]))
+            if share >= pii.GENERALISE:
+                marked[entity, w] = 4 if share >= pii.REMOVE else 5
+    want, right, total = {}, 0, 0
+    names = {x.lower() for p in people for x in p[:2]}
+    for d, text in rows:
+        own = pii.base_spans(text)
+        spans = list(own)
+        for w, a, b in tokens[d]:
+            kinds = [marked[e, w] for e in mails if d in mails[e] and (e, w) in marked]
+            if kinds:
+                spans.append((a, min(kinds), b))
+                right, total = right + (w in names), total + 1
+        want[d] = pii.joined(sorted(spans))
+    assert got == want and total > 40 and right / total >= 0.95
+
+
 def test_pii_query_equals_the_patterns(spark, docs):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in queries.op4_pii(spark, SF).collect():
