@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
 import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit, urlunsplit
@@ -15,105 +16,217 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from cairnfield import schemas as S
+
 from . import text as T
 
-MAX_BODY_BYTES = 2 * 1024 * 1024  # fixed value: bodies are cut here when they are captured
+MAX_BODY_BYTES = 2 * 1024 * 1024  # fixed value: larger bodies are an error
+_WINDOWS = {"gzip": 16 + zlib.MAX_WBITS, "x-gzip": 16 + zlib.MAX_WBITS, "deflate": zlib.MAX_WBITS}
 
 
-def _decoded(body: bytes | None, encoding: str | None) -> bytes | None:
-    """The body with its content codings undone, last first; the raw bytes where one can't be."""
-    if body is None:
-        return None
-    data = bytes(body)
-    for coding in reversed([x.strip().lower() for x in (encoding or "").split(",") if x.strip()]):
-        try:
-            if coding in ("gzip", "x-gzip"):
-                data = gzip.decompress(data)
-            elif coding == "deflate":
-                try:
-                    data = zlib.decompress(data)
-                except zlib.error:
-                    data = zlib.decompress(data, -zlib.MAX_WBITS)
-            elif coding != "identity":
-                return bytes(body)
-        except (OSError, EOFError, zlib.error):
-            return bytes(body)
-        if len(data) > MAX_BODY_BYTES:
-            return data[:MAX_BODY_BYTES]
-    return data
+class TooLarge(ValueError):
+    """A body beyond the limit."""
+
+
+def _inflated(data: bytes, window: int) -> bytes:
+    """Undoes one coding, member by member, and stops at the limit: a bomb is never unpacked."""
+    out: list[bytes] = []
+    size = 0
+    while data:
+        member = zlib.decompressobj(window)
+        part = member.decompress(data, MAX_BODY_BYTES + 1 - size)
+        size += len(part)
+        if size > MAX_BODY_BYTES:
+            raise TooLarge
+        if not member.eof:
+            raise zlib.error("truncated")
+        out.append(part)
+        data = member.unused_data if window > zlib.MAX_WBITS else b""
+    return b"".join(out)
 
 
-@F.pandas_udf(BinaryType())
-def decode_body(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Bodies with gzip and deflate undone."""
+def decoded(body: bytes | None, encoding: str | None) -> tuple[bytes | None, str | None]:
+    """The body with its content codings undone, last first, and an error: the raw bytes where one can't be, none beyond the limit."""
+    if body is None:
+        return None, None
+    data = raw = bytes(body)
+    codings = [x.strip().lower() for x in (encoding or "").split(",")]
+    try:
+        if len(data) > MAX_BODY_BYTES:
+            raise TooLarge
+        for coding in reversed([x for x in codings if x not in ("", "identity")]):
+            if coding not in _WINDOWS:
+                return raw, "decode_error"
+            try:
+                data = _inflated(data, _WINDOWS[coding])
+            except zlib.error:
+                if coding != "deflate":
+                    raise
+                data = _inflated(data, -zlib.MAX_WBITS)  # without its header
+    except TooLarge:
+        return None, "body_too_large"
+    except zlib.error:
+        return raw, "decode_error"
+    return data, None
+
+
+@F.pandas_udf(StructType([StructField("body", BinaryType()), StructField("error", StringType())]))
+def decode_body(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Bodies with gzip and deflate undone, and the errors."""
     for body, encoding in batches:
-        yield pd.Series([_decoded(b, e) for b, e in zip(body, encoding, strict=True)])
+        made = [decoded(b, e) for b, e in zip(body, encoding, strict=True)]
+        yield pd.DataFrame({"body": pd.Series([x for x, _ in made], dtype="object"), "error": pd.Series([x for _, x in made], dtype="object")})
 
 
 def body_text(body: Column) -> Column:
-    return F.decode(body, "UTF-8")
+    """The text of a body; bytes that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(body.cast("string"))
 
 
 def sha256(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
+# Error codes and names by class.
+CODES = {
+    "timeout": ("UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT", "ETIMEDOUT"),
+    "reset": ("ECONNRESET", "UND_ERR_SOCKET"),
+    "dns": ("ENOTFOUND", "EAI_AGAIN"),
+    "refused": ("ECONNREFUSED",),
+}
+ABORTED = "AbortError"
+#: What messages say, as parts of them in lower case.
+PROXY_SAYS, PROXY_HINTS = ("proxy response (", "http tunneling", "407"), ("proxy", "tunnel")
+RESET_SAYS, TLS_SAYS = ("socket hang up", "other side closed"), ("cert", "tls", "ssl", "handshake")
+
+
+def _says(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
 def error_class(name: Column, code: Column, message: Column) -> Column:
-    """Class of a failed request, by the first rule that holds."""
-    name, code, message = (F.coalesce(c, F.lit("")) for c in (name, code, message))
-    return (
-        F.when(message.rlike(r"(?i)Proxy response \(\d+\)|HTTP Tunneling|407"), "proxy_denied")
-        .when((name == "AbortError") | code.isin("UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT", "ETIMEDOUT"), "timeout")
-        .when(code.isin("ECONNRESET", "UND_ERR_SOCKET") | message.rlike("(?i)socket hang up|other side closed"), "reset")
-        .when(F.concat(code, F.lit(" "), message).rlike("(?i)CERT|certificate|TLS|SSL|handshake"), "tls")
-        .when(code.isin("ENOTFOUND", "EAI_AGAIN"), "dns")
-        .when(code == "ECONNREFUSED", "refused")
-        .when(message.rlike("(?i)proxy|407|tunnel"), "proxy_denied")
-        .otherwise("other")
-    )
+    """Class of a failed request: what a proxy says comes first, then codes and words by class, at last a hint of a proxy."""
+    name, code, said = (F.coalesce(c, F.lit("")) for c in (name, code, F.lower(message)))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kind, codes in CODES.items() for c in codes for x in (c, kind)]), code)
+    signals = [
+        ("proxy_denied", _says(said, PROXY_SAYS)),
+        ("timeout", (name == ABORTED) | (known == "timeout")),
+        ("reset", (known == "reset") | _says(said, RESET_SAYS)),
+        ("tls", _says(F.concat_ws(" ", F.lower(code), said), TLS_SAYS)),
+    ]
+    out = [F.when(F.coalesce(holds, F.lit(False)), kind) for kind, holds in signals]
+    return F.coalesce(*out, known, F.when(_says(said, PROXY_HINTS), "proxy_denied"), F.lit("other"))
 
 
 def header(headers: Column, name: str) -> Column:
     return F.try_element_at(headers, F.lit(name))
 
 
-def proxy_interstitial(status: Column, headers: Column, body: Column, signature: str | None = None) -> Column:
-    """The crawler's own proxy answered: by its headers, or a signature in the first 4096 characters."""
-    own = header(headers, "x-agentproxy-denied").isNotNull() | header(headers, "proxy-authenticate").isNotNull()
+def proxy_interstitial(status: Column, headers: Column, body: Column, signature: str | None = None, denied: tuple[str, ...] = ("proxy-authenticate",)) -> Column:
+    """The crawler's own proxy answered: one of the headers `denied` is there, or a signature in the first 4096 characters."""
+    own = F.lit(False)
+    for name in denied:
+        own = own | header(headers, name).isNotNull()
     if signature is not None:
         own = own | F.coalesce(F.substring(body, 1, 4096).rlike(signature), F.lit(False))
     return status.isin(403, 407) & own
 
 
+# Marks of bot defences as (header, its value or a part of it, statuses, parts of the body); null is any.
+DEFENCES = [
+    ("cf-mitigated", "=challenge", None, None),
+    ("x-vercel-mitigated", "=challenge", None, None),
+    ("server", "=cloudflare", (403, 503), ("cf-chl", "challenge-platform", "just a moment")),
+    ("x-datadome", None, (403, 429), None),
+    ("x-px-block", None, (403, 429), None),
+    ("set-cookie", "_px", (403, 429), None),
+    ("set-cookie", "datadome", (403, 429), None),
+    ("set-cookie", "perimeterx", (403, 429), None),
+    (None, None, (403,), ("akamai", "access denied")),
+]
+REFERENCE_NUMBER = r"(?i)reference #\d+\.\w+\.\d+"
+
+
 def challenge(status: Column, headers: Column, body: Column) -> Column:
-    """A bot-defence page rather than the site's answer."""
-    body = F.coalesce(body, F.lit(""))
-    marked = header(headers, "x-datadome").isNotNull() | header(headers, "x-px-block").isNotNull() | F.coalesce(header(headers, "set-cookie").rlike("(?i)_px|datadome|perimeterx"), F.lit(False))
-    mitigated = F.coalesce(header(headers, "cf-mitigated") == "challenge", F.lit(False))
-    front = F.coalesce(header(headers, "server") == "cloudflare", F.lit(False)) & status.isin(403, 503) & body.rlike("(?i)cf-chl|challenge-platform|Just a moment")
-    vercel = F.coalesce(header(headers, "x-vercel-mitigated") == "challenge", F.lit(False))
-    denied = body.rlike(r"(?i)akamai|Access Denied|Reference #\d+\.\w+\.\d+") & (status == 403)
-    return F.when(mitigated | front | vercel, True).when(marked, status.isin(403, 429)).otherwise(denied)
+    """A bot-defence page rather than the site's answer: any of the marks, or a block page's reference number."""
+    text = F.lower(F.coalesce(body, F.lit("")))
+    found = (status == 403) & text.rlike(REFERENCE_NUMBER)
+    for name, value, statuses, parts in DEFENCES:
+        mark = F.lit(True)
+        if name is not None:
+            held = header(headers, name)
+            mark = held.isNotNull() if value is None else held == value[1:] if value[0] == "=" else F.contains(F.lower(held), F.lit(value))
+        if statuses is not None:
+            mark = mark & status.isin(*statuses)
+        if parts is not None:
+            mark = mark & _says(text, parts)
+        found = found | F.coalesce(mark, F.lit(False))
+    return found
+
+
+_CHALLENGE = ("raw", "scheme", "realm", "resource_metadata", "error", "error_description", "scope")
+
+
+def _parts_of_header(raw: str) -> Iterator[tuple[str, str | None, bool]]:
+    """(name, value, whether it begins an element of the list); the value of a bare word is null."""
+    at, size, begins = 0, len(raw), True
+    while at < size:
+        if raw[at] in " \t\r\n,":
+            begins |= raw[at] == ","
+            at += 1
+            continue
+        end = at
+        while end < size and raw[end] not in ' \t\r\n,="':
+            end += 1
+        name, at = raw[at:end], max(end, at + 1)
+        after = raw[end:].lstrip()
+        if not after.startswith("="):
+            yield name, None, begins
+        else:
+            at = size - len(after) + 1
+            while at < size and raw[at].isspace():
+                at += 1
+            value: list[str] = []
+            if raw[at : at + 1] == '"':
+                at += 1
+                while at < size and raw[at] != '"':
+                    at += raw[at] == "\\" and at + 1 < size
+                    value.append(raw[at])
+                    at += 1
+                at += 1
+            else:
+                while at < size and not (raw[at].isspace() or raw[at] == ","):
+                    value.append(raw[at])
+                    at += 1
+            yield name, "".join(value).strip(), begins
+        begins = False
+
+
+def parsed_challenge(raw: str | None) -> dict | None:
+    """The Bearer challenge of a WWW-Authenticate header with all that follows it, else the first; null for a blank header."""
+    if raw is None or not raw.strip():
+        return None
+    out: dict = dict.fromkeys(_CHALLENGE) | {"raw": raw}
+    parts = list(_parts_of_header(raw))
+    start = next((k for k, (name, value, begins) in enumerate(parts) if begins and value is None and name.lower() == "bearer"), 0)
+    if parts and parts[start][0][:1].isalpha():
+        out["scheme"] = parts[start][0]
+        # of several values the last counts
+        out |= {name.lower(): value for name, value, _ in parts[start:] if value is not None and name.lower() in _CHALLENGE[2:]}
+    return out
 
 
-def www_authenticate(raw: Column) -> Column:
-    """The Bearer challenge of a WWW-Authenticate header if there is one, else the first; null for a blank header."""
-    bearer = r"(?is)(?:^|,\s*)(Bearer)\b\s*(.*)$"
-    first = r"(?s)^\s*([A-Za-z][A-Za-z0-9._~+/-]*)\s*(.*)$"
-    scheme = F.when(raw.rlike(bearer), F.regexp_extract(raw, bearer, 1)).otherwise(F.regexp_extract(raw, first, 1))
-    params = F.when(raw.rlike(bearer), F.regexp_extract(raw, bearer, 2)).otherwise(F.regexp_extract(raw, first, 2))
+@F.pandas_udf(StringType())
+def _challenge_json(raws: pd.Series) -> pd.Series:
+    return pd.Series([None if (x := parsed_challenge(r)) is None else json.dumps(x) for r in raws], dtype="object")
 
-    def value(name: str) -> Column:
-        # of several, the last counts
-        one = rf'(?is)(?:^|[\s,])({name})\s*=\s*(?:"((?:[^"\\]|\\.)*)"|([^\s,]+))'
-        quoted = F.element_at(F.regexp_extract_all(params, F.lit(one), F.lit(2)), -1)
-        plain = F.element_at(F.regexp_extract_all(params, F.lit(one), F.lit(3)), -1)
-        found = F.size(F.regexp_extract_all(params, F.lit(one), F.lit(1))) > 0
-        return F.when(found, T.trim(F.when(plain != "", plain).otherwise(F.regexp_replace(quoted, r"\\(.)", "$1"))))
 
-    none = F.lit(None).cast("string")
-    fields = {n: F.when(scheme != "", value(n)).otherwise(none) for n in ("realm", "resource_metadata", "error", "error_description", "scope")}
-    return F.when(T.trim(raw) != "", F.struct(raw.alias("raw"), F.nullif(scheme, F.lit("")).alias("scheme"), *[c.alias(n) for n, c in fields.items()]))
+def www_authenticate(raw: Column) -> Column:
+    """Struct of the challenge that counts in a WWW-Authenticate header; null for a blank one."""
+    return F.from_json(_challenge_json(raw), ", ".join(f"{n} STRING" for n in _CHALLENGE))
 
 
 def first_sse_data(body: Column) -> Column:
@@ -176,15 +289,81 @@ def resolve_links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([[r for x in urls if x is not None and (r := resolved(x, b or ""))] if urls is not None else None for urls, b in zip(links, base, strict=True)])
 
 
-def markdown_links(body: Column) -> Column:
+def linked(text: str) -> list[str]:
     """Distinct targets of Markdown links, then of bare URLs, in order of appearance."""
-    marked = F.regexp_extract_all(body, F.lit(r"\[[^\]]*\]\(\s*<?([^\s)>]+)>?(?:\s+\"[^\"]*\")?\s*\)"), F.lit(1))
-    bare = F.regexp_extract_all(body, F.lit(r"(?<![(\]])\bhttps?://[^\s<>)\"']+"), F.lit(0))
-    return F.array_distinct(F.concat(marked, F.transform(bare, lambda u: F.regexp_replace(u, "[.,;:]+$", ""))))
+    marked, bare, closed = [], [], -1
+    at = text.find("]")
+    while at >= 0:
+        if text.startswith("(", at + 1) and text.rfind("[", closed + 1, at) >= 0:
+            rest = text[at + 2 : at + 4098].lstrip()
+            target = re.match(r"<?([^\s)>]+)>?", rest)
+            if target:
+                tail = rest[target.end() :].lstrip()
+                if tail.startswith('"') and (end := tail.find('"', 1)) > 0 and target.end() < len(rest) and rest[target.end()].isspace():
+                    tail = tail[end + 1 :].lstrip()
+                if tail.startswith(")"):
+                    marked.append(target[1])
+        closed = at
+        at = text.find("]", at + 1)
+    at = text.find("http")
+    while at >= 0:
+        end = at + 4
+        before = text[at - 1 : at]
+        if text.startswith(("http://", "https://"), at) and before not in ("(", "]") and not (before.isalnum() or before == "_"):
+            while end < len(text) and not (text[end].isspace() or text[end] in "<>)\"'"):
+                end += 1
+            if not text[at:end].endswith("://"):
+                bare.append(text[at:end].rstrip(".,;:"))
+        at = text.find("http", end)
+    return list(dict.fromkeys(marked + bare))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def markdown_links(bodies: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else linked(x) for x in bodies], dtype="object")
+
+
+# Names of descriptions, extensions of files that are no pages, first words of paths that end a session.
+API_NAMES, API_EXTENSIONS = ("openapi", "swagger"), ("json", "yaml", "yml")
+ASSET_EXTENSIONS = tuple("png jpg jpeg gif svg webp ico css js mjs json xml pdf zip gz tgz mp3 mp4 webm woff woff2 ttf eot txt csv rss atom".split())
+LEAVING_WORDS = ("logout", "signout", "sign-out", "delete", "unsubscribe")
+CARD_PATHS = tuple(path for _, path, artifact, *_ in S.PROBE_SPECS if artifact in S.CARDS)
+
+
+def _last(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, "/"), -1))
+
+
+def _extension(path: Column) -> Column:
+    last = _last(path)
+    return F.when(F.contains(last, F.lit(".")), F.substring_index(last, ".", -1))
+
+
+def is_api_link(path: Column) -> Column:
+    """The last part of a path names an API description: a description's name alone, or within a file of its format."""
+    last = _last(path)
+    return (last.isin(*API_NAMES) & F.contains(path, F.lit("/"))) | (F.coalesce(_extension(path).isin(*API_EXTENSIONS), F.lit(False)) & _says(last, API_NAMES))
+
+
+def is_card_link(path: Column) -> Column:
+    found = F.lit(False)
+    for known in CARD_PATHS:
+        found = found | F.lower(path).endswith(known)
+    return found
 
 
-OPENAPI_LINK = r"(?i)(openapi|swagger)[^/]*\.(json|ya?ml)$|/openapi(\.json|\.yaml|\.yml)?$|/swagger(\.json)?$"
-CARD_LINK = r"(?i)/\.well-known/(mcp-server-card|mcp/server-card\.json|agent-card\.json|agent\.json)$"
+def is_asset(path: Column) -> Column:
+    """A file that is no page, by its extension."""
+    return F.coalesce(_extension(path).isin(*ASSET_EXTENSIONS), F.lit(False))
+
+
+def is_leaving(path: Column) -> Column:
+    """A path that would end a session or delete something."""
+    first = F.lower(F.regexp_extract(path, "^/?([A-Za-z0-9_-]*)", 1))
+    found = F.lit(False)
+    for word in LEAVING_WORDS:
+        found = found | ((first == word) | first.startswith(word + "-"))
+    return found
 
 
 def llms_links(body: Column, base: Column) -> Column:
@@ -192,53 +371,62 @@ def llms_links(body: Column, base: Column) -> Column:
     raw = markdown_links(body)
     full = resolve_links(raw, base)
     kind = lambda u: F.coalesce(T.path(u), u)
-    openapi = F.array_distinct(F.filter(full, lambda u: kind(u).rlike(OPENAPI_LINK)))
-    card = F.array_distinct(F.filter(full, lambda u: ~kind(u).rlike(OPENAPI_LINK) & kind(u).rlike(CARD_LINK)))
+    openapi = F.array_distinct(F.filter(full, lambda u: is_api_link(kind(u))))
+    card = F.array_distinct(F.filter(full, lambda u: ~is_api_link(kind(u)) & is_card_link(kind(u))))
     return F.struct(openapi.alias("openapi"), card.alias("card"), F.size(raw).alias("total"))
 
 
-ASSET = r"(?i)\.(png|jpe?g|gif|svg|webp|ico|css|js|mjs|json|xml|pdf|zip|gz|tgz|mp[34]|webm|woff2?|ttf|eot|txt|csv|rss|atom)(\?|#|$)"
-LEAVING = r"(?i)^/?(logout|signout|sign-out|delete|unsubscribe)\b"
-
-
 # ---------------------------------------------------------------------------------------------------------------------
 # origin-trial tokens: version (1 byte), signature (64), payload length (4, big-endian), payload
 
 
-def decode_token(token: str) -> dict:
-    out: dict = dict.fromkeys(("version", "feature", "expiry", "origin", "is_subdomain", "is_third_party", "decode_error"))
+HEAD = struct.Struct(">B64xI")
+#: Fields of a token: name in the payload, the type it must have there, and ours.
+TOKEN = {"version": int, "feature": str, "expiry": str, "origin": str, "is_subdomain": bool, "is_third_party": bool, "decode_error": str}
+PAYLOAD = (("feature", str, "feature"), ("origin", str, "origin"), ("isSubdomain", bool, "is_subdomain"), ("isThirdParty", bool, "is_third_party"))
+
+
+def _payload(token: str) -> tuple[int | None, dict | str]:
+    """Version and payload of a token, or what is wrong with it."""
+    padded = token.strip()
     try:
-        data = base64.b64decode(token.strip() + "=" * (-len(token.strip()) % 4))
+        data = base64.b64decode(padded.ljust(-(-len(padded) // 4) * 4, "="))
     except (binascii.Error, ValueError):
-        return out | {"decode_error": "base64"}
-    if len(data) < 69:
-        return out | {"decode_error": "too_short"}
-    out["version"] = data[0]
-    if data[0] not in (2, 3):
-        return out | {"decode_error": f"unknown_version:{data[0]}"}
-    size = int.from_bytes(data[65:69], "big")
-    payload = data[69 : 69 + size]
-    if len(payload) != size:
-        return out | {"decode_error": "length_mismatch"}
+        return None, "base64"
+    if len(data) < HEAD.size:
+        return None, "too_short"
+    version, size = HEAD.unpack_from(data)
+    body = data[HEAD.size : HEAD.size + size]
+    if version not in (2, 3):
+        return version, f"unknown_version:{version}"
+    if len(body) < size:
+        return version, "length_mismatch"
     try:
-        found = json.loads(payload.decode("utf-8", "replace"))
-        found = found if isinstance(found, dict) else {}
+        return version, json.loads(str(body, "utf-8", "replace"))
     except ValueError:
-        return out | {"decode_error": "payload_json"}
-    number = found.get("expiry")
-    if isinstance(number, int | float) and not isinstance(number, bool):
-        out["expiry"] = pd.Timestamp(number, unit="s").strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
-    for key, name, kind in (("feature", "feature", str), ("origin", "origin", str), ("isSubdomain", "is_subdomain", bool), ("isThirdParty", "is_third_party", bool)):
-        if isinstance(found.get(key), kind):
-            out[name] = found[key]
+        return version, "payload_json"
+
+
+def decode_token(token: str) -> dict:
+    """Fields of an origin-trial token; its signature isn't checked."""
+    version, held = _payload(token)
+    out = dict.fromkeys(TOKEN) | {"version": version}
+    if isinstance(held, str):
+        return out | {"decode_error": held}
+    held = held if isinstance(held, dict) else {}
+    out |= {ours: held[name] for name, kind, ours in PAYLOAD if isinstance(held.get(name), kind)}
+    until = held.get("expiry")
+    if type(until) in (int, float):
+        out["expiry"] = pd.Timestamp(until, unit="s").isoformat(timespec="milliseconds") + "Z"
     return out
 
 
-_TOKEN_FIELDS = StructType([StructField(n, IntegerType() if n == "version" else BooleanType() if n.startswith("is_") else StringType()) for n in ("version", "feature", "expiry", "origin", "is_subdomain", "is_third_party", "decode_error")])
+_TYPES = {int: IntegerType(), str: StringType(), bool: BooleanType()}
+_TOKEN_FIELDS = StructType([StructField(n, _TYPES[kind]) for n, kind in TOKEN.items()])
 
 
 @F.pandas_udf(_TOKEN_FIELDS)
 def decode_tokens(tokens: pd.Series) -> pd.DataFrame:
-    rows = [decode_token(x) if x is not None else dict.fromkeys(("version", "feature", "expiry", "origin", "is_subdomain", "is_third_party", "decode_error")) for x in tokens]
+    rows = [decode_token(x) if x is not None else dict.fromkeys(TOKEN) for x in tokens]
     out = pd.DataFrame(rows)
     return out.astype({"version": "Int32", "is_subdomain": "boolean", "is_third_party": "boolean"})

@@ -58,24 +58,51 @@ def simhash_expr(body: Column) -> Column:
     return F.when(F.size(hashes) == 0, F.lit(None).cast("bigint")).otherwise(one)
 
 
-def _votes(shingled: list[str]) -> int:
-    data = [x.encode("latin-1") for x in shingled]
-    longest = max(map(len, data))
-    table = np.zeros((len(data), longest), np.uint64)
-    for k, x in enumerate(data):
-        table[k, : len(x)] = np.frombuffer(x, np.uint8)
-    size = np.array(list(map(len, data)))
+PIECE_BYTES = 4_000_000
+
+
+def fnv_of(data: list[bytes]) -> np.ndarray:
+    """FNV-1a of byte strings side by side, over one flat buffer: at each place only the strings that reach it."""
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-size, kind="stable")
+    start = (np.cumsum(size) - size)[order]
+    flat, falling = np.frombuffer(b"".join(data), np.uint8), -size[order]
     h = np.full(len(data), OFFSET, np.uint64)
-    for j in range(longest):
-        h = np.where(j < size, (h ^ table[:, j]) * np.uint64(PRIME), h)
+    for j in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(falling, -j))
+        h[:n] = (h[:n] ^ flat[start[:n] + j]) * np.uint64(PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _votes(rows: list[list[str]]) -> list[int]:
+    """SimHash of each row's shingles, none of which is empty of them."""
+    h = fnv_of([x.encode("latin-1") for row in rows for x in row])
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(data)).tobytes(), "big", signed=True)
+    count = np.array([len(row) for row in rows])
+    first = np.cumsum(count) - count
+    votes = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > count[:, None]
+    return [int.from_bytes(x.tobytes(), "big", signed=True) for x in np.packbits(votes, axis=1)]
 
 
 @F.pandas_udf(LongType())
 def _simhash_of_shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield pd.Series([_votes(list(x)) if x is not None and len(x) else None for x in batch], dtype="Int64")
+        out: list[int | None] = [None] * len(batch)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, x in enumerate(batch):
+            if x is not None and len(x):
+                held.append((k, list(x)))
+                size += sum(map(len, x)) + 8 * len(x)
+            if held and (size >= PIECE_BYTES or k == len(batch) - 1):
+                for (at, _), value in zip(held, _votes([row for _, row in held]), strict=True):
+                    out[at] = value
+                held, size = [], 0
+        for (at, _), value in zip(held, _votes([row for _, row in held]) if held else [], strict=True):
+            out[at] = value
+        yield pd.Series(out, dtype="Int64")
 
 
 def simhash(body: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,17 @@ def upper_median(name: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
 
 
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, mean_median, upper_median of the non-null values: a range sort numbers all rows, and of each group the middle ones are picked, so no task holds a group."""
+    from cairnfield.operators.lookups import numbered
+
+    placed = numbered(rows.select(F.col(group).alias("_g"), F.col(value).alias("_v")).filter("_v is not null"), [F.col("_g"), F.col("_v")])
+    ends = placed.groupBy(F.col("_g").alias("_e")).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    near = placed.join(ends, F.col("_g").eqNullSafe(F.col("_e"))).select("_g", "_v", (F.col("_pos") - F.col("_first")).alias("_k"), "_n")
+    picked = near.filter((F.col("_k") == F.floor(F.col("_n") / 2)) | (F.col("_k") == F.floor((F.col("_n") - 1) / 2)))
+    return picked.groupBy(F.col("_g").alias(group)).agg(F.avg("_v").alias("mean_median"), F.max("_v").alias("upper_median"))
+
+
 def percent(k: int, n: int, empty: str = "-") -> str:
     """k of n as a percentage of one decimal, ties away from zero on the exact value."""
     return f"{Decimal(100 * k / n).quantize(Decimal('0.1'), ROUND_HALF_UP)}%" if n else empty

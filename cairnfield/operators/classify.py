@@ -152,5 +152,5 @@ def long_probes(results: DataFrame, *keep: str) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key; with descending order the last."""
+    """The first row of each key; with descending order the last. Spark keeps one row of a key in each task before the shuffle (a group limit on the window)."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

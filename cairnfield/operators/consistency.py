@@ -45,18 +45,22 @@ def match_pairs(rows: DataFrame) -> DataFrame:
 def nearest_operations(tools: DataFrame, ops: DataFrame, group: str = "host") -> DataFrame:
     """For every tool (group, tool_pos, tool) the operation (group, op_pos, op) with the largest share of common words; the first of equals, null without overlap.
 
-    Words are exploded and joined within a group, so only pairs that share a word are made.
+    Names with the same words are one on either side (the first operation stands for all); words are exploded and joined
+    within a group, so only pairs of different sets that share a word are made.
     """
-    t = tools.withColumn("_words", F.array_distinct(K.tokens(F.col("tool"))))
-    o = ops.withColumn("_words", F.array_distinct(K.tokens(F.col("op"))))
+    words = lambda c: F.array_sort(F.array_distinct(K.tokens(F.col(c))))
+    every = tools.select(group, "tool_pos", words("tool").alias("_words")).withColumn("_set", F.xxhash64(F.array_join("_words", " ")))
+    t = every.groupBy(group, "_set").agg(F.first("_words").alias("_words")).withColumnRenamed("_set", "tool_set")
+    o = ops.select(group, "op_pos", words("op").alias("_words")).groupBy(group, "_words").agg(F.min("op_pos").alias("op_pos"))
     shared = (
-        t.select(group, "tool_pos", F.size("_words").alias("nt"), F.explode("_words").alias("w"))
+        t.select(group, "tool_set", F.size("_words").alias("nt"), F.explode("_words").alias("w"))
         .join(o.select(group, "op_pos", F.size("_words").alias("no"), F.explode("_words").alias("w")), [group, "w"])
-        .groupBy(group, "tool_pos", "op_pos")
+        .groupBy(group, "tool_set", "op_pos")
         .agg(F.count("*").alias("both"), F.first("nt").alias("nt"), F.first("no").alias("no"))
     )
     score = F.col("both") / F.greatest("nt", "no")
-    best = shared.groupBy(group, "tool_pos").agg(F.max(F.struct(score.alias("overlap"), (-F.col("op_pos")).alias("neg"))).alias("b")).select(group, "tool_pos", F.col("b.overlap").alias("overlap"), (-F.col("b.neg")).alias("op_pos"))
+    best = shared.groupBy(group, F.col("tool_set").alias("_set")).agg(F.max(F.struct(score.alias("overlap"), (-F.col("op_pos")).alias("neg"))).alias("b")).select(group, "_set", F.col("b.overlap").alias("overlap"), (-F.col("b.neg")).alias("op_pos"))
+    best = every.select(group, "tool_pos", "_set").join(best, [group, "_set"]).drop("_set")
     found = tools.join(best, [group, "tool_pos"], "left").join(ops.select(group, "op_pos", F.col("op").alias("best_op")), [group, "op_pos"], "left")
     return found.withColumn("overlap", F.round(F.coalesce("overlap", F.lit(0.0)), 2)).drop("op_pos")
 

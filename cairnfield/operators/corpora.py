@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,22 +21,28 @@ NO_ENDPOINT_KEY = r"(?i)repository|homepage|image|avatar|icon|docs?|website"
 URL_DEPTH = 4
 
 
+THOUSANDS = {"k": 1, "m": 2}
+
+
 def parse_rank(token: str) -> int:
-    """`1`, `10k`, `1.5m` as a rank."""
-    found = re.fullmatch(r"(?i)(\d+(?:\.\d+)?)([km]?)", token.strip())
-    value = float(found[1]) * {"k": 1e3, "m": 1e6}.get(found[2].lower(), 1) if found else 0.5
-    if value < 1 or value != int(value):
-        raise ValueError(f"bad rank {token!r}")
-    return int(value)
+    """`1`, `10k`, `1.5m` as a rank: a whole number of at least 1."""
+    digits = token.strip().lower()
+    power = THOUSANDS.get(digits[-1:], 0)
+    try:
+        whole, left = divmod(Decimal(digits[:-1] if power else digits) * 1000**power, 1)
+    except InvalidOperation:
+        whole, left = Decimal(0), Decimal(0)
+    if whole < 1 or left or not digits[:1].isdecimal() or not digits.isalnum() and "." not in digits:
+        raise ValueError(f"no rank: {token!r}")
+    return int(whole)
 
 
 def parse_band(label: str) -> tuple[str, int, int]:
-    """`1k-10k` as (label, 1001, 10000): the lower bound is excluded unless it is 1."""
-    low, _, high = label.partition("-")
-    lo, hi = parse_rank(low), parse_rank(high)
-    if hi <= lo:
-        raise ValueError(f"bad band {label!r}: the upper bound must exceed the lower")
-    return label, 1 if lo == 1 else lo + 1, hi
+    """`1k-10k` as (label, 1001, 10000), so bands that meet don't overlap; one from rank 1 holds it."""
+    ends = [parse_rank(x) for x in label.split("-")]
+    if len(ends) != 2 or ends[0] >= ends[1]:
+        raise ValueError(f"no band of ranks: {label!r}")
+    return label, ends[0] + (ends[0] > 1), ends[1]
 
 
 def rank_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -57,7 +63,9 @@ def visits(rows: DataFrame, bands: list[tuple[str, int, int]], registrable: Colu
     table = F.array(*[F.struct(F.lit(k).alias("band_no"), F.lit(b[0]).alias("band"), F.lit(b[1]).alias("lo"), F.lit(b[2]).alias("hi")) for k, b in enumerate(bands)])
     inside = F.filter(table, lambda b: (F.col("rank") >= b["lo"]) & (F.col("rank") <= b["hi"]))
     placed = rows.withColumn("registrable", registrable).withColumn("_b", F.explode(inside)).select("*", "_b.band_no", "_b.band").drop("_b")
-    seen = F.row_number().over(Window.partitionBy("registrable").orderBy("rank", "pos", "band_no"))
+    # rows without a domain are spread, as they all share the null key
+    spread = F.when(F.col("registrable").isNull(), F.xxhash64("rank", "domain", "band_no"))
+    seen = F.row_number().over(Window.partitionBy("registrable", spread).orderBy("rank", "pos", "band_no"))
     return placed.withColumn("kept", F.col("registrable").isNotNull() & (seen == 1))
 
 
@@ -132,6 +140,11 @@ def next_cursor(body: Column, registry: str) -> Column:
     return F.when(D.flag(doc, "$.pageInfo.hasNextPage"), D.text(doc, "$.pageInfo.endCursor"))
 
 
+def hosts_by_registry(endpoints: DataFrame) -> DataFrame:
+    """registry, endpoints, hosts: rows and distinct hosts of each registry."""
+    return endpoints.groupBy("registry").agg(F.count("*").alias("endpoints"), F.count_distinct("host").alias("hosts"))
+
+
 def distinct_hosts(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("host").distinct().orderBy("host")
 

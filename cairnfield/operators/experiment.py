@@ -133,6 +133,24 @@ def clustered_interval(rows: DataFrame, cluster: str, value: str, pos: str, *, g
     return totals.withColumn("_one", F.lit(1)).join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
 
 
+def known_tasks(tasks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Tasks on domains of the manifest."""
+    return tasks.join(manifest.select("domain").distinct(), "domain", "left_semi")
+
+
+CELLS = ((True, True), (False, True), (True, False), (False, False))  # fixed values: (linked, canary) in turn
+
+
+def assigned(domains: list[str], seed: int) -> list[tuple[str, bool, bool, str]]:
+    """(domain, linked, canary, cell) of an experiment's own domains: cells in turn over a seeded shuffle of the distinct ones, so their sizes differ by one at most."""
+    known = list(dict.fromkeys(d for d in (x.strip().lower() for x in domains) if d))
+    out = []
+    for k, domain in enumerate(prng.Generator(seed).shuffled(known)):
+        linked, canary = CELLS[k % len(CELLS)]
+        out.append((domain, linked, canary, f"{'linked' if linked else 'unlinked'}/{'canary' if canary else 'control'}"))
+    return out
+
+
 def hit_context(trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS) -> DataFrame:
     """Hits on documents by user-agent product, inside any window and outside of all."""
     keyed = hits.filter(artifact_of(F.col("path")).isNotNull()).withColumn("_hit", F.xxhash64("host", "ts", "path", "ua", "status"))

@@ -231,8 +231,9 @@ def findings(results: DataFrame, handshakes: DataFrame) -> DataFrame:
     plain = every.filter(~F.col("platform") & ~F.col("two")).dropDuplicates(["host", "finding", "evidence"]).select("host", "rank", "finding", "evidence", "notes")
     name = "shopify-platform-pattern"
     rolled = every.filter("platform").withColumn("finding", F.when(F.col("two"), "issuer_mismatch_two_issuer").otherwise(F.col("finding")))
-    counts = rolled.groupBy("finding").agg(F.count("*").alias("n"), F.collect_set("host").alias("hosts"))
-    one = counts.agg(F.array_sort(F.collect_list(F.concat_ws("=", "finding", "n"))).alias("c"), F.size(F.array_distinct(F.flatten(F.collect_list("hosts")))).alias("hosts")).filter("hosts > 0")
+    # two rows of one key: kinds with their counts, and the number of hosts
+    counts = rolled.groupBy("finding").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.concat_ws("=", "finding", "n"))).alias("c"))
+    one = counts.withColumn("_k", F.lit(1)).join(rolled.agg(F.count_distinct("host").alias("hosts")).withColumn("_k", F.lit(1)), "_k").filter("hosts > 0")
     row = one.select(F.lit(name).alias("host"), F.lit(None).cast("int").alias("rank"), F.lit(name).alias("finding"), F.concat(F.col("hosts").cast("string"), F.lit(" storefront hosts; "), F.array_join("c", ", ")).alias("evidence"), F.lit("").alias("notes"))
     severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
     return plain.unionByName(row).withColumn("severity", severity[F.col("finding")]).orderBy(F.col("rank").asc_nulls_last(), "host", "finding", "evidence")

@@ -56,6 +56,11 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "_pos") -> DataFr
     return made.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_line", "_before")
 
 
+def shards(rows: DataFrame, count: int, order: list[Column]) -> DataFrame:
+    """Adds the shard (from 0) that each row belongs to; the table is numbered once."""
+    return numbered(rows, order).withColumn("shard", (F.col("_pos") - 1) % count).drop("_pos")
+
+
 def parse_shard(text: str) -> tuple[int, int]:
     """`i/n` as (i, n)."""
     index, _, count = text.strip().partition("/")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions import prng, stats
+from cairnfield.operators.classify import dedupe
 from cairnfield.operators.lookups import numbered
 
 PER_LABEL, UNKNOWN_N, SEED = 20, 40, 20261005  # fixed values of the sample
@@ -21,8 +22,8 @@ def weighted_draw(items: DataFrame, weight: Column, k: int, seed: int, order: li
 
 
 def subsample(first: DataFrame, rest: DataFrame, target: int, seed: int, order: list[Column], *, with_artifact: float = 2.0, other: float = 1.0) -> DataFrame:
-    """All hosts of the first pool, and enough of the others, drawn with a weight for hosts that have a document."""
-    census = first.dropDuplicates(["host"])
+    """All hosts of the first pool (its first rows in order), and enough of the others, drawn with a weight for hosts that have a document."""
+    census = dedupe(first, ["host"], order)
     pool = rest.join(census.select("host"), "host", "left_anti")
     need = max(0, target - census.count())
     drawn = weighted_draw(pool, F.when(F.col("artifact"), with_artifact).otherwise(other), need, seed, order)

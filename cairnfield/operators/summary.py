@@ -55,6 +55,10 @@ def platform_table(results: DataFrame) -> DataFrame:
     )
 
 
+def valid_by_artifact(probes: DataFrame) -> DataFrame:
+    return probes.groupBy("artifact").agg(F.count_if("valid").alias("valid"))
+
+
 def any_valid(results: DataFrame) -> DataFrame:
     reach = F.col("host_class") == "reachable"
     return host_flags(results).agg(F.count_if(reach).alias("reachable"), F.count_if(reach & F.col("any_valid")).alias("any_valid"), F.count_if(reach & F.col("any_card")).alias("any_card"))

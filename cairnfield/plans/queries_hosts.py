@@ -10,7 +10,7 @@ from cairnfield.functions import hosts as H
 from cairnfield.functions import http as W
 from cairnfield.functions import stats
 from cairnfield.functions import text as T
-from cairnfield.operators import cards, classify, fingerprint, handshake, lookups, summary, validate
+from cairnfield.operators import cards, classify, fingerprint, handshake, lookups, pages, summary, validate
 from cairnfield.plans import views as V
 
 QUERIES: dict = {}
@@ -138,10 +138,12 @@ def blocked_rule(spark, sf_dir):
     return classify.blocked(_outcomes(spark, sf_dir)).select("host", F.col("blocked.blocked").alias("is_blocked"), F.col("blocked.reason").alias("reason"))
 
 
-@query(f"SELECT host, bool_and(coalesce(error, '') = 'timeout' AND c_custkey < 0) AS redirect_only FROM {P0} p GROUP BY host")
+@query(f"SELECT host, bool_and(c_custkey % 9 = 0 OR (c_custkey % 9 = 1 AND pos > 0)) AS redirect_only FROM {P0} p GROUP BY host")
 def redirect_only_hosts(spark, sf_dir):
-    """A12."""
-    return classify.redirect_only(_outcomes(spark, sf_dir))
+    """Hosts of which all, all but one, or none of the requests leave the site."""
+    p = V.view(spark, sf_dir, V.probes())
+    away = (F.col("c_custkey") % 9 == 0) | ((F.col("c_custkey") % 9 == 1) & (F.col("pos") > 0))
+    return classify.redirect_only(p.select("host", F.col("pos").alias("seq"), F.when(away, 302).otherwise(200).alias("status"), F.when(away, "cross_domain_redirect").alias("error"), F.lit(False).alias("challenge")))
 
 
 @query(f"SELECT host, min_by(path, pos) AS mcp_card_path FROM {P0} p WHERE valid AND artifact IN ({MCP}) GROUP BY host")
@@ -156,22 +158,26 @@ def first_valid_card(spark, sf_dir):
 _SERVER = "CASE page_id % 7 WHEN 0 THEN 'nginx/1.2' WHEN 1 THEN 'Apache' WHEN 2 THEN 'cloudflare' WHEN 3 THEN 'Vercel' WHEN 4 THEN 'Netlify' WHEN 5 THEN 'AkamaiGHost' ELSE 'x' END"
 
 
-@query(f"""SELECT url AS host, CASE page_id % 7 WHEN 0 THEN 'nginx' WHEN 1 THEN 'apache' WHEN 3 THEN 'vercel' WHEN 4 THEN 'netlify' ELSE 'unknown' END AS platform,
- CASE page_id % 7 WHEN 2 THEN 'cloudflare' WHEN 5 THEN 'akamai' END AS cdn, CASE WHEN page_id % 7 < 6 THEN 1 ELSE 0 END AS signals FROM pages""")
+_HTML_MARK = "CASE page_id % 5 WHEN 0 THEN '<script src=\"/_next/static/a.js\">' WHEN 1 THEN '<link href=\"/wp-content/x.css\">' WHEN 2 THEN '<meta name=\"generator\" content=\"Hugo 0.1\">' ELSE '' END"
+
+
+@query("""WITH s AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'nextjs' WHEN 1 THEN 'wordpress' WHEN 2 THEN 'hugo' END AS mark, CASE page_id % 7 WHEN 0 THEN 'nginx' WHEN 1 THEN 'apache' WHEN 3 THEN 'vercel' WHEN 4 THEN 'netlify' END AS server,
+  CASE page_id % 7 WHEN 2 THEN 'cloudflare' WHEN 5 THEN 'akamai' END AS cdn FROM pages)
+SELECT page_id, coalesce(mark, server, 'unknown') AS platform, cdn, ((mark IS NOT NULL)::INT + (server IS NOT NULL OR cdn IS NOT NULL)::INT)::INT AS signals FROM s""")
 def page_fingerprint(spark, sf_dir):
-    """Headers decide, as the pages have no platform marks."""
-    rows = V.table(spark, sf_dir, "pages").select(F.col("url").alias("host"), F.lit(200).alias("status"), F.col("url").alias("final_url"), F.lit(None).cast("string").alias("error"), F.create_map(F.lit("server"), F.expr(_SERVER)).alias("headers"), F.col("html").alias("text"))
+    """Marks in pages and generators stand before the server's header."""
+    rows = V.table(spark, sf_dir, "pages").select("page_id", F.concat("page_id", F.lit(".example.com")).alias("host"), F.lit(200).alias("status"), F.col("url").alias("final_url"), F.lit(None).cast("string").alias("error"), F.create_map(F.lit("server"), F.expr(_SERVER)).alias("headers"), F.concat(F.expr(_HTML_MARK), "html").alias("text"))
     fp = fingerprint.fingerprints(rows)
-    return fp.select("host", F.col("fingerprint.primary").alias("platform"), "fingerprint.cdn", F.size("fingerprint.signals").alias("signals"))
+    return fp.select(F.regexp_extract("host", "^[0-9]+", 0).cast("bigint").alias("page_id"), F.col("fingerprint.primary").alias("platform"), "fingerprint.cdn", F.size("fingerprint.signals").alias("signals"))
 
 
 _HOST = r"lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
 
 
-@query(f"SELECT page_id, {_HOST} AS host, NULL::INT AS rank FROM pages")
+@query(f"SELECT page_id, CASE page_id % 5 WHEN 3 THEN NULL ELSE {_HOST} END AS host, CASE page_id % 5 WHEN 0 THEN page_id + 1 END::INT AS rank FROM pages")
 def parse_hosts(spark, sf_dir):
-    """F6, S10."""
-    host, rank = H.host_line(F.col("url"))
+    """URLs, `rank,host` lines, comments."""
+    host, rank = H.host_line(F.when(F.col("page_id") % 5 == 0, F.concat(F.col("page_id") + 1, F.lit(","), F.regexp_extract("url", "^https?://([^/:?#]+)", 1))).when(F.col("page_id") % 5 == 3, F.concat(F.lit("# "), "url")).otherwise(F.col("url")))
     return V.table(spark, sf_dir, "pages").select("page_id", host.alias("host"), rank.alias("rank"))
 
 
@@ -207,10 +213,28 @@ def registrable_rank_lookup(spark, sf_dir):
     return lookups.rank_for(pages.select("host").distinct(), ranks, H.registrable(F.col("host")))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]{0,300})</title>', 1), '\\s+', ' ', 'g')) AS title, NULL::VARCHAR AS generator, 0 AS assets FROM pages""")
+#: Marks that the table's pages lack, by page number: a generator in either order of attributes, and assets of several domains.
+_MARKED = """replace(html, '</title>', '</title>' || CASE page_id % 4 WHEN 0 THEN '<meta name="generator" content="Hugo 0.' || page_id || '">' WHEN 1 THEN '<META content=''Ghost 5'' name=''generator''>' ELSE '' END
+ || CASE WHEN page_id % 3 = 0 THEN '<script src="https://cdn.shop.example.net/a.js"></script><img src="//Img.example.org/x.png"><link rel=icon href="https://a.example.org/i.ico">' ELSE '' END
+ || CASE WHEN page_id % 3 = 1 THEN '<iframe src="http://one.example.edu/"></iframe>' ELSE '' END)"""
+
+
+@query(f"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]{{0,300}})</title>', 1), '\\s+', ' ', 'g')) AS title, CASE page_id % 4 WHEN 0 THEN 'Hugo 0.' || page_id WHEN 1 THEN 'Ghost 5' END AS generator,
+ CASE page_id % 3 WHEN 0 THEN 'cdn.shop.example.net,img.example.org,a.example.org' WHEN 1 THEN 'one.example.edu' ELSE '' END AS assets FROM pages""")
 def page_evidence(spark, sf_dir):
-    """F30, A32."""
-    return V.table(spark, sf_dir, "pages").select("page_id", W.title(F.col("html")).alias("title"), W.generator(F.col("html")).alias("generator"), F.size(W.asset_hosts(F.col("html"))).alias("assets"))
+    """F30, F15."""
+    html = F.col("h")
+    return V.sql(spark, sf_dir, f"SELECT page_id, {_MARKED} AS h FROM pages").select("page_id", W.title(html).alias("title"), W.generator(html).alias("generator"), F.array_join(W.asset_hosts(html), ",").alias("assets"))
+
+
+@query(f"""WITH d AS (SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') AS own, 'example.org' AS domain, 2 AS n FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.'), 'example.net', 1 FROM pages WHERE page_id % 3 = 0
+ UNION ALL SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.'), 'example.edu', 1 FROM pages WHERE page_id % 3 = 1)
+SELECT page_id, domain, n, row_number() OVER (PARTITION BY page_id ORDER BY n DESC)::INT AS nth FROM d WHERE domain <> own""")
+def asset_domains(spark, sf_dir):
+    """The page's own domain left out, the most frequent first."""
+    host, _ = H.host_line(F.col("url"))
+    rows = V.sql(spark, sf_dir, f"SELECT page_id, url, {_MARKED} AS html FROM pages").select("page_id", host.alias("host"), "html")
+    return pages.asset_domains(rows, key="page_id").select("page_id", "domain", "n", "nth")
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages), d AS (SELECT page_id, href, count(*) AS n FROM l GROUP BY ALL)
@@ -218,20 +242,23 @@ SELECT href, count(*) AS pages, sum(n)::BIGINT AS links FROM d WHERE NOT regexp_
 def link_hist(spark, sf_dir):
     """F23, P23."""
     links = V.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("href"))
-    return links.filter(~F.col("href").rlike(W.ASSET)).groupBy("page_id", "href").agg(F.count("*").alias("n")).groupBy("href").agg(F.count("*").alias("pages"), F.sum("n").alias("links"))
+    return links.filter(~W.is_asset(F.col("href"))).groupBy("page_id", "href").agg(F.count("*").alias("n")).groupBy("href").agg(F.count("*").alias("pages"), F.sum("n").alias("links"))
+
+
+_LINKS = "regexp_extract_all({part}, '<a href=\"([^\"]+)\"', 1)"
+_MENU = "regexp_extract(html, '(?s)<nav.*?</nav>', 0)"
 
 
-@query()
+@query(f"""WITH l AS (SELECT page_id, {_HOST} AS host, url, unnest({_LINKS.format(part=_MENU)}) AS href, generate_subscripts({_LINKS.format(part=_MENU)}, 1) AS pos, 0 AS rest FROM pages
+ UNION ALL SELECT page_id, {_HOST}, url, unnest({_LINKS.format(part=f"replace(html, {_MENU}, '')")}), generate_subscripts({_LINKS.format(part=f"replace(html, {_MENU}, '')")}, 1), 1 FROM pages),
+ r AS (SELECT *, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS link FROM l WHERE href LIKE '/%' OR href LIKE 'http%'),
+ g AS (SELECT page_id, regexp_replace(link, '#.*$', '') AS link, min(rest * 100000 + pos) AS place FROM r WHERE NOT regexp_matches(lower(href), '[.](png|css|js|json|xml|pdf|txt|zip|gz)$') AND regexp_replace(link, '#.*$', '') <> regexp_replace(url, '#.*$', '')
+  AND array_to_string(string_split(lower(regexp_extract(link, '^https?://([^/:?#]+)', 1)), '.')[-2:], '.') = array_to_string(string_split(host, '.')[-2:], '.') GROUP BY ALL)
+SELECT page_id, link, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS n FROM g) WHERE n <= 5""")
 def link_pick(spark, sf_dir):
-    """Five links of each page, those of the menu first (rows only: URLs are resolved in Python)."""
-    from pyspark.sql import Window
-
-    pages = V.table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1)).alias("links"))
-    rows = pages.select("page_id", "url", F.posexplode(W.resolve_links(F.col("links"), F.col("url"))).alias("pos", "link")).withColumn("link", F.regexp_replace("link", "#.*$", ""))
-    same = H.registrable(T.hostname(F.col("link"))) == H.registrable(T.hostname(F.col("url")))
-    good = rows.filter(same & ~T.path(F.col("link")).rlike(W.ASSET) & ~T.path(F.col("link")).rlike(W.LEAVING) & (F.col("link") != F.regexp_replace("url", "#.*$", "")))
-    first = classify.dedupe(good, ["page_id", "link"], [F.col("pos")])
-    return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter("n <= 5").select("page_id", "n", "link")
+    """Five links of each page, those of the menu first."""
+    rows = V.table(spark, sf_dir, "pages").select("page_id", "url", pages.candidates(F.col("html")).alias("links"))
+    return pages.pick_links(rows, 5)
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -26,31 +26,37 @@ def query(oracle: str | None = None):
     return add
 
 
-BANDS = ["1-100", "100-500", "500-1k"]
-_RANKED = "(SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INT AS rank, c_custkey, 'n' || (c_custkey * 7 % 400) || CASE WHEN c_custkey % 50 = 0 THEN '' ELSE '.example.com' END AS domain FROM customer)"
+BANDS = ["1-100", "100-500", "500-1k", "1k-100k"]
+#: Ranked domains: subdomains of shared names under one- and two-level suffixes, addresses and single labels.
+_RANKED = """(SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INT AS rank, c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'n' || c_custkey WHEN c_custkey % 50 = 1 THEN '10.0.0.' || (c_custkey % 250)
+ ELSE CASE c_custkey % 3 WHEN 0 THEN 'www.' WHEN 1 THEN '' ELSE 'a.b.' END || 'n' || (c_custkey * 7 % 400) || CASE c_custkey % 4 WHEN 0 THEN '.co.uk' WHEN 1 THEN '.github.io' ELSE '.com' END END AS domain FROM customer)"""
 
 
 def _ranked(spark, sf_dir):
     c = V.table(spark, sf_dir, "customer").select("c_acctbal", "c_custkey")
     placed = lookups.numbered(c, [F.desc("c_acctbal"), F.col("c_custkey")], "rank")
-    tail = F.when(F.col("c_custkey") % 50 == 0, "").otherwise(".example.com")
-    return placed.select(F.col("rank").cast("int").alias("rank"), "c_custkey", F.concat(F.lit("n"), F.col("c_custkey") * 7 % 400, tail).alias("domain"))
+    k = F.col("c_custkey")
+    front = F.when(k % 3 == 0, "www.").when(k % 3 == 1, "").otherwise("a.b.")
+    tail = F.when(k % 4 == 0, ".co.uk").when(k % 4 == 1, ".github.io").otherwise(".com")
+    domain = F.when(k % 50 == 0, F.concat(F.lit("n"), k)).when(k % 50 == 1, F.concat(F.lit("10.0.0."), k % 250)).otherwise(F.concat(front, F.lit("n"), k * 7 % 400, tail))
+    return placed.select(F.col("rank").cast("int").alias("rank"), "c_custkey", domain.alias("domain"))
 
 
-_BANDED = f"""b AS (SELECT * FROM (VALUES ('1-100', 1, 100), ('100-500', 101, 500), ('500-1k', 501, 1000)) v(band, lo, hi)),
- v AS (SELECT band, rank, domain, CASE WHEN domain LIKE '%.%' THEN domain END AS reg FROM {_RANKED} r JOIN b ON rank BETWEEN lo AND hi), k AS (SELECT *, reg IS NOT NULL AND row_number() OVER (PARTITION BY reg ORDER BY rank) = 1 AS kept FROM v)"""
+_BANDED = f"""b AS (SELECT * FROM (VALUES ('1-100', 1, 100), ('100-500', 101, 500), ('500-1k', 501, 1000), ('1k-100k', 1001, 100000)) v(band, lo, hi)),
+ v AS (SELECT band, rank, c_custkey, domain, CASE WHEN c_custkey % 50 < 2 THEN NULL WHEN domain LIKE '%.co.uk' THEN array_to_string(string_split(domain, '.')[-3:], '.') ELSE array_to_string(string_split(domain, '.')[-2:], '.') END AS reg FROM {_RANKED} r JOIN b ON rank BETWEEN lo AND hi),
+ k AS (SELECT *, reg IS NOT NULL AND row_number() OVER (PARTITION BY reg ORDER BY rank) = 1 AS kept FROM v)"""
 
 
 def _visited(spark, sf_dir):
     from cairnfield.functions import hosts as H
 
     rows = _ranked(spark, sf_dir).withColumn("pos", F.col("c_custkey"))
-    return corpora.visits(rows, [corpora.parse_band(b) for b in BANDS], F.when(F.col("domain").contains("."), F.coalesce(F.when(H.registrable(F.col("domain"), private=False).isNotNull(), F.col("domain")), F.col("domain"))))
+    return corpora.visits(rows, [corpora.parse_band(b) for b in BANDS], H.registrable(F.col("domain"), private=False))
 
 
 @query(f"WITH {_BANDED} SELECT band, count(*) AS input_rows, count(*) FILTER (WHERE kept) AS hosts, count(*) FILTER (WHERE reg IS NOT NULL AND NOT kept) AS dedupe_losses, count(*) FILTER (WHERE reg IS NULL) AS unparseable FROM k GROUP BY band")
 def rank_bands(spark, sf_dir):
-    """W3, A30, O8, F26."""
+    """W3, A30, O8, F26, F8 (without private suffixes)."""
     return corpora.band_accounts(_visited(spark, sf_dir))
 
 
@@ -69,19 +75,18 @@ def rank_backfill(spark, sf_dir):
     return lookups.backfill_ranks(rows, ranks).select("o_orderkey", "rank", "ranked")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_custkey, o_orderstatus FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_custkey = o.o_custkey AND d.o_orderstatus = o.o_orderstatus AND d.o_orderkey % 3 = 0)")
 def resume_todo(spark, sf_dir):
-    """J5, S9."""
-    return lookups.to_do(V.table(spark, sf_dir, "customer").select("c_custkey"), V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
+    """Keys of two columns of which some are done."""
+    orders = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    keys = ["o_custkey", "o_orderstatus"]
+    return lookups.to_do(orders.select(*keys).distinct(), orders.filter("o_orderkey % 3 = 0"), keys)
 
 
 @query("SELECT p_partkey, shard FROM (SELECT p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) % 4 AS shard FROM part)")
 def shard_tiles(spark, sf_dir):
     """W4, F29."""
-    part = V.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    order = [F.col("p_name"), F.col("p_partkey")]
-    one = lambda i: lookups.shard(part, i, 4, order).select("p_partkey", F.lit(i).cast("bigint").alias("shard"))
-    return one(0).unionByName(one(1)).unionByName(one(2)).unionByName(one(3))
+    return lookups.shards(V.table(spark, sf_dir, "part").select("p_partkey", "p_name"), 4, [F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "shard")
 
 
 _FNV = """list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(s, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, c: ((xor(h, c)) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"""
@@ -192,7 +197,7 @@ def nearest_op(spark, sf_dir):
 @query("""SELECT l_returnflag, median(l_extendedprice) AS mean_median, (SELECT x FROM (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) AS n, count(*) OVER () AS c FROM lineitem b WHERE b.l_returnflag = a.l_returnflag) WHERE n = c // 2 + 1) AS upper_median FROM lineitem a GROUP BY l_returnflag""")
 def median_variants(spark, sf_dir):
     """A16."""
-    return V.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("mean_median"), stats.upper_median("l_extendedprice").alias("upper_median"))
+    return stats.medians(V.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -345,8 +350,8 @@ def canary_in_answer(spark, sf_dir):
     items = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^\S+ \S+", 0)).alias("token")).filter("token <> ''")
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s_-]+", " "))
     tokens = items.agg(F.array_sort(F.collect_list(F.struct("item_id", norm(F.col("token")).alias("t")))).alias("tokens")).withColumn("k", F.lit(1))
-    rows = V.table(spark, sf_dir, "conversations").withColumn("k", F.lit(1)).join(F.broadcast(tokens), "k")
-    hit = F.filter("tokens", lambda x: F.contains(norm(F.col("text")), x["t"]))
+    rows = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", norm(F.col("text")).alias("said"), F.lit(1).alias("k")).join(F.broadcast(tokens), "k")
+    hit = F.filter("tokens", lambda x: F.contains(F.col("said"), x["t"]))
     return rows.select("conv_id", "turn", F.array_join(F.transform(hit, lambda x: x["item_id"].cast("string")), ",").alias("items")).filter("items <> ''")
 
 

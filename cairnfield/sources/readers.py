@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,21 @@ from cairnfield.operators.classify import dedupe, with_class
 _CORRUPT = "_corrupt"
 
 
-def _line_order() -> list[Column]:
-    return [F.col("_source"), F.col("_line")]
+LINE = "STRUCT<file_no: INT, file: STRING, block: BIGINT, line: BIGINT>"
+
+
+def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """value, _source and _line of text files: lines in the order of the given list, of names under one entry, and of places in a file, whatever the order in which Spark reads them."""
+    parts = []
+    for k, path in enumerate([paths] if isinstance(paths, str) else paths):
+        line = F.struct(F.lit(k).alias("file_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        parts.append(spark.read.text(path).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "").alias("_source"), line.alias("_line")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_json_lines(spark: SparkSession, paths: list[str] | str, ddl: str) -> DataFrame:
     """Rows of JSON lines with a fixed schema, their source file and place; blank and broken lines are dropped."""
-    lines = spark.read.text(paths).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "").alias("_source")).withColumn("_line", F.monotonically_increasing_id())
+    lines = _lines(spark, paths)
     parsed = F.from_json("value", S.struct(f"{ddl}, {_CORRUPT} STRING"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     rows = lines.filter(T.trim(F.col("value")) != "").select(parsed.alias("_r"), "_source", "_line")
     return rows.filter("_r is not null and _r._corrupt is null").select("_r.*", "_source", "_line").drop(_CORRUPT)
@@ -43,18 +52,19 @@ def read_existing(spark: SparkSession, paths: list[str], ddl: str) -> DataFrame:
     known = [p for p in paths if there(p)]
     if known:
         return read_json_lines(spark, known, ddl)
-    return spark.createDataFrame([], f"{ddl}, _source STRING, _line BIGINT")
+    return spark.createDataFrame([], f"{ddl}, _source STRING, _line {LINE}")
 
 
-def read_results(spark: SparkSession, paths: list[str] | str, mode: str = "all") -> DataFrame:
-    """Host results: all rows, or of each host the first row, the last row, or the first reachable row."""
+def read_results(spark: SparkSession, paths: list[str] | str, mode: str = "all", qualified: Column | None = None) -> DataFrame:
+    """Host results: all rows, or of each host the first row, the last row, or the first reachable row; with `qualified`, a host counts as seen only by rows for which that holds."""
     rows = read_json_lines(spark, paths, S.HOST_RESULTS)
+    rows = rows if qualified is None else rows.filter(qualified)
     if mode == "all":
         return rows
+    known = rows.filter("host is not null")
     if mode == "reachable":
-        return dedupe(with_class(rows).filter("host is not null and host_class = 'reachable'").drop("host_class"), ["host"], _line_order())
-    order = _line_order() if mode == "first" else [F.desc("_source"), F.desc("_line")]
-    return dedupe(rows.filter("host is not null"), ["host"], order)
+        known = with_class(known).filter("host_class = 'reachable'").drop("host_class")
+    return dedupe(known, ["host"], [F.desc("_line") if mode == "last" else F.col("_line")])
 
 
 def read_pool(spark: SparkSession, path: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +78,7 @@ def read_pool(spark: SparkSession, path: str, label: str) -> tuple[DataFrame, Da
 
 def read_hosts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """host, rank, pos of host files; the first line of each host counts."""
-    lines = spark.read.text(paths).withColumn("pos", F.monotonically_increasing_id())
+    lines = _lines(spark, paths).select("value", F.col("_line").alias("pos"))
     host, rank = H.host_line(F.col("value"))
     return dedupe(lines.select(host.alias("host"), rank.alias("rank"), "pos").filter("host is not null"), ["host"], [F.col("pos")])
 
@@ -76,7 +86,7 @@ def read_hosts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def read_rank_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     from cairnfield.operators.corpora import rank_lines
 
-    return rank_lines(spark.read.text(paths).withColumn("pos", F.monotonically_increasing_id()))
+    return rank_lines(_lines(spark, paths).select("value", F.col("_line").alias("pos")))
 
 
 def read_zip_lines(spark: SparkSession, paths: list[str] | str, suffix: str = ".csv") -> DataFrame:

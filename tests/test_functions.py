@@ -1,5 +1,6 @@
 import base64
 import gzip
+import tracemalloc
 import json
 import zlib
 
@@ -100,7 +101,45 @@ def test_bodies_are_decoded(spark):
     raw = b"hello " * 50
     rows = [(gzip.compress(raw), "gzip"), (zlib.compress(raw), "deflate"), (zlib.compress(raw)[2:-4], "deflate"), (raw, None), (b"broken", "gzip")]
     out = spark.createDataFrame(rows, "b binary, e string").select(http.decode_body("b", "e").alias("d")).collect()
-    assert [bytes(r["d"]) for r in out] == [raw, raw, raw, raw, b"broken"]
+    assert [bytes(r["d"]["body"]) for r in out] == [raw, raw, raw, raw, b"broken"] and [r["d"]["error"] for r in out] == [None] * 4 + ["decode_error"]
+
+
+def test_bombs_are_not_unpacked():
+    """A body beyond the limit is an error, and no more than the limit is ever made of it."""
+    bomb = gzip.compress(gzip.compress(bytes(300_000_000), 1), 1)
+    tracemalloc.start()
+    assert http.decoded(bomb, "gzip, gzip") == (None, "body_too_large")
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    assert http.decoded(gzip.compress(b"x")[:-9], "gzip")[1] == "decode_error" and http.decoded(b"x" * (http.MAX_BODY_BYTES + 1), None) == (None, "body_too_large")
+
+
+def test_bodies_that_are_no_utf8(spark):
+    out = spark.createDataFrame([(b"na\xefve \xff",), ("naïve".encode(),)], "b binary").select(http.body_text(F.col("b")).alias("t")).collect()
+    assert [r["t"] for r in out] == ["na\ufffdve \ufffd", "naïve"]
+
+
+def test_simhash_of_long_tokens_needs_little_memory():
+    """Many short shingles beside a very long one are hashed over one flat buffer."""
+    from cairnfield.functions import simhash
+
+    data = [b"ab c%d" % k for k in range(100_000)] + [b"x" * 10_000]
+    tracemalloc.start()
+    got = simhash.fnv_of(data)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+    def loop(x):
+        h = simhash.OFFSET
+        for c in x:
+            h = (h ^ c) * simhash.PRIME % 2**64
+        return h
+
+    assert [int(got[k]) for k in (0, 7, 99_999, 100_000)] == [loop(data[k]) for k in (0, 7, 99_999, 100_000)]
+    words = [["a b", "c"], ["d"], ["a b"] * 3]
+    for row, value in zip(words, simhash._votes(words), strict=True):
+        votes = [sum(1 if loop(x.encode()) >> b & 1 else -1 for x in row) for b in range(64)]
+        assert value % 2**64 == sum(1 << b for b in range(64) if votes[b] > 0)
 
 
 def test_error_classes(spark):

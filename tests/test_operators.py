@@ -259,6 +259,37 @@ def test_readers_and_writers(spark, tmp_path):
     assert "host" in sinks.table(rows)
 
 
+def test_lines_keep_the_order_of_the_given_files(spark, tmp_path):
+    """The first line counts by the given list of files, though Spark reads larger files first."""
+    (tmp_path / "a.txt").write_text("1,x.com\n")
+    (tmp_path / "b.txt").write_text("# much longer\n" * 500 + "2,x.com\n3,y.com\n")
+    paths = [f"file://{tmp_path}/a.txt", f"file://{tmp_path}/b.txt"]
+    assert {r["host"]: r["rank"] for r in readers.read_hosts(spark, paths).collect()} == {"x.com": 1, "y.com": 3}
+    assert {r["host"]: r["rank"] for r in readers.read_hosts(spark, paths[::-1]).collect()} == {"x.com": 2, "y.com": 3}
+    assert [r["rank"] for r in readers.read_rank_lines(spark, paths).orderBy("pos").collect()] == [1, 2, 3]
+
+
+def test_first_rows_are_kept_before_the_shuffle(spark):
+    """Deduplication keeps one row of a key in each task."""
+    plan = classify.dedupe(spark.range(10).selectExpr("id % 3 AS k", "id"), ["k"], [F.col("id")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
+def test_cells_are_balanced():
+    made = experiment.assigned([" B.test", "a.test", "b.test", ""] + [f"d{k}.test" for k in range(9)], 3)
+    counts = {c: sum(x[3] == c for x in made) for c in {x[3] for x in made}}
+    assert len(made) == 11 and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 4 and made == experiment.assigned(["b.test", "a.test"] + [f"d{k}.test" for k in range(9)], 3)
+
+
+def test_menu_links_come_first(spark):
+    from cairnfield.operators import pages
+
+    html = '<a href="/first">x</a><nav><a href="/menu">m</a><a href=\'https://shop.a.test/s#x\'>s</a></nav><a href="/x.PNG">i</a><a href="/logout">l</a><a href="https://b.test/">b</a><a href="#top">t</a><header><a href="/head">h</a></header><a href="/menu#2">again</a><a href="mailto:x@a.test">e</a>'
+    rows = spark.createDataFrame([(1, "https://www.a.test/", html), (2, "https://c.test/", "no links")], "page_id INT, url STRING, html STRING").withColumn("links", pages.candidates(F.col("html")))
+    got = [(r["n"], r["link"]) for r in pages.pick_links(rows, 4).orderBy("n").collect()]
+    assert got == [(1, "https://www.a.test/menu"), (2, "https://shop.a.test/s"), (3, "https://www.a.test/head"), (4, "https://www.a.test/first")]
+
+
 def test_answers_of_services(spark):
     bodies = {"responses": {"output": [{"type": "message", "content": [{"type": "output_text", "text": "hi"}]}, {"type": "web_search_call", "action": {"url": "u"}}]}, "messages": {"content": [{"type": "text", "text": "a"}, {"type": "web_search_tool_result", "content": [{"url": "u"}, {"url": "u"}]}]}, "candidates": {"candidates": [{"content": {"parts": [{"text": "x"}, {"text": "y"}]}, "grounding_metadata": {"grounding_chunks": [{"web": {"uri": "u"}}]}}]}}
     want = {"responses": ("hi", ["u"]), "messages": ("a", ["u"]), "candidates": ("xy", ["u"])}
