@@ -14,8 +14,9 @@ its first and its last one. A sketch of four bits a slot passes over pairs whose
 estimated similarity lies 5.5 standard deviations below the threshold; the others
 are verified by the exact overlap of multisets. Then all members of a bucket that
 are still in different classes are compared too, so no link between classes is
-lost: first by sketches, in blocks inside of tasks, then the pairs that remain by
-their multisets, which travel once to a task for a block of pairs.
+lost: sketches tie those members together that may be links, and what is tied is
+compared in blocks inside of tasks, by sketches and then by multisets. No pair of
+members of a bucket is a row.
 
 A batch of rows sends only the first of its members of a bucket to that bucket,
 and the others are compared with that one, so a hot bucket holds as many rows as
@@ -405,8 +406,30 @@ def _pairs_of_large(label: np.ndarray, second: np.ndarray, sketch: np.ndarray, l
             yield part[i], y[j]
 
 
-def open_pairs(placed: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members (band, node, label) of a bucket with different labels that their sketches leave open; large buckets are compared block by block."""
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Rows of `pairs` that connect the same values with fewer links than there are values."""
+    values, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    root, kept, at = np.arange(len(values)), [np.zeros(0, np.int64)], np.arange(len(pairs))
+    while len(at):
+        both = np.sort(root[ends[at]], axis=1)
+        at, both = at[both[:, 0] != both[:, 1]], both[both[:, 0] != both[:, 1]]
+        order = np.lexsort((both[:, 0], both[:, 1]))
+        first = order[np.flatnonzero(np.append(True, np.diff(both[order, 1]) != 0))] if len(order) else order
+        kept.append(at[first])
+        parent = np.arange(len(values))
+        parent[both[first, 1]] = both[first, 0]  # each place moves to a lower one
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+    return pairs[np.concatenate(kept)]
+
+
+def open_ties(placed: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """Ties (a, b) between members (band, node, label) of a bucket with different labels that their sketches leave open: of all such pairs a forest that connects the same members.
+
+    Large buckets are compared block by block, and no more ties leave a task than it has members.
+    """
     least, schema = least_slots(threshold), "a bigint, b bigint"
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
     member = placed.join(mixed, "band").join(sketch, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -428,7 +451,7 @@ def open_pairs(placed: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
             found += [(x + bounds[k], y + bounds[k]) for x, y in _pairs_of_large(label[at], second[at], table[at], least)]
         if found:
             both = np.sort(np.stack([node[np.concatenate([x[k] for x in found])] for k in (0, 1)], axis=1), axis=1)
-            both = np.unique(both, axis=0)
+            both = forest(both)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,26 +474,24 @@ def open_pairs(placed: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
     return ordered.mapInArrow(scratch.lean(run), schema).distinct()
 
 
-def verified_in_blocks(pairs: DataFrame, labels: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
-    """Links among the pairs, enough of them to join all labels that belong together.
+def verified_in_blocks(ties: DataFrame, labels: DataFrame, sketch: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """Links between different labels of the members that ties connect, enough of them to join all labels that belong together.
 
-    Nodes that pairs connect are one cluster, whose nodes are dealt into blocks of
-    bounded size; a task gets the multisets of two blocks once, with the pairs between them.
+    Such members are one cluster, dealt into blocks of bounded size; a task gets the
+    sketches and multisets of two blocks and compares their members. No pair is a row.
     """
-    cluster = components(pairs).withColumnRenamed("label", "cluster")
+    least = least_slots(threshold)
+    cluster = components(ties).withColumnRenamed("label", "cluster")
     sized = scratch.materialise(cluster.join(content.select("node", F.length("units").alias("bytes")), "node").join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label"), "bytes"), "clusters")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    place = dealt.select("node", "cluster", "block")
-    both = pairs.join(place.withColumnRenamed("node", "a"), "a").join(place.select(F.col("node").alias("b"), F.col("block").alias("other")), "b")
-    asked = scratch.materialise(both.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "a", "b"), "asked")
-    sent = dealt.join(content, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    given = sent.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "units")
+    sent = dealt.join(content, "node").join(sketch, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = sent.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", (F.col("block") > F.col("other")).alias("second"), "sketch", "units")
 
-    def run(key, wanted: pa.Table, held: pa.Table) -> pa.Table:
-        units = dict(zip(held.column("node").to_pylist(), held.column("units"), strict=True))
-        root = {x: x for x in held.column("label").to_pylist()}
-        label = dict(zip(held.column("node").to_pylist(), held.column("label").to_pylist(), strict=True))
+    def run(held: pa.Table) -> pa.Table:
+        node, label, second = (held.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("node", "label", "second"))
+        units = [x.as_buffer() for x in held.column("units")]
+        root = {x: x for x in label.tolist()}
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -478,15 +499,15 @@ def verified_in_blocks(pairs: DataFrame, labels: DataFrame, content: DataFrame,
             return x
 
         out = []
-        for a, b in zip(wanted.column("a").to_pylist(), wanted.column("b").to_pylist(), strict=True):
-            one, two = find(label[a]), find(label[b])
-            if one != two and _near(units[a].as_buffer(), units[b].as_buffer(), threshold):
-                root[one] = two
-                out.append((a, b))
+        for x, y in _pairs_of_large(label, second, _table(held.column("sketch")), least):
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                one, two = find(int(label[a])), find(int(label[b]))
+                if one != two and _near(units[a], units[b], threshold):
+                    root[one] = two
+                    out.append((int(node[a]), int(node[b])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    by = ("cluster", "i", "j")
-    return asked.groupBy(*by).cogroup(given.groupBy(*by)).applyInArrow(run, "a bigint, b bigint")
+    return keyed.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _labels(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame, int]:
@@ -511,9 +532,9 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tu
     labels = components(links)
     members = shared.select("band", "node").distinct()
     told = looked_up(members, labels, "node", labels.count()).select("band", "node", F.coalesce("label", "node").alias("label"))
-    still_open = scratch.materialise(open_pairs(told, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "open")
-    if still_open.limit(1).count():
-        more = scratch.materialise(verified_in_blocks(still_open, labels, content, threshold), "links")
+    ties = scratch.materialise(open_ties(told, sketch, threshold), "open")
+    if ties.limit(1).count():
+        more = scratch.materialise(verified_in_blocks(ties, labels, sketch, content, threshold), "links")
         links = links.unionByName(more)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").unionByName(more))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
