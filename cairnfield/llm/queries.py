@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chat, decontam, fingerprints, html_crf, langid, orc_tokens, packing, pii, quality, scratch
+from . import alignment, bagminhash, chat, decontam, fingerprints, html_crf, langid, orc_tokens, packing, pii, quality, repetition, scratch, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat_format": op2_chat_format,
@@ -80,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
     "op10_bagminhash": op10_bagminhash,
+    "op11_whitening": op11_whitening,
+    "op12_repetition": op12_repetition,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {}

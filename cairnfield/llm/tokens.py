@@ -163,7 +163,7 @@ class Encoder:
         return np.unique(np.concatenate(rows))
 
     def encode_chunk(self, chunk: T.Chunk) -> Encoded:
-        done = self._encode_pretokens(chunk)
+        done = self.encode_pretokens(chunk)
         rows = self._rows_with_added(chunk)
         if not len(rows):
             return done
@@ -176,7 +176,8 @@ class Encoder:
         parts.append(done.ids[done.bounds[last] :])
         return Encoded(chunk.first, np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)]))
 
-    def _encode_pretokens(self, chunk: T.Chunk) -> Encoded:
+    def encode_pretokens(self, chunk: T.Chunk) -> Encoded:
+        """Ids of a chunk's rows; the strings of added tokens are plain text."""
         starts = pretoken_starts(chunk)
         if not len(starts):
             return Encoded(chunk.first, np.zeros(0, self.ids.dtype), np.zeros(chunk.rows + 1, np.int64))
