@@ -50,7 +50,7 @@ def fnv1a64(s: Column) -> Column:
 
 def simhash_expr(body: Column) -> Column:
     """SimHash as one expression: exact, but interpreted; for short texts and tests."""
-    hashes = F.transform(shingles(tokens(F.coalesce(body, F.lit("")))), fnv1a64)
+    hashes = F.transform(F.get(F.transform(F.array(tokens(F.coalesce(body, F.lit("")))), lambda w: shingles(w)), F.lit(0)), fnv1a64)
     zero = F.array_repeat(F.lit(0), 64)
     bits = F.sequence(F.lit(0), F.lit(63))
     votes = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, bits, lambda v, b: v + F.when(F.expr("1") == F.call_function("getbit", h, b), 1).otherwise(-1)))
@@ -107,7 +107,9 @@ def _simhash_of_shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def simhash(body: Column) -> Column:
     """SimHash with tokens and shingles in the JVM and votes on arrays; null without tokens."""
-    return _simhash_of_shingles(shingles(tokens(F.coalesce(body, F.lit("")))))
+    # the tokens are bound to a variable, as each shingle would cut the text again
+    words = F.array(tokens(F.coalesce(body, F.lit(""))))
+    return _simhash_of_shingles(F.get(F.transform(words, lambda w: shingles(w)), F.lit(0)))
 
 
 def as_hex(h: Column) -> Column:

@@ -9,6 +9,7 @@ from cairnfield import schemas as S
 from cairnfield.functions import http as H
 from cairnfield.functions import prng
 from cairnfield.functions import text as T
+from cairnfield.operators import sweep
 
 SLACK_MS = 60_000
 BUCKET_MS = 3_600_000
@@ -26,8 +27,8 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 def window_hits(trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Pairs of trials and hits inside the trial's window, widened by the slack; both ends count.
 
-    Hits with a host meet trials of that domain; those without meet all trials.
-    Windows are dealt over time buckets, so either join is on equal keys.
+    Hits with a host meet trials of that domain, dealt over time buckets, so the join is on equal keys; those
+    without meet all trials, by a sweep along the time.
     """
     lo, hi = F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms
     t = trials.filter(hi >= lo).withColumn("_bucket", F.explode(_buckets(lo, hi, bucket_ms)))
@@ -35,8 +36,11 @@ def window_hits(trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS,
     inside = (F.col("ts") >= lo) & (F.col("ts") <= hi)
     known = h.filter(F.col("hit_host").isNotNull()).withColumn("domain", F.explode(_hosts(F.col("hit_host"))))
     by_host = t.join(known, ["domain", "_bucket"]).filter(inside)
-    by_time = t.join(h.filter(F.col("hit_host").isNull()), "_bucket").filter(inside)
-    return by_host.drop("_bucket").unionByName(by_time.drop("_bucket"))
+    nowhere = h.filter(F.col("hit_host").isNull()).drop("_bucket")
+    if nowhere.isEmpty():
+        return by_host.drop("_bucket")
+    by_time = sweep.in_windows(trials, nowhere, lo, hi, F.col("ts"))
+    return by_host.drop("_bucket").unionByName(by_time)
 
 
 def artifact_of(path: Column) -> Column:

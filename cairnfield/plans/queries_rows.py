@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import keys as K
 from cairnfield.functions import prng, simhash, stats
 from cairnfield.functions import text as T
-from cairnfield.operators import consistency, corpora, experiment, lookups, sampling
+from cairnfield.operators import consistency, corpora, experiment, lookups, near, sampling, search
 from cairnfield.plans import views as V
 from cairnfield.sources import readers
 from cairnfield.streaming import hits as stream_hits
@@ -117,6 +117,15 @@ def soft404_flags(spark, sf_dir):
     return rows.filter("item_id >= 2").withColumn("k", F.lit(1)).join(F.broadcast(base), "k").select("item_id", near.alias("nx_similarity"), (near >= simhash.THRESHOLD).alias("soft404"))
 
 
+@query(f"""WITH {_simhash_sql("SELECT doc_id, text AS t FROM documents", "doc_id")}, x AS (SELECT doc_id, coalesce(bits, repeat('0', 64))::BIT AS h FROM documents LEFT JOIN h USING (doc_id)),
+ c AS (SELECT h, min(doc_id) AS rep, count(*) AS n FROM x GROUP BY h)
+SELECT p.rep AS a, q.rep AS b, p.n AS n_a, q.n AS n_b, bit_count(xor(p.h, q.h))::INT AS distance FROM c p JOIN c q ON p.rep < q.rep AND bit_count(xor(p.h, q.h)) <= 6""")
+def near_dup_pairs(spark, sf_dir):
+    """documents whose hashes are 0.9 alike: classes of equal hashes, and the pairs of them, by an index of equal blocks of bits."""
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", simhash.simhash(F.col("text")).alias("h"))
+    return near.near_pairs(rows, "doc_id", "h")
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # scores
 
@@ -230,6 +239,13 @@ def interval_background(spark, sf_dir):
     return experiment.hit_context(_trials(spark, sf_dir), _hits(spark, sf_dir).withColumn("status", F.col("event_id")))
 
 
+@query(f"""SELECT t.event_id, count(*) AS hits, sum(h.event_id)::BIGINT AS checksum FROM {V.TRIALS.format(ms=V.DUCK_MS)} t JOIN {V.HITS.format(ms=V.DUCK_MS)} h ON h.ts BETWEEN t.start_ms - 60000 AND t.end_ms + 60000 GROUP BY t.event_id""")
+def interval_sweep(spark, sf_dir):
+    """J10 where no hit has a host: every hit meets all trials whose window holds it."""
+    trials, hits = _trials(spark, sf_dir).select("event_id", "domain", "start_ms", "end_ms"), _hits(spark, sf_dir).withColumnRenamed("event_id", "hit_id").withColumn("host", F.lit(None).cast("string"))
+    return experiment.window_hits(trials, hits).groupBy("event_id").agg(F.count("*").alias("hits"), F.sum("hit_id").alias("checksum"))
+
+
 @query(f"SELECT a.domain, a.event_id AS a_id, b.event_id AS b_id FROM {_T} a JOIN {_T} b ON a.domain = b.domain AND a.event_id < b.event_id AND a.start_ms - 60000 <= b.end_ms + 60000 AND b.start_ms - 60000 <= a.end_ms + 60000")
 def overlapping_trials(spark, sf_dir):
     """J12."""
@@ -343,16 +359,18 @@ def hourly_hits(spark, sf_dir):
     return stream_hits.hourly(rows.select(F.col("at").alias("ts"), "path")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "artifact", "n")
 
 
-@query("""SELECT conv_id, turn, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM conversations c JOIN (SELECT item_id, lower(regexp_extract(text, '^\\S+ \\S+', 0)) AS token FROM benchmark) b
- ON contains(trim(regexp_replace(lower(c.text), '[\\s_-]+', ' ', 'g')), trim(regexp_replace(token, '[\\s_-]+', ' ', 'g'))) WHERE token <> '' GROUP BY ALL""")
+_SAID = "trim(regexp_replace(lower({}), '[\\s_-]+', ' ', 'g'))"
+_SENTENCES = f"(SELECT DISTINCT item_id, {_SAID.format('s')} AS token FROM (SELECT item_id, unnest(string_split(text, '.')) AS s FROM benchmark) WHERE length({_SAID.format('s')}) >= 8)"
+
+
+@query(f"""SELECT doc_id, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items, count(DISTINCT token) AS sentences FROM (SELECT doc_id, {_SAID.format('text')} AS said FROM documents) d JOIN {_SENTENCES} b ON contains(d.said, b.token) GROUP BY doc_id""")
 def canary_in_answer(spark, sf_dir):
-    """Openings of benchmark items (a short list of tokens) in conversations."""
-    items = V.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^\S+ \S+", 0)).alias("token")).filter("token <> ''")
+    """Which documents hold sentences of benchmark items, in any case and with any separators; one automaton over all sentences, one pass over each text."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s_-]+", " "))
-    tokens = items.agg(F.array_sort(F.collect_list(F.struct("item_id", norm(F.col("token")).alias("t")))).alias("tokens")).withColumn("k", F.lit(1))
-    rows = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", norm(F.col("text")).alias("said"), F.lit(1).alias("k")).join(F.broadcast(tokens), "k")
-    hit = F.filter("tokens", lambda x: F.contains(F.col("said"), x["t"]))
-    return rows.select("conv_id", "turn", F.array_join(F.transform(hit, lambda x: x["item_id"].cast("string")), ",").alias("items")).filter("items <> ''")
+    sentences = V.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "[.]")).alias("s")).select("item_id", norm(F.col("s")).alias("token")).filter("length(token) >= 8").distinct()
+    token = F.xxhash64("token").alias("t")
+    found = search.holding(V.table(spark, sf_dir, "documents"), norm(F.col("text")), sentences.select("item_id", "token", token), ["doc_id"])
+    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("item_id").cast("string"))), ",").alias("items"), F.count_distinct("t").alias("sentences"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(v, '[",\\r\\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS cell FROM (SELECT doc_id, coalesce(text, '') AS v FROM documents)""")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +11,7 @@ from cairnfield import schemas as S
 from cairnfield.functions import hosts as H
 from cairnfield.functions import text as T
 from cairnfield.operators.classify import dedupe, with_class
+from cairnfield.sources.archives import read_zip_lines as read_zip_lines  # archives stand in their own module
 
 _CORRUPT = "_corrupt"
 
@@ -89,23 +86,6 @@ def read_rank_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return rank_lines(_lines(spark, paths).select("value", F.col("_line").alias("pos")))
 
 
-def read_zip_lines(spark: SparkSession, paths: list[str] | str, suffix: str = ".csv") -> DataFrame:
-    """Lines of the members of ZIP archives, stored or deflated: name, pos, value."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if member.lower().endswith(suffix):
-                            lines = archive.read(member).decode("utf-8", "replace").split("\n")
-                            for k in range(0, len(lines), 100_000):
-                                part = lines[k : k + 100_000]
-                                yield pd.DataFrame({"name": member, "pos": range(k, k + len(part)), "value": [x.removesuffix("\r") for x in part]})
-
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, "name STRING, pos BIGINT, value STRING")
-
-
 def read_sheet(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """A quoted CSV sheet as text columns: trimmed headers, missing cells empty, rows without any cell dropped."""
     rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).csv(paths)
