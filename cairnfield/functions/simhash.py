@@ -6,6 +6,7 @@ renders them as sixteen digits, or `0` for text without tokens.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,11 @@ SHINGLE = 3
 
 def tokens(body: Column) -> Column:
     """Lower-case alphanumeric runs outside of scripts, styles and tags, without nonces (six characters or more with a digit)."""
-    plain = F.regexp_replace(F.regexp_replace(body, r"(?i)<script[\s\S]*?</script>|<style[\s\S]*?</style>", " "), "<[^>]+>", " ")
-    return F.filter(F.split(F.lower(plain), "[^a-z0-9]+"), lambda t: (F.length(t) > 0) & ~((F.length(t) >= 6) & t.rlike("[0-9]")))
+    return F.filter(F.split(_plain(body), "[^a-z0-9]+"), lambda t: (F.length(t) > 0) & ~((F.length(t) >= 6) & t.rlike("[0-9]")))
+
+
+def _plain(body: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(body, r"(?i)<script[\s\S]*?</script>|<style[\s\S]*?</style>", " "), "<[^>]+>", " "))
 
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
@@ -86,30 +90,35 @@ def _votes(rows: list[list[str]]) -> list[int]:
     return [int.from_bytes(x.tobytes(), "big", signed=True) for x in np.packbits(votes, axis=1)]
 
 
+_NONCE = re.compile(r"[0-9]")
+
+
+def _shingles_of(plain: str) -> list[str]:
+    """The shingles of a lower-case text without markup, as `shingles` of `tokens`."""
+    words = [w for w in re.split("[^a-z0-9]+", plain) if w and not (len(w) >= 6 and _NONCE.search(w))]
+    return [" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, min(len(words), 1)))]
+
+
 @F.pandas_udf(LongType())
-def _simhash_of_shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _simhash_of_plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         out: list[int | None] = [None] * len(batch)
         held: list[tuple[int, list[str]]] = []
         size = 0
         for k, x in enumerate(batch):
-            if x is not None and len(x):
-                held.append((k, list(x)))
-                size += sum(map(len, x)) + 8 * len(x)
+            if x and (own := _shingles_of(x)):
+                held.append((k, own))
+                size += sum(map(len, own)) + 8 * len(own)
             if held and (size >= PIECE_BYTES or k == len(batch) - 1):
                 for (at, _), value in zip(held, _votes([row for _, row in held]), strict=True):
                     out[at] = value
                 held, size = [], 0
-        for (at, _), value in zip(held, _votes([row for _, row in held]) if held else [], strict=True):
-            out[at] = value
         yield pd.Series(out, dtype="Int64")
 
 
 def simhash(body: Column) -> Column:
-    """SimHash with tokens and shingles in the JVM and votes on arrays; null without tokens."""
-    # the tokens are bound to a variable, as each shingle would cut the text again
-    words = F.array(tokens(F.coalesce(body, F.lit(""))))
-    return _simhash_of_shingles(F.get(F.transform(words, lambda w: shingles(w)), F.lit(0)))
+    """SimHash with markup removed in the JVM and tokens, shingles and votes on batches; null without tokens."""
+    return _simhash_of_plain(_plain(F.coalesce(body, F.lit(""))))
 
 
 def as_hex(h: Column) -> Column:
