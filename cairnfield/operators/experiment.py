@@ -10,6 +10,7 @@ from cairnfield.functions import http as H
 from cairnfield.functions import prng
 from cairnfield.functions import text as T
 from cairnfield.operators import sweep
+from cairnfield.operators.lookups import numbered
 
 SLACK_MS = 60_000
 BUCKET_MS = 3_600_000
@@ -145,14 +146,14 @@ def known_tasks(tasks: DataFrame, manifest: DataFrame) -> DataFrame:
 CELLS = ((True, True), (False, True), (True, False), (False, False))  # fixed values: (linked, canary) in turn
 
 
-def assigned(domains: list[str], seed: int) -> list[tuple[str, bool, bool, str]]:
-    """(domain, linked, canary, cell) of an experiment's own domains: cells in turn over a seeded shuffle of the distinct ones, so their sizes differ by one at most."""
-    known = list(dict.fromkeys(d for d in (x.strip().lower() for x in domains) if d))
-    out = []
-    for k, domain in enumerate(prng.Generator(seed).shuffled(known)):
-        linked, canary = CELLS[k % len(CELLS)]
-        out.append((domain, linked, canary, f"{'linked' if linked else 'unlinked'}/{'canary' if canary else 'control'}"))
-    return out
+def assigned(domains: DataFrame, seed: int, pos: str = "pos") -> DataFrame:
+    """place, domain, linked, canary, cell of an experiment's own domains (domain, and its position): cells in turn over a seeded shuffle of the distinct ones, so their sizes differ by one at most."""
+    name = F.lower(F.trim("domain"))
+    known = domains.select(name.alias("domain"), F.col(pos).alias("pos")).filter("domain <> ''").groupBy("domain").agg(F.min("pos").alias("pos"))
+    placed = numbered(known, [F.col("pos"), F.col("domain")], "_n").withColumn("item", F.col("_n") - 1)
+    turn = prng.shuffled(domains.sparkSession, placed.count(), seed)
+    cells = F.array(*[F.struct(F.lit(a).alias("linked"), F.lit(b).alias("canary"), F.lit(f"{'linked' if a else 'unlinked'}/{'canary' if b else 'control'}").alias("cell")) for a, b in CELLS])
+    return placed.join(turn, "item").withColumn("_c", F.get(cells, (F.col("place") % len(CELLS)).cast("int"))).select("place", "domain", "_c.linked", "_c.canary", "_c.cell")
 
 
 def hit_context(trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS) -> DataFrame:

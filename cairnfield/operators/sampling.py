@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import prng, stats
@@ -34,31 +36,53 @@ def taken_by_source(sample: DataFrame) -> DataFrame:
     return sample.groupBy("source").agg(F.count("*").alias("taken"), F.count_if("artifact").alias("taken_with_artifact"))
 
 
-def stratified(pool: list[dict], *, per_label: int = PER_LABEL, unknown_n: int = UNKNOWN_N, min_hosts: int | None = None, seed: int = SEED) -> tuple[list[dict], dict[str, tuple[int, int]]]:
-    """A sample of each label in a bounded pool, and (pool, drawn) by label: one stream of draws serves all strata and the last shuffle."""
-    least = per_label if min_hosts is None else min_hosts
-    rng = prng.Generator(seed)
-    by: dict[str, list[dict]] = {}
-    for row in pool:
-        by.setdefault(row["predicted"], []).append(row)
-    chosen: list[dict] = []
-    strata = {}
-    for label in sorted(by):
-        rows = by[label]
-        want = unknown_n if label == "unknown" else 0 if label == "unreachable" or len(rows) < least else per_label
-        drawn = rng.shuffled(rows)[:want] if want else []
-        strata[label] = (len(rows), len(drawn))
-        chosen += drawn
-    return rng.shuffled(chosen), strata
-
-
-def half_matched(candidates: list[dict], n: int = 100, seed: int = 7, matched: Callable[[dict], bool] = lambda x: x["matched"]) -> list[dict]:
-    """n rows for rating, half of them matched; missing matched ones are made up by others, not the other way round."""
-    rng = prng.Generator(seed)
-    yes, no = [x for x in candidates if matched(x)], [x for x in candidates if not matched(x)]
-    a = rng.shuffled(yes)[: n // 2]
-    b = rng.shuffled(no)[: n - min(n // 2, len(yes))]
-    return rng.shuffled(a + b)[:n]
+def _drawn(rows: DataFrame, stratum: str, order: list[Column], strata: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows at the first places of their stratum after a seeded shuffle of it, with `place` in the whole sample, and the strata with `drawn`.
+
+    One stream of draws serves all strata, in the order of `strata` (stratum, ord, pool, want), and then the shuffle of the
+    sample. What earlier strata use up is a prefix sum, and any draw is known by its number, so each stratum is shuffled in a
+    task of its own, which knows its size alone; only the items at its first places are joined with the rows.
+    """
+    spark = rows.sparkSession
+    earlier = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # a row a stratum
+    taken = F.least("want", "pool")
+    sized = strata.withColumns({
+        "drawn": taken,
+        "_rows": F.coalesce(F.sum("pool").over(earlier), F.lit(0)),
+        "_draws": F.coalesce(F.sum(F.when(F.col("want") > 0, F.col("pool") - 1).otherwise(0)).over(earlier), F.lit(0)),
+        "_first": F.coalesce(F.sum(taken).over(earlier), F.lit(0)),
+    })
+    end = sized.agg(F.coalesce(F.sum("drawn"), F.lit(0)).alias("m"), F.coalesce(F.sum(F.when(F.col("want") > 0, F.col("pool") - 1).otherwise(0)), F.lit(0)).alias("used")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                items = prng.first_places(r["pool"], r["want"], seed, r["_draws"])
+                yield pa.RecordBatch.from_arrays([pa.array(items + r["_rows"] + 1, pa.int64()), pa.array(np.arange(len(items)) + r["_first"], pa.int64())], names=["_pos", "_item"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    picks = sized.filter("want > 0").select("ord", "pool", "want", "_rows", "_draws", "_first").repartition(parts, "ord").mapInArrow(run, "_pos BIGINT, _item BIGINT")
+    last = prng.shuffled(spark, end["m"], seed, end["used"]).select(F.col("item").alias("_item"), "place")
+    placed = numbered(rows.join(F.broadcast(strata.select(stratum, "ord")), stratum), [F.col("ord"), *order])
+    sample = placed.join(picks.join(last, "_item"), "_pos").drop("_pos", "_item", "ord")
+    return sample, sized.drop("_rows", "_draws", "_first")
+
+
+def stratified(pool: DataFrame, order: list[Column], *, label: str = "predicted", per_label: int = PER_LABEL, unknown_n: int = UNKNOWN_N, min_hosts: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """A sample of each label of a pool (its rows in `order`) with the place of each row in it, and (label, pool, drawn): unreachable hosts and labels of few hosts give none."""
+    counts = pool.groupBy(label).agg(F.count("*").alias("pool"))
+    want = F.when(F.col(label) == "unknown", unknown_n).when((F.col(label) == "unreachable") | (F.col("pool") < (per_label if min_hosts is None else min_hosts)), 0).otherwise(per_label)
+    strata = counts.withColumns({"want": want, "ord": F.row_number().over(Window.orderBy(label))})
+    sample, sized = _drawn(pool, label, order, strata, seed)
+    return sample, sized.select(F.col(label).alias("label"), "pool", "drawn")
+
+
+def half_matched(candidates: DataFrame, order: list[Column], n: int = 100, seed: int = 7, matched: str = "matched") -> DataFrame:
+    """n rows for rating with their places, half of them matched; missing matched ones are made up by others, not the other way round."""
+    counts = candidates.groupBy(matched).agg(F.count("*").alias("pool"))
+    size = counts.agg(F.coalesce(F.max(F.when(F.col(matched), F.col("pool"))), F.lit(0))).first()[0]
+    strata = counts.select(matched, "pool", F.when(F.col(matched), n // 2).otherwise(n - min(n // 2, size)).alias("want"), F.when(F.col(matched), 0).otherwise(1).alias("ord"))
+    return _drawn(candidates, matched, order, strata, seed)[0]
 
 
 # ---------------------------------------------------------------------------------------------------------------------

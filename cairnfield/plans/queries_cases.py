@@ -17,6 +17,7 @@ from cairnfield.functions import http as W
 from cairnfield.functions import robots
 from cairnfield.functions import text as T
 from cairnfield.operators import cards, classify, consistency, corpora, experiment, handshake, lookups, pages, sampling, summary, validate
+from cairnfield.plans import queries_rows
 from cairnfield.plans import views as V
 from cairnfield.sources import readers
 
@@ -308,12 +309,19 @@ def manifest_tasks(spark, sf_dir):
     return experiment.known_tasks(tasks, V.sql(spark, sf_dir, _KNOWN)).select("event_id", "domain")
 
 
-@query("""SELECT i AS pos, CASE i % 4 WHEN 0 THEN 'linked/canary' WHEN 1 THEN 'unlinked/canary' WHEN 2 THEN 'linked/control' ELSE 'unlinked/control' END AS cell FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i)""")
+_DRAWS = queries_rows._U
+#: One swap of a list of items, and the swaps of a shuffle of n items from the end, by its draws (i, u).
+_SWAP = "lambda a, s: list_transform(range(len(a)), lambda k: CASE WHEN k = s[1] THEN a[s[2] + 1] WHEN k = s[2] THEN a[s[1] + 1] ELSE a[k + 1] END)"
+_SWAPS = "list(CAST([n - i, floor(u * (n - i + 1))] AS BIGINT[]) ORDER BY i)"
+
+
+@query(f"""WITH o AS (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS item, count(*) OVER () AS n FROM (SELECT DISTINCT s_name FROM supplier)),
+ d AS (SELECT i, u, (SELECT max(n) FROM o) AS n FROM {_DRAWS.format(seed=7, source="(SELECT unnest(range(1, (SELECT count(DISTINCT s_name) FROM supplier))) AS i)")}), l AS (SELECT list_reduce(list_prepend(range(any_value(n)), {_SWAPS}), {_SWAP}) AS items FROM d)
+SELECT pos, lower(s_name) AS domain, CASE pos % 4 WHEN 0 THEN 'linked/canary' WHEN 1 THEN 'unlinked/canary' WHEN 2 THEN 'linked/control' ELSE 'unlinked/control' END AS cell FROM (SELECT unnest(items) AS item, unnest(range(len(items))) AS pos FROM l) JOIN o USING (item)""")
 def cell_rotation(spark, sf_dir):
     """Cells in turn over a seeded shuffle of an experiment's own domains."""
-    names = [r["s_name"] for r in V.table(spark, sf_dir, "supplier").select("s_name").distinct().orderBy("s_name").limit(100_000).collect()]
-    made = experiment.assigned(names, 7)
-    return spark.createDataFrame([(k, cell) for k, (_, _, _, cell) in enumerate(made)], "pos BIGINT, cell STRING")
+    names = V.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("domain"), F.col("s_name").alias("pos"))
+    return experiment.assigned(names, 7).select(F.col("place").alias("pos"), "domain", "cell")
 
 
 _HOST_OF = r"lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
@@ -429,13 +437,35 @@ def consistency_candidates(spark, sf_dir):
     return consistency.candidates(rows).select("host", "pair", "coverage", "card_url", "openapi_url")
 
 
-@query("""SELECT label, pool, least(pool, CASE WHEN label = 'unknown' THEN 40 WHEN pool < 20 THEN 0 ELSE 20 END) AS drawn FROM (SELECT CASE c_nationkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'hugo' ELSE 'n' || c_nationkey END AS label, count(*) AS pool FROM customer WHERE c_custkey <= 500 GROUP BY 1)""")
+_POOL = "(SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'hugo' WHEN 2 THEN 'unreachable' ELSE 'n' || c_nationkey END AS label FROM customer)"
+_WANTED = f"(SELECT label, pool, CASE WHEN label = 'unknown' THEN 40 WHEN label = 'unreachable' OR pool < 20 THEN 0 ELSE 20 END AS want FROM (SELECT label, count(*) AS pool FROM {_POOL} GROUP BY 1))"
+
+
+def _strata(spark, sf_dir):
+    n = F.col("c_nationkey")
+    label = F.when(n % 4 == 0, "unknown").when(n % 4 == 1, "hugo").when(n % 4 == 2, "unreachable").otherwise(F.concat(F.lit("n"), n))
+    return sampling.stratified(V.table(spark, sf_dir, "customer").select("c_custkey", label.alias("predicted")), [F.col("c_custkey")])
+
+
+@query(f"SELECT label, pool, least(pool, want)::BIGINT AS drawn FROM {_WANTED}")
 def strata_table(spark, sf_dir):
-    """A bounded pool (a rating sample is drawn by hand-sized lists)."""
-    rows = V.table(spark, sf_dir, "customer").filter("c_custkey <= 500").orderBy("c_custkey").collect()
-    pool = [{"host": r["c_custkey"], "predicted": ("unknown", "hugo")[r["c_nationkey"] % 4] if r["c_nationkey"] % 4 < 2 else f"n{r['c_nationkey']}"} for r in rows]
-    _, strata = sampling.stratified(pool)
-    return spark.createDataFrame([(label, *x) for label, x in strata.items()], "label STRING, pool BIGINT, drawn BIGINT")
+    """The strata of all customers."""
+    return _strata(spark, sf_dir)[1].select("label", "pool", F.col("drawn").cast("bigint").alias("drawn"))
+
+
+#: Strata of up to 64 hosts, so that a shuffle of lists can say what is drawn.
+_SMALL = "(SELECT c_custkey, 'n' || (c_custkey % 40 + 10) AS label FROM customer WHERE c_custkey % 40 < 25 OR c_nationkey < 3)"
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY c_custkey) - 1 AS item FROM {_SMALL}), c AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+ s AS (SELECT *, coalesce(sum(CASE WHEN n >= 5 THEN n - 1 ELSE 0 END) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c),
+ q AS (SELECT label, n, before, unnest(range(1, n)) AS i FROM s WHERE n >= 5), x AS {_DRAWS.format(seed=20261005, source="(SELECT unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS i)")},
+ l AS (SELECT label, list_reduce(list_prepend(range(any_value(n)), {_SWAPS}), {_SWAP})[1:5] AS items FROM (SELECT label, n, q.i, x.u FROM q JOIN x ON x.i = before + q.i) GROUP BY label)
+SELECT label, c_custkey FROM (SELECT label, unnest(items) AS item FROM l) JOIN p USING (label, item)""")
+def strata_sample(spark, sf_dir):
+    """The hosts that are drawn, by one stream of draws over all strata."""
+    rows = V.view(spark, sf_dir, _SMALL).withColumnRenamed("label", "predicted")
+    return sampling.stratified(rows, [F.col("c_custkey")], per_label=5)[0].select(F.col("predicted").alias("label"), "c_custkey")
 
 
 @query("""SELECT artifact, count(*) FILTER (WHERE valid) AS valid FROM (SELECT artifact, valid FROM {P}) GROUP BY 1""".replace("{P}", V.probes() + " p"))

@@ -1,4 +1,4 @@
-"""Streams of access-log hits: counts by window, sessions, and trials joined with hits."""
+"""Streams of access-log hits: counts by window, and sessions (`trials` joins them with trials, `ledger` appends them)."""
 
 from __future__ import annotations
 
@@ -17,28 +17,3 @@ def hourly(hits: DataFrame, *, late: str = "10 minutes", width: str = "1 hour")
 def sessions(hits: DataFrame, *, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Hits of a host and agent with pauses of at most `gap`."""
     return hits.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "host", "ua").agg(F.count("*").alias("n"))
-
-
-def trial_hits(trials: DataFrame, hits: DataFrame, *, slack: str = "60 seconds", late: str = "2 hours") -> DataFrame:
-    """Stream-stream join of trials (start, end as timestamps) and hits of their domain inside the widened window."""
-    t = trials.withWatermark("end", late).alias("t")
-    h = hits.withWatermark("ts", late).withColumn("domain", F.explode(F.array_distinct(F.array("host", F.regexp_replace("host", r"^www\.", ""))))).alias("h")
-    inside = (F.col("t.domain") == F.col("h.domain")) & (F.col("ts") >= F.col("start") - F.expr(f"interval {slack}")) & (F.col("ts") <= F.col("end") + F.expr(f"interval {slack}"))
-    return t.join(h, inside & (F.col("ts") <= F.col("end") + F.expr("interval 1 day")) & (F.col("ts") >= F.col("end") - F.expr("interval 1 day"))).select("t.*", "h.ts", "h.path", "h.ua")
-
-
-def append_once(rows: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Appends a stream's rows to a table, each key once within a batch and against what is there."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        from pyspark.errors import AnalysisException
-
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(path).select(*keys)
-        except AnalysisException:
-            done = None
-        new = batch.dropDuplicates(keys)
-        (new if done is None else new.join(done, keys, "left_anti")).write.mode("append").parquet(path)
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

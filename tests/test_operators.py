@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairnfield import schemas as S
 from cairnfield.functions import documents as D
 from cairnfield.functions import http as H
+from cairnfield.functions import prng
 from cairnfield.operators import cards, classify, consistency, corpora, experiment, fingerprint, handshake, lookups, sampling, summary
 from cairnfield.plans import queries_rows
 from cairnfield.sources import readers, sinks
@@ -174,13 +175,60 @@ def test_labels(spark):
     assert (counts["ok"], counts["not_found"], counts["error"], counts["unlabelled"], counts["commerce"], counts["overlap"]) == (1, 1, 1, 1, 1, 0)
 
 
-def test_samples(spark):
-    pool = [{"host": f"h{k}", "predicted": ("hugo", "unknown", "rare")[k % 2 if k < 60 else 2]} for k in range(63)]
-    a, strata = sampling.stratified(pool, seed=5)
-    assert strata == {"hugo": (30, 20), "unknown": (30, 30), "rare": (3, 0)} and sampling.stratified(pool, seed=5)[0] == a != sampling.stratified(pool, seed=6)[0]
-    cand = [{"id": k, "matched": k < 10} for k in range(200)]
-    picked = sampling.half_matched(cand)
-    assert len(picked) == 100 and sum(x["matched"] for x in picked) == 10
+class Sequential:
+    """The generator and the shuffle as loops, to compare with."""
+
+    def __init__(self, seed):
+        self.state = seed % 2**32
+
+    def __call__(self):
+        self.state = a = (self.state + prng.STEP) & prng.MASK
+        t = (a ^ a >> 15) * (a | 1) & prng.MASK
+        t ^= t + ((t ^ t >> 7) * (t | 61) & prng.MASK) & prng.MASK
+        return ((t ^ t >> 14) & prng.MASK) / 4294967296
+
+    def shuffled(self, items):
+        out = list(items)
+        for i in range(len(out) - 1, 0, -1):
+            j = int(self() * (i + 1))
+            out[i], out[j] = out[j], out[i]
+        return out
+
+
+def test_draws_and_shuffles_from_any_place(monkeypatch):
+    rng = Sequential(99)
+    want = [rng() for _ in range(500)]
+    assert prng.draws(99, 1, 500).tolist() == want and prng.draws(99, 201, 50).tolist() == want[200:250]
+    monkeypatch.setattr(prng, "CHUNK", 7)
+    for n in (0, 1, 2, 3, 20, 333):
+        for before in (0, 41):
+            rng = Sequential(5)
+            for _ in range(before):
+                rng()
+            whole = rng.shuffled(range(n))
+            assert prng.permutation(n, 5, before).tolist() == whole
+            for k in (1, 4, 40, 1000):
+                assert prng.first_places(n, k, 5, before).tolist() == whole[:k]
+
+
+@pytest.mark.parametrize("seed", [5, 20261005])
+def test_samples(spark, seed):
+    pool = [(f"h{k:02}", ("hugo", "unknown", "rare", "unreachable")[k % 2 if k < 60 else 2 + k // 63]) for k in range(66)]
+    rows = spark.createDataFrame(pool, "host STRING, predicted STRING").repartition(5)
+    sample, strata = sampling.stratified(rows, [F.col("host")], seed=seed)
+    assert {r["label"]: (r["pool"], r["drawn"]) for r in strata.collect()} == {"hugo": (30, 20), "unknown": (30, 30), "rare": (3, 0), "unreachable": (3, 0)}
+    rng, chosen = Sequential(seed), []
+    for label, want in (("hugo", 20), ("unknown", 40)):
+        chosen += rng.shuffled([h for h, p in pool if p == label])[:want]
+    assert [r["host"] for r in sample.orderBy("place").collect()] == rng.shuffled(chosen)
+    assert sampling.stratified(rows.filter("false"), [F.col("host")])[0].count() == 0
+    for matched in (10, 90, 0):
+        cand = spark.createDataFrame([(k, k < matched) for k in range(200)], "id INT, matched BOOLEAN")
+        picked = sampling.half_matched(cand, [F.col("id")], seed=seed).orderBy("place").collect()
+        rng = Sequential(seed)
+        a = rng.shuffled(range(matched))[:50] if matched else []
+        b = rng.shuffled(range(matched, 200))[: 100 - min(50, matched)]
+        assert [r["id"] for r in picked] == rng.shuffled(a + b) and len(picked) == 100
     few = spark.createDataFrame([(k,) for k in range(5)], "k INT")
     assert sampling.weighted_draw(few, F.lit(1.0), 9, 1, [F.col("k")]).count() == 5
 
@@ -275,10 +323,12 @@ def test_first_rows_are_kept_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
 
 
-def test_cells_are_balanced():
-    made = experiment.assigned([" B.test", "a.test", "b.test", ""] + [f"d{k}.test" for k in range(9)], 3)
-    counts = {c: sum(x[3] == c for x in made) for c in {x[3] for x in made}}
-    assert len(made) == 11 and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 4 and made == experiment.assigned(["b.test", "a.test"] + [f"d{k}.test" for k in range(9)], 3)
+def test_cells_are_balanced(spark):
+    names = [" B.test", "a.test", "b.test", ""] + [f"d{k}.test" for k in range(9)]
+    made = experiment.assigned(spark.createDataFrame(list(enumerate(names)), "pos INT, domain STRING"), 3).orderBy("place").collect()
+    cells = [r["cell"] for r in made]
+    assert [r["domain"] for r in made] == Sequential(3).shuffled(["b.test", "a.test"] + [f"d{k}.test" for k in range(9)])
+    assert cells[:4] == ["linked/canary", "unlinked/canary", "linked/control", "unlinked/control"] and cells[4:8] == cells[:4] and all(r["linked"] == r["cell"].startswith("linked") for r in made)
 
 
 def test_menu_links_come_first(spark):
@@ -321,10 +371,6 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["artifact"], r["n"]) for r in spark.table("hourly_hits").collect()} == {("llms", 1), ("other", 1)} | {("other", 1)}
-    q = stream_hits.append_once(stream, f"file://{tmp_path}/once", f"file://{tmp_path}/cp", ["host"])
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(f"file://{tmp_path}/once").count() == 1
     assert stream_hits.sessions(hits).count() == 2
 
 
