@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield import schemas as S
 from cairnfield.functions import documents as D
 from cairnfield.functions import keys as K
 from cairnfield.functions import text as T
+from cairnfield.operators.classify import dedupe
 
 # Names of published sample cards, the interface extension and its media type.
 SAMPLES = (
@@ -122,6 +124,28 @@ def profile(doc: Column) -> Column:
     )
 
 
+def candidates(results: DataFrame) -> DataFrame:
+    """host, rank, card_url, card_artifact, alt_url: hosts with a valid agent card, the first such path and the next one."""
+    valid = F.filter("probes", lambda p: F.coalesce(p["valid"], F.lit(False)) & p["artifact"].isin(*S.A2A_CARDS))
+    rows = results.withColumn("_cards", valid).filter(F.size("_cards") > 0)
+    first, second = F.get("_cards", F.lit(0)), F.get("_cards", F.lit(1))
+    return rows.select("host", "rank", first["final_url"].alias("card_url"), first["artifact"].alias("card_artifact"), second["final_url"].alias("alt_url"))
+
+
+def recheck(found: DataFrame, captures: DataFrame) -> DataFrame:
+    """Candidates with the status, digest and profile of a second capture (url, status, error, body text, pos; the first of a URL counts), and whether the other path served the same body."""
+    got = dedupe(captures, ["url"], [F.col("pos")]).select("url", "status", "error", "body", F.sha2("body", 256).alias("sha"))
+    ok = F.col("status") == 200
+    rows = found.join(got.withColumnRenamed("url", "card_url"), "card_url", "left")
+    other = got.select(F.col("url").alias("alt_url"), F.col("status").alias("_alt_status"), F.col("sha").alias("_alt_sha"))
+    rows = rows.join(other, "alt_url", "left").withColumn("_doc", F.when(ok, D.variant(F.col("body"))))
+    known = D.is_object(F.col("_doc")) | D.is_array(F.col("_doc"), "$")
+    return rows.select(
+        "host", "rank", "card_url", "card_artifact", "alt_url", F.coalesce("status", F.lit(0)).alias("status"), F.when(ok & F.col("_doc").isNull(), "unparseable").otherwise(F.col("error")).alias("error"), F.when(ok, F.col("sha")).alias("sha256"),
+        F.when(ok & (F.col("_alt_status") == 200), F.col("_alt_sha") == F.col("sha")).alias("alt_same_body"), F.when(known, profile(F.col("_doc"))).alias("profile"),
+    )
+
+
 def census(profiles: DataFrame, k: int = 8) -> DataFrame:
     """Counts of what agent cards declare: (measure, value, n), the k most frequent values of each; ties go to the smaller value."""
     from pyspark.sql import Window

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield import schemas as S
+from cairnfield.functions import documents as D
+from cairnfield.functions import http as H
 from cairnfield.functions import keys as K
 from cairnfield.functions import stats
+from cairnfield.operators import cards as C
+from cairnfield.operators.classify import dedupe
 
 
 def candidates(results: DataFrame) -> DataFrame:
@@ -18,11 +22,56 @@ def candidates(results: DataFrame) -> DataFrame:
     rows = rows.withColumn("pair", card.isNotNull() & F.col("_api").isNotNull()).withColumn("coverage", F.col("_llms").isNotNull() & (card.isNotNull() | F.col("_api").isNotNull()))
     return rows.filter("pair or coverage").select(
         "host", "rank", card["final_url"].alias("card_url"), card["artifact"].alias("card_artifact"), card["card_spec"].alias("card_spec"),
-        F.transform(F.slice("_cards", 2, 1000), lambda p: p["final_url"]).alias("card_alt_urls"),
+        F.transform(F.filter("_cards", lambda p, i: i > 0), lambda p: p["final_url"]).alias("card_alt_urls"),
         F.col("_api.final_url").alias("openapi_url"), F.col("_api.artifact").alias("openapi_artifact"), F.col("_llms.final_url").alias("llms_url"), "pair", "coverage",
     )
 
 
+LINKS = 5  # fixed value: so many links of a kind are looked up
+
+
+def recheck(found: DataFrame, captures: DataFrame) -> DataFrame:
+    """Candidates with what a second capture of their documents holds: statuses, errors, tools, ops, llms, and `match` where both sides parsed.
+
+    captures: url, status, error, body (text), pos; the first capture of a URL counts. Candidate URLs are joined with their
+    places, and the tools are those of the first place that lists any; without one, those of the first place.
+    """
+    got = dedupe(captures, ["url"], [F.col("pos")]).select("url", "status", "error", "body")
+    ok = F.col("status") == 200
+    pair = F.col("pair") & F.col("card_url").isNotNull() & F.col("openapi_url").isNotNull()
+    pairs = found.filter(pair)
+    cards = pairs.select("host", F.posexplode(F.concat(F.array("card_url"), F.coalesce("card_alt_urls", F.array().cast("array<string>")))).alias("place", "url"))
+    card = cards.join(got, "url", "left").withColumn("doc", F.when(ok, D.variant(F.col("body"))))
+    card = card.withColumn("tools", F.when(D.is_object(F.col("doc")) | D.is_array(F.col("doc"), "$"), C.card_tools(F.col("doc"))))
+    main = F.col("place") == 0
+    card = card.groupBy("host").agg(
+        F.max(F.when(main, F.col("status"))).alias("card_status"),
+        F.max(F.when(main, F.col("error"))).alias("card_error"),
+        F.bool_or(main & F.coalesce(ok, F.lit(False)) & F.col("tools").isNull()).alias("card_unparseable"),
+        F.max(F.when(main & F.col("tools").isNotNull(), F.struct("tools"))).alias("own"),
+        F.min(F.when(F.size("tools") > 0, F.struct("place", "url", "tools"))).alias("best"),
+    )
+    card = card.select("host", "card_status", "card_error", "card_unparseable", F.coalesce("best.tools", "own.tools").alias("tools"), F.when(F.col("best.place") > 0, F.col("best.url")).alias("alt_used"))
+    api = pairs.select("host", F.col("openapi_url").alias("url"), (F.col("openapi_artifact") == "openapi_yaml").alias("yaml")).join(got, "url", "left")
+    api = api.withColumn("json", D.structured(F.when(ok, F.col("body")), F.col("yaml")))
+    api = api.select("host", F.col("status").alias("openapi_status"), F.col("error").alias("openapi_error"), (F.coalesce(ok, F.lit(False)) & F.col("json").isNull()).alias("openapi_unparseable"), F.when(F.ltrim("json").startswith("{"), C.openapi_operations(F.col("json"))).alias("ops"))
+    text = found.filter(F.col("coverage") & F.col("llms_url").isNotNull()).select("host", F.col("llms_url").alias("url")).join(got, "url", "left")
+    text = text.select("host", F.col("status").alias("llms_status"), F.col("error").alias("llms_error"), F.when(ok, H.llms_links(F.col("body"), F.col("url"))).alias("links"))
+    asked = text.select("host", F.explode(F.array(F.struct(F.lit("openapi").alias("kind"), F.slice("links.openapi", 1, LINKS).alias("urls")), F.struct(F.lit("card").alias("kind"), F.slice("links.card", 1, LINKS).alias("urls")))).alias("x")).select("host", "x.kind", F.posexplode("x.urls").alias("n", "url"))
+    answered = asked.join(got.select("url", F.col("status").alias("s")), "url", "left").groupBy("host").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("n", F.coalesce(F.col("s") == 200, F.lit(False)).alias("ok"))))).alias(k) for k in ("openapi", "card")])
+    flags = lambda k: F.coalesce(F.transform(k, lambda x: x["ok"]), F.array().cast("array<boolean>"))
+    llms = text.join(answered, "host", "left").select("host", "llms_status", "llms_error", F.when(F.col("links").isNotNull(), F.struct("links.openapi", "links.card", "links.total", flags("openapi").alias("openapi_resolves"), flags("card").alias("card_resolves"))).alias("llms"))
+    joined = found.join(card, "host", "left").join(api, "host", "left").join(llms, "host", "left")
+    said = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(c)))
+    lost = lambda name, c: F.when(F.col(c), F.lit(f"{name}:unparseable"))
+    errors = F.array_compact(F.array(said("card", "card_error"), said("openapi", "openapi_error"), lost("card", "card_unparseable"), lost("openapi", "openapi_unparseable"), said("llms", "llms_error")))
+    both = F.col("tools").isNotNull() & F.col("ops").isNotNull()
+    legacy = F.col("alt_used").rlike(r"/mcp/server-card\.json$")
+    rows = joined.withColumns({"errors": errors, "card_used_alt": F.col("alt_used").isNotNull(), "card_spec": F.when(legacy, "sep-1649").otherwise(F.col("card_spec")), "card_url": F.coalesce("alt_used", "card_url"), "card_lists_no_tools": F.when(both, F.size("tools") == 0), "openapi_has_no_ops": F.when(both, F.size("ops") == 0)})
+    matched = match_pairs(rows)
+    return matched.withColumn("match", F.when(both, F.col("match"))).drop("card_error", "openapi_error", "llms_error", "card_unparseable", "openapi_unparseable", "alt_used")
+
+
 def match_pairs(rows: DataFrame) -> DataFrame:
     """Adds `match` to rows with tools (array of names) and ops (array of structs with key, operation_id): strict and loose key sets and their overlap."""
     tools, ops = F.col("tools"), F.transform("ops", lambda o: o["key"])
@@ -74,19 +123,19 @@ def summary(rows: DataFrame) -> DataFrame:
     links = F.col("llms").isNotNull() & F.col("coverage")
     api, card = links & (F.size("llms.openapi") > 0), links & (F.size("llms.card") > 0)
     resolves = F.exists(F.coalesce("llms.openapi_resolves", F.array().cast("array<boolean>")), lambda x: x) | F.exists(F.coalesce("llms.card_resolves", F.array().cast("array<boolean>")), lambda x: x)
-    return rows.agg(
+    share = {"median_loose": m["jaccard_loose"], "median_strict": m["jaccard_strict"], "median_unmatched_share": stats.ratio(unmatched, m["n_tools"])}
+    values = rows.filter(scored).select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in share.items()])).alias("x")).select("x.*")
+    middle = stats.medians(values, "name", "value").agg(*[F.max(F.when(F.col("name") == k, F.col("mean_median"))).alias(k) for k in share])
+    counts = rows.agg(
         F.count_if("pair").alias("pairs"),
         F.count_if(fetched).alias("fetched"),
         F.count_if(fetched & (m["n_tools"] == 0)).alias("no_tools"),
         F.count_if(fetched & (m["n_ops"] == 0)).alias("no_ops"),
         F.count_if(scored).alias("scored"),
-        F.median(F.when(scored, m["jaccard_loose"])).alias("median_loose"),
-        F.median(F.when(scored, m["jaccard_strict"])).alias("median_strict"),
         F.count_if(scored & (m["jaccard_loose"] == 0)).alias("loose_zero"),
         F.count_if(scored & (m["jaccard_loose"] == 1)).alias("loose_one"),
         F.sum(F.when(scored, unmatched)).alias("unmatched"),
         F.sum(F.when(scored, m["n_tools"])).alias("tools"),
-        F.median(F.when(scored, stats.ratio(unmatched, m["n_tools"]))).alias("median_unmatched_share"),
         F.count_if("coverage").alias("coverage"),
         F.count_if(links).alias("llms_fetched"),
         F.count_if(api).alias("link_openapi"),
@@ -94,3 +143,5 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count_if(api | card).alias("link_any"),
         F.count_if((api | card) & resolves).alias("link_resolves"),
     )
+    # a row each
+    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(middle.withColumn("_k", F.lit(1))), "_k").drop("_k")

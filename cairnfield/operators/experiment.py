@@ -121,9 +121,10 @@ def clustered_interval(rows: DataFrame, cluster: str, value: str, pos: str, *, g
     """
     group = group or []
     per = rows.groupBy(*group, cluster).agg(F.count_if(F.col(value)).alias("k"), F.count("*").alias("n"), F.min(pos).alias("first"))
-    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    order = by.orderBy("first")
-    cells = per.withColumn("j", F.row_number().over(order) - 1).withColumn("g", F.count("*").over(by)).select(*group, "j", "g", "k", "n")
+    # places in order of first appearance come from a range sort, so no task holds all clusters
+    placed = numbered(per.withColumn("_g", F.xxhash64(F.struct(*group)) if group else F.lit(0)), [F.col("_g"), F.col("first"), F.col(cluster)])
+    ends = placed.groupBy("_g").agg(F.min("_pos").alias("_first"), F.count("*").alias("g"))
+    cells = placed.join(ends, "_g").select(*group, (F.col("_pos") - F.col("_first")).cast("int").alias("j"), "g", "k", "n")
     draws = cells.filter("j = 0 and g >= 2").select(*group, "g").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     drawn = draws.withColumn("j", F.floor(prng.draw(seed, F.col("rep").cast("bigint") * F.col("g") + F.col("i") + 1) * F.col("g")).cast("int"))
     keys = [*group, "j"]

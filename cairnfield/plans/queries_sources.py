@@ -5,15 +5,19 @@ from __future__ import annotations
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions import hosts as H
-from cairnfield.operators import corpora
+from cairnfield.operators import cards, consistency, corpora
+from cairnfield.plans import queries_rows
 from cairnfield.plans import views as V
-from cairnfield.sources import archives, files, registry_pages, scratch
+from cairnfield.sources import archives, files, readers, registry_pages, scratch, sinks
+from cairnfield.streaming import ledger
+from cairnfield.streaming import trials as stream_trials
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +133,113 @@ def suffix_rules(spark, sf_dir):
     names = V.view(spark, sf_dir, _NAMES)
     own = names.select("host", H.registrable(F.col("host"), _RULES).alias("all_rules"), H.registrable(F.col("host"), _RULES, private=False).alias("public_rules"))
     return own.join(H.registrable_join(names, H.suffix_rules(spark, path)).withColumnRenamed("registrable_domain", "by_table"), "host")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# transactional appends, corpora
+
+
+@query("SELECT user_id, event_type, min(event_id % 4) AS batch FROM events GROUP BY ALL")
+def appended_batches(spark, sf_dir):
+    """Batches with keys in common, one of them sent twice, appended by markers; each key stands in the first batch that has it."""
+    events = V.table(spark, sf_dir, "events").select("user_id", "event_type", (F.col("event_id") % 4).alias("batch"))
+    book = ledger.Ledger(spark, _folder(spark, "ledger"), ["user_id", "event_type"], buckets=4, bucket_rows=1000)
+    for k in (0, 1, 1, 2, 3):
+        book.append(events.filter(F.col("batch") == k), k)
+    return book.rows()
+
+
+_MS = V.DUCK_MS
+
+
+@query(f"""SELECT t.event_id AS trial, h.event_id AS hit FROM {V.TRIALS.format(ms=_MS)} t JOIN {V.HITS.format(ms=_MS)} h ON (h.host = t.domain OR h.host = 'www.' || t.domain) AND h.ts BETWEEN t.start_ms - 60000 AND t.end_ms + 60000""")
+def streamed_trials(spark, sf_dir):
+    """Trials and hits as streams of files, joined by a state with timers."""
+    path = _folder(spark, "streams")
+    views = {"trials": V.view(spark, sf_dir, V.TRIALS.format(ms=V.SPARK_MS)).select("event_id", "domain", "start_ms", "end_ms"), "hits": V.view(spark, sf_dir, V.HITS.format(ms=V.SPARK_MS)).select("event_id", "host", "ts")}
+    for name, rows in views.items():
+        rows.write.parquet(f"{path}/{name}")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_trials.PROVIDER)
+    try:
+        t, h = (spark.readStream.schema(rows.schema).parquet(f"{path}/{name}") for name, rows in views.items())
+        pairs = stream_trials.window_hits(t, h, late="60 days", span_ms=30 * 86_400_000).select(F.col("trial.event_id").alias("trial"), F.col("hit.event_id").alias("hit"))
+        query = pairs.writeStream.format("parquet").option("path", f"{path}/pairs").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return spark.read.schema(pairs.schema).parquet(f"{path}/pairs")
+
+
+@query(f"WITH {queries_rows._BANDED} SELECT band AS label, rank, reg AS host FROM k WHERE kept")
+def corpus_files(spark, sf_dir):
+    """K5, K6: bands written by two runs under one tag, and read back by the sidecar that names the files of both."""
+    folder = _folder(spark, "corpus")
+    seen = queries_rows._visited(spark, sf_dir)
+    kept, accounts = corpora.band_hosts(seen), corpora.band_accounts(seen)
+    first = F.col("band").isin("1-100", "500-1k")
+    for part in (first, ~first):
+        sinks.write_bands(kept.filter(part), accounts.filter(part), folder, "list", {"source": "customer"})
+    lists = sinks.read_sidecar(spark, f"{folder}/list.meta.json")["lists"]
+    read = [readers.read_hosts(spark, x["file"]).select(F.lit(label).alias("label"), "rank", "host") for label, x in sorted(lists.items())]
+    return reduce(DataFrame.unionByName, read)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# second captures
+
+#: Which documents of host k were valid in the first crawl.
+_CARD, _LEGACY, _API, _LLMS = "k % 2 = 0", "k % 5 < 3", "k % 3 < 2", "k % 7 < 4"
+_K = "(SELECT c_custkey AS k, 'h' || CAST(c_custkey AS VARCHAR(20)) || '.example.com' AS host FROM customer)"
+
+
+def _probe(path: str, artifact: str, valid: str):
+    return F.struct(F.lit(path).alias("path"), F.lit(artifact).alias("artifact"), F.expr(valid).alias("valid"), F.concat(F.lit("https://"), "host", F.lit(path)).alias("final_url"), F.lit("sep-2127").alias("card_spec"))
+
+
+def _captures(rows: DataFrame, parts: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Captures of every host: path to SQL of status, error and body; each is captured twice, of which the first counts."""
+    made = [F.struct(F.concat(F.lit("https://"), "host", F.lit(path)).alias("url"), F.expr(status).cast("int").alias("status"), F.expr(error).cast("string").alias("error"), F.expr(body).cast("string").alias("body")) for path, (status, error, body) in parts.items()]
+    once = rows.select(F.explode(F.array(*made)).alias("x")).select("x.*")
+    return once.withColumn("pos", F.lit(1)).unionByName(once.select("url", F.lit(200).alias("status"), F.lit("late").alias("error"), F.lit("{}").alias("body"), F.lit(2).alias("pos")))
+
+
+_TOOLS = "CASE WHEN k % 7 <> 0 AND k % 8 NOT IN (0, 2) THEN 'getUser,other' WHEN {alt} THEN 'alt_tool' WHEN k % 7 <> 0 AND k % 8 = 0 THEN '' END"
+#: The first place is the card's path if it was valid, the older path if that alone was.
+_USED = f"({_CARD}) AND ({_LEGACY}) AND (k % 7 = 0 OR k % 8 IN (0, 2))"
+
+
+@query(f"""WITH c AS (SELECT *, ({_CARD}) AS card, ({_LEGACY}) AS legacy, ({_API}) AS api, ({_LLMS}) AS llms FROM {_K}), p AS (SELECT *, (card OR legacy) AND api AS pair, llms AND (card OR legacy OR api) AS coverage FROM c),
+ t AS (SELECT *, CASE WHEN NOT pair THEN NULL WHEN NOT card THEN 'alt_tool' ELSE {_TOOLS.format(alt=f"({_LEGACY})")} END AS tools, pair AND k % 9 <> 0 AS has_ops FROM p WHERE pair OR coverage)
+SELECT host, pair, coverage, tools, pair AND {_USED} AS used_alt, CASE WHEN tools IS NOT NULL AND has_ops THEN CASE WHEN tools LIKE 'getUser%' THEN 1 ELSE 0 END END AS matched_loose,
+ concat_ws(',', CASE WHEN pair AND card AND k % 7 = 0 THEN 'card:gone' END, CASE WHEN pair AND k % 9 = 0 THEN 'openapi:timeout' END, CASE WHEN pair AND card AND k % 7 <> 0 AND k % 8 = 2 THEN 'card:unparseable' END) AS errors,
+ CASE WHEN coverage THEN 1 END AS api_links, CASE WHEN coverage THEN k % 9 <> 0 END AS resolves FROM t""")
+def rechecked_pairs(spark, sf_dir):
+    """Candidates, their second captures with other paths to fall back on, and the match of what they hold."""
+    rows = V.view(spark, sf_dir, _K)
+    probes = F.array(_probe("/c", "mcp_server_card", _CARD), _probe("/mcp/server-card.json", "mcp_server_card_legacy", _LEGACY), _probe("/o", "openapi_json", _API), _probe("/l", "llms_txt", _LLMS))
+    found = consistency.candidates(rows.select("host", F.col("k").cast("int").alias("rank"), probes.alias("probes")))
+    captured = _captures(rows, {
+        "/c": ("CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END", "CASE WHEN k % 7 = 0 THEN 'gone' END", """CASE k % 8 WHEN 0 THEN '{"name":"n"}' WHEN 2 THEN 'oops' ELSE '{"name":"n","tools":["getUser",{"name":"other"}]}' END"""),
+        "/mcp/server-card.json": ("200", "NULL", """'{"tools":["alt_tool"]}'"""),
+        "/o": ("CASE WHEN k % 9 = 0 THEN 0 ELSE 200 END", "CASE WHEN k % 9 = 0 THEN 'timeout' END", """'{"openapi":"3.0.0","paths":{"/u":{"get":{"operationId":"getUser"}}}}'"""),
+        "/l": ("200", "NULL", "concat('# T\\n- [api](https://', host, '/o/openapi.json)')"),
+        "/o/openapi.json": ("CASE WHEN k % 9 = 0 THEN 404 ELSE 200 END", "NULL", "''"),
+    })
+    made = consistency.recheck(found, captured)
+    return made.select("host", "pair", "coverage", F.array_join("tools", ",").alias("tools"), "card_used_alt", F.col("match.matched_loose").alias("matched_loose"), F.array_join("errors", ",").alias("errors"), F.size(F.col("llms.openapi")).alias("api_links"), F.exists("llms.openapi_resolves", lambda x: x).alias("resolves")).withColumnRenamed("card_used_alt", "used_alt")
+
+
+@query(f"""SELECT host, 'https://' || host || CASE WHEN {_CARD} THEN '/.well-known/agent-card.json' ELSE '/.well-known/agent.json' END AS card_url, CASE WHEN ({_CARD}) AND k % 11 = 0 THEN 0 ELSE 200 END AS status, CASE WHEN ({_CARD}) AND k % 11 = 0 THEN 'timeout' WHEN ({_CARD}) AND k % 10 = 2 THEN 'unparseable' END AS error,
+ CASE WHEN ({_CARD}) AND ({_LEGACY}) AND k % 11 <> 0 THEN k % 10 <> 2 AND k % 4 = 0 END AS alt_same_body, CASE WHEN ({_CARD}) AND (k % 11 = 0 OR k % 10 = 2) THEN NULL WHEN ({_CARD}) AND k % 4 = 0 THEN 'v1' WHEN {_CARD} THEN 'legacy' ELSE 'v1' END AS generation FROM {_K} WHERE ({_CARD}) OR ({_LEGACY})""")
+def rechecked_cards(spark, sf_dir):
+    """Agent cards captured again, by the first valid path, and whether the other path serves the same body."""
+    rows = V.view(spark, sf_dir, _K)
+    probes = F.array(_probe("/.well-known/agent-card.json", "a2a_agent_card", _CARD), _probe("/.well-known/agent.json", "a2a_agent_json", _LEGACY))
+    found = cards.candidates(rows.select("host", F.col("k").cast("int").alias("rank"), probes.alias("probes")))
+    new = """'{"name":"n","supportedInterfaces":[{"url":"https://x.test/a","transport":"grpc"}]}'"""
+    captured = _captures(rows, {
+        "/.well-known/agent-card.json": ("CASE WHEN k % 11 = 0 THEN 0 ELSE 200 END", "CASE WHEN k % 11 = 0 THEN 'timeout' END", f"""CASE WHEN k % 10 = 2 THEN 'no card' WHEN k % 4 = 0 THEN {new} ELSE '{{"name":"n","url":"https://x.test/"}}' END"""),
+        "/.well-known/agent.json": ("200", "NULL", new),
+    })
+    return cards.recheck(found, captured).select("host", "card_url", "status", "error", "alt_same_body", F.col("profile.generation").alias("generation"))

@@ -8,7 +8,7 @@ their hash; a batch reads the buckets of its own keys alone, and the number of
 buckets doubles as the table grows, so that a bucket holds about `bucket_rows`
 keys at most and what a batch reads follows its own keys, not the table.
 
-Folders: `rows/batch=N`, `keys/gen=G/batch=N/bucket=B`, `_commits/N.json`.
+Folders: `rows/ledger_batch=N`, `keys/gen=G/ledger_batch=N/ledger_bucket=B`, `_commits/N.json`.
 Batches of one table are appended one after another; of two writers that append
 at the same time, the second fails at its marker and may try again.
 """
@@ -56,12 +56,12 @@ class Ledger:
     def done_keys(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
         """Keys of committed batches, in some buckets or in all."""
         folder = f"{self.path}/keys/gen={state['gen']}"
-        stored = self.spark.read.option("basePath", folder).parquet(folder).filter((F.col("batch") >= state["since"]) & (F.col("batch") <= state["number"]))
-        return stored if buckets is None else stored.filter(F.col("bucket").isin(buckets))
+        stored = self.spark.read.option("basePath", folder).parquet(folder).filter((F.col("ledger_batch") >= state["since"]) & (F.col("ledger_batch") <= state["number"]))
+        return stored if buckets is None else stored.filter(F.col("ledger_bucket").isin(buckets))
 
     def _write_keys(self, rows: DataFrame, gen: int, buckets: int, number: int) -> None:
-        keyed = rows.select(*self.keys).withColumn("bucket", self._bucket(buckets))
-        keyed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/keys/gen={gen}/batch={number}")
+        keyed = rows.select(*self.keys).withColumn("ledger_bucket", self._bucket(buckets))
+        keyed.repartition("ledger_bucket").write.partitionBy("ledger_bucket").parquet(f"{self.path}/keys/gen={gen}/ledger_batch={number}")
 
     # -------------------------------------------------------------------------------------------------------- append
 
@@ -71,7 +71,7 @@ class Ledger:
         if batch_id <= state["writers"].get(writer, -1):
             return 0
         number, gen, buckets = state["number"] + 1, state["gen"], state["buckets"]
-        for left in (f"rows/batch={number}", f"keys/gen={gen}/batch={number}", f"keys/gen={gen + 1}"):  # of an attempt that was killed
+        for left in (f"rows/ledger_batch={number}", f"keys/gen={gen}/ledger_batch={number}", f"keys/gen={gen + 1}"):  # of an attempt that was killed
             commit.remove(self.spark, f"{self.path}/{left}")
         new = batch.dropDuplicates(self.keys)
         if state["rows"]:
@@ -80,7 +80,7 @@ class Ledger:
             done = self.done_keys(state, touched).select(*[F.col(k).alias(f"_done_{k}") for k in self.keys])
             same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in self.keys])
             new = new.join(done, same, "left_anti")
-        folder = f"{self.path}/rows/batch={number}"
+        folder = f"{self.path}/rows/ledger_batch={number}"
         new.write.parquet(folder)
         # counts and keys come from what was written, whatever a second evaluation of the batch would give
         added = self.spark.read.schema(batch.schema).parquet(folder)
@@ -109,7 +109,7 @@ class Ledger:
         schema = StructType.fromJson(state["schema"])
         folder = f"{self.path}/rows"
         # the folder of an unfinished batch has a number beyond the last marker's
-        return self.spark.read.schema(schema.add("batch", "integer")).option("basePath", folder).parquet(folder).filter(F.col("batch") <= state["number"]).drop("batch")
+        return self.spark.read.schema(schema.add("ledger_batch", "integer")).option("basePath", folder).parquet(folder).filter(F.col("ledger_batch") <= state["number"]).drop("ledger_batch")
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, keys: list[str], *, available_now: bool = False, **options):
