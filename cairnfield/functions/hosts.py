@@ -123,7 +123,7 @@ def registrable_join(hosts: DataFrame, suffixes: DataFrame, host_col: str = "hos
 
 def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules (suffix, private) of a public list in its usual format: one a line up to white space, `//` comments, a marked private section."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     own = F.regexp_extract("value", r"(?s)===BEGIN PRIVATE DOMAINS===(.*?)===END PRIVATE DOMAINS===", 1)
     rest = F.regexp_replace("value", r"(?s)===BEGIN PRIVATE DOMAINS===.*?===END PRIVATE DOMAINS===", "")
     part = lambda text, private: whole.select(F.explode(F.split(text, r"\r?\n")).alias("line"), F.lit(private).alias("private"))

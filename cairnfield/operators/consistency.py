@@ -41,8 +41,9 @@ def recheck(found: DataFrame, captures: DataFrame) -> DataFrame:
     pair = F.col("pair") & F.col("card_url").isNotNull() & F.col("openapi_url").isNotNull()
     pairs = found.filter(pair)
     cards = pairs.select("host", F.posexplode(F.concat(F.array("card_url"), F.coalesce("card_alt_urls", F.array().cast("array<string>")))).alias("place", "url"))
-    card = cards.join(got, "url", "left").withColumn("doc", F.when(ok, D.variant(F.col("body"))))
-    card = card.withColumn("tools", F.when(D.is_object(F.col("doc")) | D.is_array(F.col("doc"), "$"), C.card_tools(F.col("doc"))))
+    some = lambda c: F.coalesce(~F.col(c).isin("null", '""', "0", "false"), F.lit(False))  # noqa: E731  neither unreadable nor empty
+    card = cards.join(got, "url", "left").withColumn("json", D.structured(F.when(ok, F.col("body")), F.lit(False)))
+    card = card.withColumn("tools", F.when(some("json"), C.card_tools(D.variant(F.col("json")))))
     main = F.col("place") == 0
     card = card.groupBy("host").agg(
         F.max(F.when(main, F.col("status"))).alias("card_status"),
@@ -54,7 +55,7 @@ def recheck(found: DataFrame, captures: DataFrame) -> DataFrame:
     card = card.select("host", "card_status", "card_error", "card_unparseable", F.coalesce("best.tools", "own.tools").alias("tools"), F.when(F.col("best.place") > 0, F.col("best.url")).alias("alt_used"))
     api = pairs.select("host", F.col("openapi_url").alias("url"), (F.col("openapi_artifact") == "openapi_yaml").alias("yaml")).join(got, "url", "left")
     api = api.withColumn("json", D.structured(F.when(ok, F.col("body")), F.col("yaml")))
-    api = api.select("host", F.col("status").alias("openapi_status"), F.col("error").alias("openapi_error"), (F.coalesce(ok, F.lit(False)) & F.col("json").isNull()).alias("openapi_unparseable"), F.when(F.ltrim("json").startswith("{"), C.openapi_operations(F.col("json"))).alias("ops"))
+    api = api.select("host", F.col("status").alias("openapi_status"), F.col("error").alias("openapi_error"), (F.coalesce(ok, F.lit(False)) & ~some("json")).alias("openapi_unparseable"), F.when(some("json"), C.openapi_operations(F.col("json"))).alias("ops"))
     text = found.filter(F.col("coverage") & F.col("llms_url").isNotNull()).select("host", F.col("llms_url").alias("url")).join(got, "url", "left")
     text = text.select("host", F.col("status").alias("llms_status"), F.col("error").alias("llms_error"), F.when(ok, H.llms_links(F.col("body"), F.col("url"))).alias("links"))
     asked = text.select("host", F.explode(F.array(F.struct(F.lit("openapi").alias("kind"), F.slice("links.openapi", 1, LINKS).alias("urls")), F.struct(F.lit("card").alias("kind"), F.slice("links.card", 1, LINKS).alias("urls")))).alias("x")).select("host", "x.kind", F.posexplode("x.urls").alias("n", "url"))

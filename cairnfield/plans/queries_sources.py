@@ -220,7 +220,7 @@ def rechecked_pairs(spark, sf_dir):
     probes = F.array(_probe("/c", "mcp_server_card", _CARD), _probe("/mcp/server-card.json", "mcp_server_card_legacy", _LEGACY), _probe("/o", "openapi_json", _API), _probe("/l", "llms_txt", _LLMS))
     found = consistency.candidates(rows.select("host", F.col("k").cast("int").alias("rank"), probes.alias("probes")))
     captured = _captures(rows, {
-        "/c": ("CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END", "CASE WHEN k % 7 = 0 THEN 'gone' END", """CASE k % 8 WHEN 0 THEN '{"name":"n"}' WHEN 2 THEN 'oops' ELSE '{"name":"n","tools":["getUser",{"name":"other"}]}' END"""),
+        "/c": ("CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END", "CASE WHEN k % 7 = 0 THEN 'gone' END", """CASE k % 8 WHEN 0 THEN '{"name":"n"}' WHEN 2 THEN '{"name":[' ELSE '{"name":"n","tools":["getUser",{"name":"other"}]}' END"""),
         "/mcp/server-card.json": ("200", "NULL", """'{"tools":["alt_tool"]}'"""),
         "/o": ("CASE WHEN k % 9 = 0 THEN 0 ELSE 200 END", "CASE WHEN k % 9 = 0 THEN 'timeout' END", """'{"openapi":"3.0.0","paths":{"/u":{"get":{"operationId":"getUser"}}}}'"""),
         "/l": ("200", "NULL", "concat('# T\\n- [api](https://', host, '/o/openapi.json)')"),

@@ -117,10 +117,10 @@ def write_table(rows: DataFrame, path: str, order: list[str]) -> None:
     widest = text.agg(*[F.coalesce(F.max(F.length(f"`{c}`")), F.lit(0)).alias(c) for c in rows.columns]).first()
     width = {c: max(len(c), widest[c]) for c in rows.columns}
     cell = lambda c: F.rpad(f"`{c}`", width[c], " ")
-    body = text.select(F.lit(1).alias("_o"), "_by", F.rtrim(F.concat_ws("  ", *[cell(c) for c in rows.columns])).alias("value"))
+    body = text.select(F.lit(2).alias("_o"), "_by", F.rtrim(F.concat_ws("  ", *[cell(c) for c in rows.columns])).alias("value"))
     head = ["  ".join(c.ljust(width[c]) for c in rows.columns).rstrip(), "  ".join("-" * width[c] for c in rows.columns)]
-    top = rows.sparkSession.createDataFrame([(0, None, x) for x in head], body.schema)
-    top.unionByName(body).orderBy("_o", "_by", F.when(F.col("_o") == 0, F.col("value").startswith("-"))).select("value").write.text(path)
+    top = rows.sparkSession.createDataFrame(list(enumerate(head)), "_o INT, value STRING").select("_o", F.lit(None).cast(body.schema["_by"].dataType).alias("_by"), "value")
+    top.unionByName(body).orderBy("_o", "_by").select("value").write.text(path)
 
 
 def prevalence_report(prevalence: DataFrame) -> str:

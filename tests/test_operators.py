@@ -125,13 +125,11 @@ def test_windows_slack_and_hosts(spark):
 
 
 def test_bootstrap_matches_a_sequential_loop(spark):
-    from cairnfield.functions.prng import Generator
-
     rows = [(k, f"c{k % 5}", k % 3 == 0) for k in range(40)]
     clusters: dict = {}
     for _, c, v in rows:
         clusters.setdefault(c, []).append(v)
-    groups, rng, est = list(clusters.values()), Generator(1), []
+    groups, rng, est = list(clusters.values()), Sequential(1), []
     for _ in range(200):
         picked = [groups[int(rng() * len(groups))] for _ in groups]
         est.append(sum(map(sum, picked)) / sum(map(len, picked)))
