@@ -138,7 +138,7 @@ def _psl(host, rules, private=True):
     """The public algorithm by loops."""
     host = host.lower().removesuffix(".")
     labels = host.split(".")
-    if not host or len(labels) < 2 or host.replace(".", "").isdigit():
+    if not host or len(labels) < 2 or (len(labels) == 4 and all(map(str.isdigit, labels))):
         return None
     best = 1
     for rule, own in rules:
