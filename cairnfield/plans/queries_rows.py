@@ -119,11 +119,11 @@ def soft404_flags(spark, sf_dir):
 
 @query(f"""WITH {_simhash_sql("SELECT doc_id, text AS t FROM documents", "doc_id")}, x AS (SELECT doc_id, coalesce(bits, repeat('0', 64))::BIT AS h FROM documents LEFT JOIN h USING (doc_id)),
  c AS (SELECT h, min(doc_id) AS rep, count(*) AS n FROM x GROUP BY h)
-SELECT p.rep AS a, q.rep AS b, p.n AS n_a, q.n AS n_b, bit_count(xor(p.h, q.h))::INT AS distance FROM c p JOIN c q ON p.rep < q.rep AND bit_count(xor(p.h, q.h)) <= 6""")
-def near_dup_pairs(spark, sf_dir):
-    """documents whose hashes are 0.9 alike: classes of equal hashes, and the pairs of them, by an index of equal blocks of bits."""
+SELECT doc_id, c.rep, c.n AS copies, coalesce(l.links, 0) AS links, coalesce(l.linked, 0)::BIGINT AS linked FROM x JOIN c USING (h) LEFT JOIN (SELECT p.h, count(*) AS links, sum(q.n) AS linked FROM c p JOIN c q ON p.rep <> q.rep AND bit_count(xor(p.h, q.h)) <= 6 GROUP BY p.h) l USING (h)""")
+def near_dup_links(spark, sf_dir):
+    """documents whose hashes are 0.9 alike: each with its class of equal hashes, and the number of other classes near it, by an index of equal blocks of bits."""
     rows = V.table(spark, sf_dir, "documents").select("doc_id", simhash.simhash(F.col("text")).alias("h"))
-    return near.near_pairs(rows, "doc_id", "h")
+    return near.near_links(rows, "doc_id", "h")
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -46,8 +46,8 @@ _SERVERS = f"""(SELECT page_id, url, page_id % {_CHAINS} AS chain, page_id // {_
 _HOST_SQL = r"lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
 
 
-@query(f"""WITH s AS (SELECT *, max(n) OVER (PARTITION BY chain) AS last FROM {_SERVERS}) SELECT CASE chain % 2 WHEN 0 THEN 'official' ELSE 'glama' END AS registry, 'c' || chain AS chain, count(DISTINCT n) AS pages, count(*) AS servers, count(*) AS endpoints, count(DISTINCT {_HOST_SQL}) AS hosts
- FROM s WHERE n < 2000 AND (chain <> 3 OR n <= {_LAST}) GROUP BY s.chain""")
+@query(f"""SELECT CASE chain % 2 WHEN 0 THEN 'official' ELSE 'glama' END AS registry, 'c' || chain AS chain, n::INT AS page, count(*) AS servers, count(*) AS endpoints, count(DISTINCT {_HOST_SQL}) AS hosts
+ FROM {_SERVERS} s WHERE n < 2000 AND (chain <> 3 OR n <= {_LAST}) GROUP BY s.chain, n""")
 def registry_chains(spark, sf_dir):
     """Captured pages are followed from cursor to cursor, whatever their order in the files; repeated captures and pages after the last cursor don't count."""
     p = V.table(spark, sf_dir, "pages").select("page_id", "url")
@@ -70,11 +70,13 @@ def registry_chains(spark, sf_dir):
 
 
 def _registry_totals(read: DataFrame) -> DataFrame:
-    counts = read.groupBy("registry", "chain").agg(F.count("*").alias("pages"), F.sum("servers").alias("servers"))
-    # endpoints carry no chain: their server's number does
-    made = [f(read.filter(F.col("registry") == name)).select("registry", "server", "host") for name, f in (("official", corpora.official_endpoints), ("glama", corpora.glama_endpoints))]
-    ends = made[0].unionByName(made[1]).withColumn("chain", F.concat(F.lit("c"), F.col("server").cast("bigint") % _CHAINS))
-    return counts.join(ends.groupBy("registry", "chain").agg(F.count("*").alias("endpoints"), F.count_distinct("host").alias("hosts")), ["registry", "chain"])
+    """Servers, endpoints and hosts of each page that was reached."""
+    # endpoints carry no chain and page: their server's number does
+    made = [f(read.filter(F.col("registry") == name)).select("registry", F.col("server").cast("bigint").alias("s"), "host") for name, f in (("official", corpora.official_endpoints), ("glama", corpora.glama_endpoints))]
+    page = F.floor(F.floor(F.col("s") / _CHAINS) / _PER_PAGE).cast("int")
+    ends = made[0].unionByName(made[1]).select("registry", F.concat(F.lit("c"), F.col("s") % _CHAINS).alias("chain"), page.alias("page"), "host")
+    ends = ends.groupBy("registry", "chain", "page").agg(F.count("*").alias("endpoints"), F.count_distinct("host").alias("hosts"))
+    return read.select("registry", "chain", "page", F.col("servers").cast("bigint").alias("servers")).join(ends, ["registry", "chain", "page"])
 
 
 def _write_archives(rows: DataFrame, path: str, members: int) -> DataFrame:

@@ -260,7 +260,7 @@ def test_crowded_moments_are_tiled():
     assert 100_000 / cuts_p[hot] * 1000 / cuts_w[hot] <= 1_000_000
 
 
-@pytest.mark.parametrize(("distance", "blocks", "tile"), [(6, None, 4096), (6, 8, 5), (3, 5, 7), (0, 1, 3), (2, 3, 10)])
+@pytest.mark.parametrize(("distance", "blocks", "tile"), [(6, 8, 16_384), (6, 7, 5), (6, 9, 5), (3, 5, 7), (0, 1, 3), (2, 3, 10)])
 def test_near_hashes_equal_all_pairs(spark, distance, blocks, tile):
     r = random.Random(distance)
     base = [r.getrandbits(64) for _ in range(12)]
@@ -274,13 +274,18 @@ def test_near_hashes_equal_all_pairs(spark, distance, blocks, tile):
     got = sorted(map(tuple, near.pairs_within(rows, distance, blocks=blocks, tile_rows=tile).collect()))
     want = sorted((a, b, ((a ^ b) & ((1 << 64) - 1)).bit_count()) for k, a in enumerate(hashes) for b in hashes[k + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance)
     assert got == want and (distance == 0 or len(want) > 5)
+    weighed = rows.withColumn("n", F.pmod("h", F.lit(5)) + 1)
+    links = {x["h"]: (x["links"], x["linked"]) for x in near.link_counts(weighed, distance, blocks=blocks, tile_rows=tile).collect()}
+    partners = {h: [b if a == h else a for a, b, _ in want if h in (a, b)] for h in hashes}
+    assert links == {h: (len(p), sum(o % 5 + 1 for o in p)) for h, p in partners.items() if p}
 
 
 def test_classes_of_equal_hashes(spark):
     rows = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, None), (5, None), (6, -1)], "k INT, h BIGINT")
     got = sorted(map(tuple, near.near_pairs(rows, "k", "h").collect()))
     assert got == [(1, 3, 2, 1, 1), (1, 4, 2, 2, 2), (3, 4, 1, 2, 1)]
-    assert near.blocks_for(10**9, 6) > near.blocks_for(1000, 6) and near.masks(6, 7) != near.masks(6, 8)
+    links = sorted(map(tuple, near.near_links(rows, "k", "h").collect()))
+    assert links == [(1, 1, 2, 2, 3), (2, 1, 2, 2, 3), (3, 3, 1, 2, 4), (4, 4, 2, 2, 3), (5, 4, 2, 2, 3), (6, 6, 1, 0, 0)]
 
 
 def test_one_automaton_finds_what_contains_finds(spark):
