@@ -11,7 +11,8 @@ The turns of a conversation stand in one task, as a digest of them is made in or
 a very long one passes through it in parts, so memory is bounded.
 
 Defined results: null roles and texts are empty; turns are ordered by turn, role
-and text, so repeated rows all stay; rows with a null id are one conversation; a
+and text, so repeated rows all stay; rows with a null id, or one that is
+no whole number, are one conversation; a
 conversation without assistant rows has an empty mask; very long conversations are
 encoded in parts of about PART_CHARS that end with a turn, which gives the same ids;
 other columns, whatever their names, are not read.
@@ -184,7 +185,7 @@ def format_conversations(rows: DataFrame, *, tokenizer: str | None = None, train
             yield made(out)
 
     empty = F.lit("")
-    plain = rows.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
+    plain = rows.select(F.col("conv_id").try_cast("bigint").alias("conv_id"), F.col("turn").try_cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
     return _sorted_turns(plain).mapInArrow(scratch.lean(run, "tokens"), SCHEMA)
 
 

@@ -8,7 +8,8 @@ bounded share.
 
 Defined results: null and empty texts have the digest of no triplets and are like
 each other; texts shorter than the window are read as if zero bytes followed;
-equal texts have equal digests; other columns are not read.
+equal texts have equal digests; ids that are no whole numbers are null; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for ids, texts in pieces(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(hexes(of_texts(texts)))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scratch.lean(run), "doc_id bigint, n_chars bigint, fingerprint string")
+    return docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scratch.lean(run), "doc_id bigint, n_chars bigint, fingerprint string")
 
 
 def pieces(batch: pa.RecordBatch, limit: int = 1_500_000) -> Iterator[tuple[list[int], list[str]]]:
@@ -192,7 +193,7 @@ def edit_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             if ids:
                 yield pa.RecordBatch.from_arrays(_compare(ids, texts, of_texts(texts), following, of_texts(following)), schema=pa.schema(_FIELDS[2:9]))
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = scratch.partitions(docs.sparkSession)
     ordered = plain.repartitionByRange(n, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
     made = scratch.materialise(ordered.mapInArrow(scratch.lean(run), _SCHEMA), "fingerprints")

@@ -6,7 +6,7 @@ and stripes can be read in parallel.
 
 Defined results: a null or empty text has only the end id; repeated rows (same
 id) are all kept, ordered by text; an empty table gives empty files; other
-columns are not read.
+columns are not read, and ids that are no whole numbers are null.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def encode_ordered(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part, np.int32)), batch.column(0).slice(done.first, rows), pa.array(at + ends - n), pa.array(n.astype(np.int32)), lists], schema=_ARROW)
                 at += int(ends[-1])
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = files or scratch.partitions(docs.sparkSession)
     return plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(scratch.lean(run, "tokens"), FILE_SCHEMA)
 

@@ -8,7 +8,7 @@ at most `block` pieces, so nothing is shuffled and memory is bounded; a block
 leaves at most a few windows open.
 
 Defined results: a null or empty text has only its end id; repeated rows are
-packed each for itself, and rows without an id keep none; ties in length keep the order of the input; an empty table
+packed each for itself, and rows without an id, or with one that is no whole number, have none; ties in length keep the order of the input; an empty table
 gives an empty table; other columns, whatever their names, are not read.
 """
 
@@ -142,5 +142,5 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
                     held = size = 0
         yield from waiting.flush()
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(scratch.lean(run, "tokens"), SCHEMA)

@@ -13,7 +13,8 @@ rows, chosen by a hash of ids); scoring reads every whole text.
 Defined results: null and empty texts get the score of a text without words;
 equal texts get equal scores; labels that are null, or of ids without a document,
 are ignored, and of several labels of an id the lowest counts; without labels
-every score is 0.5; other columns are kept by `keep` and not read.
+every score is 0.5; rows whose ids are no whole numbers are scored, and not learned
+from; other columns are kept by `keep` and not read.
 """
 
 from __future__ import annotations
@@ -198,17 +199,17 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_negative: int = MAX_NEGATIVE) -> Model | None:
     """A model from the labels of ids for which `learnable` (of doc_id) is true; None without positives or documents."""
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    ids = labels.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col(label_col).try_cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = ids.groupBy("doc_id").agg(F.min("y").alias("y"))
     usable = known.filter(learnable)
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1):
         return None
     prior = float(np.clip(counts[1] / sum(counts.values()), 0.05, 0.95))
-    free = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter(F.col("doc_id").isNotNull() & learnable).join(known, "doc_id", "left_anti").distinct()
+    free = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id")).filter(F.col("doc_id").isNotNull() & learnable).join(known, "doc_id", "left_anti").distinct()
     chosen = _first(usable.filter("y = 1"), max_positive).unionByName(_first(usable.filter("y = 0"), max_negative)).unionByName(_first(free, max_unlabelled).withColumn("y", F.lit(-1)))
     sample = scratch.materialise(chosen, "quality-sample")  # at most the sum of the three bounds
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
