@@ -20,7 +20,7 @@ from cairnfield.functions import simhash
 from cairnfield.sources import scratch
 
 BITS, BLOCKS = 64, 8
-TILE_ROWS = 16_384
+SMALL_ENTRY, TILE_ROWS = 64, 16_384
 SLICE_PAIRS = 2_000_000
 BROADCAST_ROWS = 100_000
 
@@ -40,27 +40,31 @@ def classes(rows: DataFrame, key: str, h: str) -> DataFrame:
     return rows.groupBy(F.coalesce(h, F.lit(0).cast("bigint")).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
 
 
-def _entries(hashes: DataFrame, chosen: list[int], tile_rows: int) -> DataFrame:
-    """choice, entry, tiles, and the columns of `hashes`: every hash at its entry of each index, and into how many tiles the entry is cut."""
+def _entries(hashes: DataFrame, chosen: list[int], more_than: int, tile_rows: int) -> DataFrame:
+    """choice, entry, tiles, and the columns of `hashes`: every hash at its entry of each index, and into how many tiles the entry is cut if it has more than so many rows (else null)."""
     keyed = hashes.select("*", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in chosen])).alias("choice", "entry"))
-    crowded = keyed.groupBy("choice", "entry").agg(F.count("*").alias("m")).filter(F.col("m") > tile_rows).select("choice", "entry", F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
+    crowded = keyed.groupBy("choice", "entry").agg(F.count("*").alias("m")).filter(F.col("m") > more_than).select("choice", "entry", F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
     some = crowded.limit(BROADCAST_ROWS + 1).count()
     if not some:
-        return keyed.withColumn("tiles", F.lit(1))
-    placed = keyed.join(F.broadcast(crowded) if some <= BROADCAST_ROWS else crowded, ["choice", "entry"], "left")
-    return placed.withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        return keyed.withColumn("tiles", F.lit(None).cast("int"))
+    return keyed.join(F.broadcast(crowded) if some <= BROADCAST_ROWS else crowded, ["choice", "entry"], "left")
+
+
+def _near(a: DataFrame, b: DataFrame, keys: list[str], distance: int, chosen: list[int]) -> DataFrame:
+    """Rows of a (h) and b (other) in one entry that are near, by their first choice."""
+    apart = F.col("h").bitwiseXOR(F.col("other"))
+    near = a.join(b, keys).filter((F.col("h") < F.col("other")) & (F.bit_count(apart) <= distance))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, k) for k, m in enumerate(chosen)])
+    return near.filter(F.col("choice") == first).withColumn("distance", F.bit_count(apart))
 
 
 def pairs_within(hashes: DataFrame, distance: int, *, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs (h, other, distance; h < other) of distinct hashes (column h, each once) at most `distance` bits apart."""
     chosen = masks(distance, blocks)
-    placed = _entries(hashes.select("h"), chosen, tile_rows)
+    placed = _entries(hashes.select("h"), chosen, tile_rows, tile_rows).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     a = placed.select("choice", "entry", F.pmod(F.xxhash64("h"), "tiles").cast("int").alias("tile"), "h")
     b = placed.select("choice", "entry", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("h").alias("other"))
-    apart = F.col("h").bitwiseXOR(F.col("other"))
-    near = a.join(b, ["choice", "entry", "tile"]).filter((F.col("h") < F.col("other")) & (F.bit_count(apart) <= distance))
-    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, k) for k, m in enumerate(chosen)])
-    return near.filter(F.col("choice") == first).select("h", "other", F.bit_count(apart).alias("distance"))
+    return _near(a, b, ["choice", "entry", "tile"], distance, chosen).select("h", "other", "distance")
 
 
 def _linked(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray, distance: int, choice: int, chosen: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
@@ -84,15 +88,19 @@ def _linked(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.nda
     return tuple(out)
 
 
-def link_counts(known: DataFrame, distance: int, *, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def link_counts(known: DataFrame, distance: int, *, blocks: int = BLOCKS, small: int = SMALL_ENTRY, tile_rows: int = TILE_ROWS) -> DataFrame:
     """h, links, linked: for each distinct hash (h, n) how many others are at most `distance` bits apart, and the sum of their n; hashes without any are left out.
 
-    An entry is cut into tiles, and each pair of tiles is compared inside of a task, so work may grow with the square of a
-    cluster, but no row stands for a pair.
+    Entries of at most `small` hashes are joined. A larger one is cut into tiles, and each pair of tiles is compared inside
+    of a task, so work may grow with the square of a cluster, but no row stands for one of its pairs.
     """
     chosen = masks(distance, blocks)
     numbers = np.array(chosen, np.int64).view(np.uint64)
-    placed = _entries(known.select("h", "n"), chosen, tile_rows).withColumn("tile", F.pmod(F.xxhash64("h"), "tiles").cast("int"))
+    every = _entries(known.select("h", "n"), chosen, small, tile_rows)
+    few = every.filter("tiles is null").drop("tiles")
+    pairs = _near(few, few.select("choice", "entry", F.col("h").alias("other"), F.col("n").alias("m")), ["choice", "entry"], distance, chosen)
+    ends = pairs.select(F.explode(F.array(F.struct("h", F.col("m").alias("w")), F.struct(F.col("other").alias("h"), F.col("n").alias("w")))).alias("x")).select("x.h", F.lit(1).cast("bigint").alias("links"), F.col("x.w").alias("linked"))
+    placed = every.filter("tiles is not null").withColumn("tile", F.pmod(F.xxhash64("h"), "tiles").cast("int"))
     # a tile meets itself, those after it (as the left one) and those before it (as the right one)
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
     dealt = placed.withColumn("x", F.explode(meets)).select("choice", "entry", "x.i", "x.j", "tile", "h", "n")
@@ -109,7 +117,7 @@ def link_counts(known: DataFrame, distance: int, *, blocks: int = BLOCKS, tile_r
         return pa.table({"h": hs[some].view(np.int64), "links": links[some], "linked": linked[some]})
 
     made = dealt.groupBy("choice", "entry", "i", "j").applyInArrow(count, "h BIGINT, links BIGINT, linked BIGINT")
-    return made.groupBy("h").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
+    return made.unionByName(ends).groupBy("h").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
 
 
 def _distance(similarity: float) -> int:

@@ -275,9 +275,10 @@ def test_near_hashes_equal_all_pairs(spark, distance, blocks, tile):
     want = sorted((a, b, ((a ^ b) & ((1 << 64) - 1)).bit_count()) for k, a in enumerate(hashes) for b in hashes[k + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance)
     assert got == want and (distance == 0 or len(want) > 5)
     weighed = rows.withColumn("n", F.pmod("h", F.lit(5)) + 1)
-    links = {x["h"]: (x["links"], x["linked"]) for x in near.link_counts(weighed, distance, blocks=blocks, tile_rows=tile).collect()}
     partners = {h: [b if a == h else a for a, b, _ in want if h in (a, b)] for h in hashes}
-    assert links == {h: (len(p), sum(o % 5 + 1 for o in p)) for h, p in partners.items() if p}
+    for small in (1, 4, 1000):  # entries are compared in tiles, in tiles or by the join, by the join
+        links = {x["h"]: (x["links"], x["linked"]) for x in near.link_counts(weighed, distance, blocks=blocks, small=small, tile_rows=tile).collect()}
+        assert links == {h: (len(p), sum(o % 5 + 1 for o in p)) for h, p in partners.items() if p}
 
 
 def test_classes_of_equal_hashes(spark):
