@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from cairnfield.plans import queries_cases, queries_hosts, queries_rows, queries_sources
+    from cairnfield.plans import queries_cases, queries_content, queries_hosts, queries_rows, queries_sources
 
-    return [queries_hosts, queries_rows, queries_cases, queries_sources]
+    return [queries_hosts, queries_rows, queries_cases, queries_content, queries_sources]
 
 
 def queries() -> dict:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,19 @@ def write_hosts(hosts: DataFrame, path: str, comments: list[str]) -> None:
 
 
 def write_sheet(rows: DataFrame, path: str, triggers: str = r'[",\r\n]') -> None:
-    """RFC 4180 lines with a header, escaped by one rule."""
-    lines = rows.select(F.concat_ws(",", *[T.csv_escape(F.col(c), triggers) for c in rows.columns]).alias("value"))
-    head = rows.sparkSession.createDataFrame([(",".join(rows.columns),)], "value STRING")
-    head.unionByName(lines).write.text(path)
+    """RFC 4180 lines, escaped by one rule; every file has the header, so each is a sheet and all of them are one."""
+    header = ",".join(rows.columns)
+    lines = rows.select(F.concat_ws(",", *[F.coalesce(T.csv_escape(F.col(c), triggers), F.lit("")) for c in rows.columns]).alias("value"))
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = [header]
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([*top, *batch.column(0).to_pylist()], pa.string())], names=["value"])
+                top = []
+
+    head = rows.sparkSession.createDataFrame([(header,)], "value STRING")
+    (head if lines.isEmpty() else lines.mapInArrow(headed, "value STRING")).write.text(path)
 
 
 def write_release(results: DataFrame, path: str) -> None:
