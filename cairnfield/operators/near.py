@@ -53,7 +53,7 @@ def _entries(hashes: DataFrame, chosen: list[int], more_than: int, tile_rows: in
 def _near(a: DataFrame, b: DataFrame, keys: list[str], distance: int, chosen: list[int]) -> DataFrame:
     """Rows of a (h) and b (other) in one entry that are near, by their first choice."""
     apart = F.col("h").bitwiseXOR(F.col("other"))
-    near = a.join(b, keys).filter((F.col("h") < F.col("other")) & (F.bit_count(apart) <= distance))
+    near = a.join(b.hint("merge"), keys).filter((F.col("h") < F.col("other")) & (F.bit_count(apart) <= distance))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, k) for k, m in enumerate(chosen)])
     return near.filter(F.col("choice") == first).withColumn("distance", F.bit_count(apart))
 
@@ -129,10 +129,11 @@ def near_links(rows: DataFrame, key: str, h: str, *, similarity: float = simhash
     # written once, as hashes of whole texts are dear
     stored = scratch.written(rows.select(key, h), f"near-{uuid.uuid4().hex}").withColumn("_h", F.coalesce(h, F.lit(0).cast("bigint")))
     known = classes(stored, key, h)
-    found = known.join(link_counts(known, _distance(similarity), **options), "h", "left")
+    # merged, as the sizes of shuffled files, by which Spark would broadcast a side through the driver, are those of packed rows
+    found = known.join(link_counts(known, _distance(similarity), **options).hint("merge"), "h", "left")
     none = F.lit(0).cast("bigint")
     own = found.select(F.col("h").alias("_h"), "rep", F.col("n").alias("copies"), F.coalesce("links", none).alias("links"), F.coalesce("linked", none).alias("linked"))
-    return stored.join(own, "_h").select(key, "rep", "copies", "links", "linked")
+    return stored.join(own.hint("merge"), "_h").select(key, "rep", "copies", "links", "linked")
 
 
 def near_pairs(rows: DataFrame, key: str, h: str, *, similarity: float = simhash.THRESHOLD, **options) -> DataFrame:
@@ -141,7 +142,7 @@ def near_pairs(rows: DataFrame, key: str, h: str, *, similarity: float = simhash
     found = pairs_within(known.select("h"), _distance(similarity), **options)
     one = known.select("h", F.col("rep").alias("ra"), F.col("n").alias("na"))
     two = known.select(F.col("h").alias("other"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
-    both = found.join(one, "h").join(two, "other")
+    both = found.join(one.hint("merge"), "h").join(two.hint("merge"), "other")
     swap = F.col("ra") > F.col("rb")
     pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     return both.select(pick("ra", "rb", "a"), pick("rb", "ra", "b"), pick("na", "nb", "n_a"), pick("nb", "na", "n_b"), "distance")

@@ -5,8 +5,11 @@ from pathlib import Path
 
 import duckdb
 import test_oracles
+from pyspark.sql import functions as F
 
 from cairnfield import plans
+from cairnfield.operators import near, validate
+from cairnfield.plans import queries_hosts, queries_sources, views
 
 SMALL = Path(test_oracles.SF)
 
@@ -32,3 +35,9 @@ def same(spark, con, sf, name):
 def test_customer_errors_with_407_inside_of_a_number(spark, tmp_path):
     con, sf = folder(tmp_path, customer="SELECT c_custkey + 4000 AS c_custkey, 'Customer#' || lpad((c_custkey + 4000)::VARCHAR, 9, '0') AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
     assert same(spark, con, sf, "customer_errors")
+
+
+def test_near_links_send_no_table_through_the_driver(spark):
+    rows = spark.range(200).selectExpr("id AS doc_id", "xxhash64(id % 150) AS h")
+    made = near.near_links(rows, "doc_id", "h")
+    assert made.count() == 200 and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
