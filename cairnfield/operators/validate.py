@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,30 +18,40 @@ def _reasons(*cases: Column) -> Column:
 
 
 def _outcome(reasons: Column, soft: str = r"^note:", spec: Column | None = None) -> Column:
-    hard = F.filter(reasons, lambda r: ~r.rlike(soft))
-    return F.struct((F.size(hard) == 0).alias("valid"), reasons.alias("reasons"), (spec if spec is not None else F.lit(None).cast("string")).alias("card_spec"))
+    found = _once(reasons, lambda rs: F.struct((F.size(F.filter(rs, lambda r: ~r.rlike(soft))) == 0).alias("valid"), rs.alias("reasons")))
+    return _once(found, lambda o: F.struct(o["valid"].alias("valid"), o["reasons"].alias("reasons"), (spec if spec is not None else F.lit(None).cast("string")).alias("card_spec")))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often it is named there; Spark doesn't share what functions of arrays hold."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _blank(text: Column) -> Column:
-    return T.trim(text) == ""
+    return ~text.rlike(f"[^{T.SPACE[1:]}")
 
 
 def markdown(text: Column, content_type: Column) -> Column:
     """No HTML, at least one heading, not empty; a first line other than a top heading is noted."""
-    plain = F.regexp_replace(text, "^\\uFEFF", "")
-    end = F.locate("\n---", plain, 4)
-    body = F.when(plain.startswith("---") & (end > 0), F.substring(plain, end + 4, F.length(plain))).otherwise(plain)
-    lines = F.filter(F.split(body, r"\r?\n"), lambda x: T.trim(x) != "")
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    heading = body.rlike(r"(?m)^\s{0,3}#{1,6}\s+\S") | body.rlike(r"(?m)^\S.*\n(=+|-{3,})\s*$")
-    return _outcome(
-        _reasons(
-            F.when(T.looks_like_html(text), "body_is_html"),
-            F.when(T.media_type(content_type) == "text/html", "content_type_html"),
-            F.when(~heading, "no_markdown_heading"),
-            F.when(_blank(body), "empty"),
-            F.when(~first.rlike(r"^\s{0,3}#\s+\S"), "note:h1_not_first"),
-        )
+    plain = F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+    matter = lambda t: F.when(t.startswith("---"), F.locate("\n---", t, 4)).otherwise(0)
+    cut = lambda t, end: F.when(end > 0, F.substring(t, end + 4, F.length(t))).otherwise(t)
+    body = _once(plain, lambda t: _once(F.struct(t.alias("t"), matter(t).alias("end")), lambda x: cut(x["t"], x["end"])))
+    return _outcome(_once(body, lambda b: _markdown_reasons(text, b, content_type)))
+
+
+def _markdown_reasons(text: Column, body: Column, content_type: Column) -> Column:
+    # plain searches first: most texts hold no such mark at all, and a pattern looks at each place
+    marked = F.contains(body, F.lit("#")) & body.rlike(r"(?m)^\s{0,3}#{1,6}\s+\S")
+    ruled = (F.contains(body, F.lit("\n=")) | F.contains(body, F.lit("\n---"))) & body.rlike(r"(?m)^\S.*\n(=+|-{3,})\s*$")
+    # the first line that isn't blank
+    top = body.rlike(rf"\A(?:{T.SPACE}*\n)?[^\S\n]{{0,3}}#[^\S\n]+\S")
+    return _reasons(
+        F.when(T.looks_like_html(text), "body_is_html"),
+        F.when(T.media_type(content_type) == "text/html", "content_type_html"),
+        F.when(~(marked | ruled), "no_markdown_heading"),
+        F.when(_blank(body), "empty"),
+        F.when(~F.coalesce(top, F.lit(False)), "note:h1_not_first"),
     )
 
 

@@ -41,3 +41,13 @@ def test_near_links_send_no_table_through_the_driver(spark):
     rows = spark.range(200).selectExpr("id AS doc_id", "xxhash64(id % 150) AS h")
     made = near.near_links(rows, "doc_id", "h")
     assert made.count() == 200 and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markdown_looks_at_a_text_once(spark):
+    texts = ["﻿---\na: 1\n---\n\n  # Top\nx", "\n  \n# Top", "a\n\n## b", "a\n===\n", "#\nfoo", " \t\r\n ", "a # b", "a\r\n---\r\n", " # x", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k INT, t STRING")
+    made = rows.select("k", validate.markdown(rows["t"], F.lit("text/markdown")).alias("o")).select("k", "o.valid", F.array_join("o.reasons", ",").alias("r"))
+    no, last = "no_markdown_heading", "note:h1_not_first"
+    want = [(True, ""), (True, ""), (True, last), (True, last), (True, last), (False, f"{no},empty,{last}"), (False, f"{no},{last}"), (False, f"{no},{last}"), (False, f"{no},{last}"), (False, f"{no},empty,{last}"), (True, last)]
+    assert [(x["valid"], x["r"]) for x in sorted(made.collect(), key=lambda x: x["k"])] == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("#{1,6}") == 1
