@@ -118,7 +118,7 @@ def vantage_any(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    p = V.view(spark, sf_dir, V.probes())
+    p = V.view(spark, sf_dir, V.probes(), "c_custkey")
     none = F.lit(False)
     return p.select("host", (F.col("pos") + 2).alias("seq"), "status", "error", ((F.col("c_custkey") % 6 == 0) & (F.col("pos") > 4)).alias("challenge")).unionByName(
         p.filter("pos < 2").select("host", F.col("pos").alias("seq"), F.when(F.col("c_custkey") % 6 == 1, 403).otherwise(F.col("status")).alias("status"), "error", none.alias("challenge"))
@@ -141,7 +141,7 @@ def blocked_rule(spark, sf_dir):
 @query(f"SELECT host, bool_and(c_custkey % 9 = 0 OR (c_custkey % 9 = 1 AND pos > 0)) AS redirect_only FROM {P0} p GROUP BY host")
 def redirect_only_hosts(spark, sf_dir):
     """Hosts of which all, all but one, or none of the requests leave the site."""
-    p = V.view(spark, sf_dir, V.probes())
+    p = V.view(spark, sf_dir, V.probes(), "c_custkey")
     away = (F.col("c_custkey") % 9 == 0) | ((F.col("c_custkey") % 9 == 1) & (F.col("pos") > 0))
     return classify.redirect_only(p.select("host", F.col("pos").alias("seq"), F.when(away, 302).otherwise(200).alias("status"), F.when(away, "cross_domain_redirect").alias("error"), F.lit(False).alias("challenge")))
 

@@ -218,7 +218,7 @@ SELECT host, pair, coverage, tools, pair AND {_USED} AS used_alt, CASE WHEN tool
  CASE WHEN coverage THEN 1 END AS api_links, CASE WHEN coverage THEN k % 9 <> 0 END AS resolves FROM t""")
 def rechecked_pairs(spark, sf_dir):
     """Candidates, their second captures with other paths to fall back on, and the match of what they hold."""
-    rows = V.view(spark, sf_dir, _K)
+    rows = V.view(spark, sf_dir, _K, "c_custkey")
     probes = F.array(_probe("/c", "mcp_server_card", _CARD), _probe("/mcp/server-card.json", "mcp_server_card_legacy", _LEGACY), _probe("/o", "openapi_json", _API), _probe("/l", "llms_txt", _LLMS))
     found = consistency.candidates(rows.select("host", F.col("k").cast("int").alias("rank"), probes.alias("probes")))
     captured = _captures(rows, {
@@ -236,7 +236,7 @@ def rechecked_pairs(spark, sf_dir):
  CASE WHEN ({_CARD}) AND ({_LEGACY}) AND k % 11 <> 0 THEN k % 10 <> 2 AND k % 4 = 0 END AS alt_same_body, CASE WHEN ({_CARD}) AND (k % 11 = 0 OR k % 10 = 2) THEN NULL WHEN ({_CARD}) AND k % 4 = 0 THEN 'v1' WHEN {_CARD} THEN 'legacy' ELSE 'v1' END AS generation FROM {_K} WHERE ({_CARD}) OR ({_LEGACY})""")
 def rechecked_cards(spark, sf_dir):
     """Agent cards captured again, by the first valid path, and whether the other path serves the same body."""
-    rows = V.view(spark, sf_dir, _K)
+    rows = V.view(spark, sf_dir, _K, "c_custkey")
     probes = F.array(_probe("/.well-known/agent-card.json", "a2a_agent_card", _CARD), _probe("/.well-known/agent.json", "a2a_agent_json", _LEGACY))
     found = cards.candidates(rows.select("host", F.col("k").cast("int").alias("rank"), probes.alias("probes")))
     new = """'{"name":"n","supportedInterfaces":[{"url":"https://x.test/a","transport":"grpc"}]}'"""

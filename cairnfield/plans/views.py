@@ -47,8 +47,17 @@ MANIFEST = """(SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR(20)) || '.example.
 SPARK_MS, DUCK_MS = "unix_millis(CAST(ts AS TIMESTAMP))", "epoch_ms(ts)"
 
 
-def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """A query over the tables of a folder, bound by name, so that no view of the session is replaced."""
+#: So many rows of a table are a task's where each of them is made into many, or is much work.
+TASK_ROWS = 25_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over tasks by their key, in number as the rows: a file of one row group, however long, is a single task's else."""
+    return rows.repartition(-(-rows.count() // TASK_ROWS) or 1, key)
+
+
+def sql(spark: SparkSession, sf_dir: str, query: str, deal: str | None = None) -> DataFrame:
+    """A query over the tables of a folder, bound by name, so that no view of the session is replaced; tables with a column `deal` are dealt by it."""
     import re
 
     names = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", query)]
@@ -56,7 +65,8 @@ def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     frames = {}
     for t in names:
         bound = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", bound)
-        frames[t] = table(spark, sf_dir, t)
+        rows = table(spark, sf_dir, t)
+        frames[t] = dealt(rows, deal) if deal in rows.columns else rows
     return spark.sql(bound, **frames) if frames else spark.sql(bound)
 
 
@@ -64,8 +74,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sub: str) -> DataFrame:
-    return sql(spark, sf_dir, f"SELECT * FROM {sub} t")
+def view(spark: SparkSession, sf_dir: str, sub: str, deal: str | None = None) -> DataFrame:
+    return sql(spark, sf_dir, f"SELECT * FROM {sub} t", deal)
 
 
 def results(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:

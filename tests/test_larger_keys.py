@@ -51,3 +51,11 @@ def test_markdown_looks_at_a_text_once(spark):
     want = [(True, ""), (True, ""), (True, last), (True, last), (True, last), (False, f"{no},empty,{last}"), (False, f"{no},{last}"), (False, f"{no},{last}"), (False, f"{no},{last}"), (False, f"{no},empty,{last}"), (True, last)]
     assert [(x["valid"], x["r"]) for x in sorted(made.collect(), key=lambda x: x["k"])] == want
     assert made._jdf.queryExecution().optimizedPlan().toString().count("#{1,6}") == 1
+
+
+def test_rows_that_are_much_work_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_ROWS", 20)
+    sf = str(SMALL)
+    assert queries_hosts._outcomes(spark, sf).rdd.getNumPartitions() >= 8  # 150 customers
+    assert plans.queries()["decoded_bodies"](spark, sf).rdd.getNumPartitions() == 10  # 200 parts
+    assert views.view(spark, sf, queries_sources._K, "c_custkey").rdd.getNumPartitions() == 8
