@@ -102,18 +102,18 @@ def _shingles_of(plain: str) -> list[str]:
 @F.pandas_udf(LongType())
 def _simhash_of_plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        out: list[int | None] = [None] * len(batch)
-        held: list[tuple[int, list[str]]] = []
+        # copies, as of a page that a host answers everything with, are read once
+        out: dict[str | None, int | None] = dict.fromkeys(batch)
+        held: list[tuple[str, list[str]]] = []
         size = 0
-        for k, x in enumerate(batch):
+        for k, x in enumerate(out):
             if x and (own := _shingles_of(x)):
-                held.append((k, own))
+                held.append((x, own))
                 size += sum(map(len, own)) + 8 * len(own)
-            if held and (size >= PIECE_BYTES or k == len(batch) - 1):
-                for (at, _), value in zip(held, _votes([row for _, row in held]), strict=True):
-                    out[at] = value
+            if held and (size >= PIECE_BYTES or k == len(out) - 1):
+                out |= zip([x for x, _ in held], _votes([row for _, row in held]), strict=True)
                 held, size = [], 0
-        yield pd.Series(out, dtype="Int64")
+        yield pd.Series([out[x] for x in batch], dtype="Int64")
 
 
 def simhash(body: Column) -> Column:

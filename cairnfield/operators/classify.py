@@ -42,9 +42,10 @@ def classify_probes(responses: DataFrame, specs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(H.body_text(F.col("body")), F.lit(""))
     base = responses.withColumn("text", text).withColumn("simhash", SH.simhash(F.col("text")))
-    live = base.filter((F.col("kind") == "nx") & (F.col("status") == 200) & (F.col("bytes") > 0))
-    baselines = live.groupBy("host", "vantage").agg(F.collect_list(F.struct("sha256", "simhash")).alias("live"))
-    probes = base.filter(F.col("kind") == "probe").withColumnRenamed("kind", "capture").join(F.broadcast(specs), "path").join(baselines, ["host", "vantage"], "left")
+    live = F.when((F.col("kind") == "nx") & (F.col("status") == 200) & (F.col("bytes") > 0), F.struct("sha256", "simhash"))
+    # baselines and probes of a host meet in a window, so that each text is hashed once
+    base = base.withColumn("live", F.collect_list(live).over(Window.partitionBy("host", "vantage")))
+    probes = base.filter(F.col("kind") == "probe").withColumnRenamed("kind", "capture").join(F.broadcast(specs), "path")
     ok = (F.coalesce(F.col("error"), F.lit("")) != "proxy_denied") & (F.col("status") == 200)
     near = F.when(ok & (F.col("bytes") > 0), F.array_max(F.transform("live", lambda b: SH.similarity(F.col("simhash"), b["simhash"]))))
     equal = F.exists(F.col("live"), lambda b: b["sha256"] == F.col("sha256"))

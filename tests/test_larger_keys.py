@@ -59,3 +59,8 @@ def test_rows_that_are_much_work_are_dealt_over_tasks(spark, monkeypatch):
     assert queries_hosts._outcomes(spark, sf).rdd.getNumPartitions() >= 8  # 150 customers
     assert plans.queries()["decoded_bodies"](spark, sf).rdd.getNumPartitions() == 10  # 200 parts
     assert views.view(spark, sf, queries_sources._K, "c_custkey").rdd.getNumPartitions() == 8
+
+
+def test_probe_texts_are_hashed_once(spark):
+    plan = plans.queries()["probe_classes"](spark, str(SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_simhash_of_plain") == 1
