@@ -44,6 +44,12 @@ def window_hits(trials: DataFrame, hits: DataFrame, *, slack_ms: int = SLACK_MS,
     return by_host.drop("_bucket").unionByName(by_time)
 
 
+def unplaced_totals(trials: DataFrame, hits: DataFrame, total: Column, *, slack_ms: int = SLACK_MS) -> DataFrame:
+    """Trials with hits without a host inside of the widened window: their number `hits`, and the sum `total` of a column of longs over them; no pair is made."""
+    lo, hi = F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms
+    return sweep.totals(trials.filter(hi >= lo), hits.filter(F.col("host").isNull()), lo, hi, F.col("ts"), total)
+
+
 def artifact_of(path: Column) -> Column:
     """The kind of document at a path; null at others."""
     out = F.when(F.lit(False), "")

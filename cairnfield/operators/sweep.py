@@ -6,6 +6,9 @@ many pairs as others are a slot; a bin with more pairs than that is a slot of it
 own and is tiled over points and windows, so that a crowded moment doesn't stand
 in one task. Inside a tile, points are sorted and each window takes its run of
 them by binary search, so work follows the pairs that come out.
+
+Where only numbers and sums of points are asked for, `totals` makes no pairs:
+what stands before an edge of a window is a running sum.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 65_536
@@ -105,5 +108,35 @@ def in_windows(windows: DataFrame, points: DataFrame, lo: Column, hi: Column, at
     return whole.drop("_n", "_nw", "_np")
 
 
+def totals(windows: DataFrame, points: DataFrame, lo: Column, hi: Column, at: Column, total: Column) -> DataFrame:
+    """The windows (both ends, longs, belong to them) that hold points, with their number `hits` and the exact sum `total` of a column of longs over them.
+
+    A window's figures are those up to its end less those before its start, so work follows rows, not pairs. Points of a place are one row, as are
+    equal edges, and running sums stand inside of bins of the line, so a crowded moment is short. A sum of nulls alone is null.
+    """
+    number = total.cast("decimal(20,0)")
+    p = points.select(at.cast("bigint").alias("_at"), number.alias("_s")).filter("_at is not null").groupBy("_at").agg(F.count("*").alias("_n"), F.count("_s").alias("_m"), F.coalesce(F.sum("_s"), F.lit(0)).alias("_s"))
+    edge = p.agg(F.min("_at").alias("first"), F.max("_at").alias("last")).first()
+    first, last = (edge["first"], edge["last"]) if edge["first"] is not None else (0, -1)
+    w = windows.withColumns({"_lo": lo.cast("bigint"), "_hi": hi.cast("bigint")}).filter((F.col("_hi") >= F.col("_lo")) & (F.col("_hi") >= first) & (F.col("_lo") <= last))
+    w = w.withColumns({"_lo": F.greatest("_lo", F.lit(first)), "_hi": F.least("_hi", F.lit(last))})
+    width = max(last - first, 0) // BINS + 1
+    place = F.floor((F.col("_at") - first) / width).cast("int").alias("_b")
+    # at a place, starts come before points and ends after them
+    edges = w.select(F.explode(F.array(F.struct(F.col("_lo").alias("_at"), F.lit(0).alias("_k")), F.struct(F.col("_hi").alias("_at"), F.lit(2).alias("_k")))).alias("x")).select("x.*").distinct()
+    rows = p.withColumn("_k", F.lit(1)).unionByName(edges, allowMissingColumns=True).select("_at", "_k", "_n", "_m", "_s", place)
+    sums = ("_n", "_m", "_s")
+    up_to = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # at most BINS rows of sums stand in one task, and may be sent to all
+    bins = rows.groupBy("_b").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    bins = bins.select("_b", *[(F.sum(c).over(up_to([], "_b")) - F.col(c)).alias(f"{c}_b") for c in sums])
+    made = rows.select("_b", "_at", "_k", *[F.coalesce(F.sum(c).over(up_to(["_b"], "_at", "_k")), F.lit(0)).alias(c) for c in sums]).filter("_k <> 1")
+    made = made.join(F.broadcast(bins), "_b").select("_at", "_k", *[(F.col(c) + F.col(f"{c}_b")).alias(c) for c in sums])
+    before = made.filter("_k = 0").select(F.col("_at").alias("_lo"), *[F.col(c).alias(f"{c}0") for c in sums])
+    until = made.filter("_k = 2").select(F.col("_at").alias("_hi"), *[F.col(c).alias(f"{c}1") for c in sums])
+    held = w.join(before, "_lo").join(until, "_hi").filter("_n1 > _n0")
+    return held.select(*windows.columns, F.expr("_n1 - _n0").alias("hits"), F.expr("CASE WHEN _m1 > _m0 THEN CAST(_s1 - _s0 AS BIGINT) END").alias("total"))
+
+
 def _ddl(df: DataFrame, without: tuple[str, ...]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without)

@@ -252,6 +252,38 @@ def test_sweep_equals_all_pairs(spark, tile, crowd):
     assert sweep.in_windows(w.filter("false"), p, F.col("lo"), F.col("hi"), F.col("at")).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 3000])
+def test_totals_of_windows_equal_all_pairs(spark, crowd):
+    r = random.Random(crowd)
+    big = 2**62
+    windows = [(k, s, s + r.choice([-5, 0, 3, 100, 5000])) for k in range(80) for s in [r.randint(-300, 2_000_000)]] + [(k, 100, 500_000) for k in range(crowd)]
+    windows += [(7, 10, 20), (7, 10, 20), (8, None, 5), (9, 30, 30), (10, -(2**60), 2**60), (11, 15, 15)]
+    points = [(r.randint(-9, 9), r.randint(0, 1_500_000)) for _ in range(300)] + [(1, 777)] * crowd + [(3, 15), (3, 15), (4, None), (None, 30), (big, 1_600_000), (big, 1_700_000), (-big, 1_700_000)]
+    w, p = spark.createDataFrame(windows, "w INT, lo BIGINT, hi BIGINT"), spark.createDataFrame(points, "v BIGINT, at BIGINT")
+    order = lambda rows: sorted(rows, key=repr)
+    got = sweep.totals(w, p, F.col("lo"), F.col("hi"), F.col("at"), F.col("v"))
+    want = []
+    for k, lo, hi in windows:
+        held = [] if lo is None else [v for v, t in points if t is not None and lo <= t <= hi] if k >= crowd or (lo, hi) != (100, 500_000) else None
+        if held is None:
+            continue
+        known = [v for v in held if v is not None]
+        want += [(k, lo, hi, len(held), sum(known) if known else None)] * bool(held)
+    rows = [tuple(x) for x in got.collect()]
+    alike = [x for x in rows if x[1:3] == (100, 500_000)]
+    assert order(x for x in rows if x[1:3] != (100, 500_000)) == order(x for x in want if x[1:3] != (100, 500_000))
+    assert len(alike) == crowd and len({x[3:] for x in alike}) <= 1 and all(x[3] == sum(t is not None and 100 <= t <= 500_000 for _, t in points) for x in alike)
+    assert sweep.totals(w, p.filter("false"), F.col("lo"), F.col("hi"), F.col("at"), F.col("v")).count() == 0
+    assert sweep.totals(w.filter("false"), p, F.col("lo"), F.col("hi"), F.col("at"), F.col("v")).count() == 0
+
+
+def test_the_sweep_query_makes_no_pairs(spark):
+    from cairnfield import plans
+
+    plan = plans.queries()["interval_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "NestedLoop" not in plan
+
+
 def test_crowded_moments_are_tiled():
     points, starts, ends = np.array([10, 10, 100_000, 10]), np.array([500, 0, 500, 0]), np.array([0, 0, 0, 1000])
     slot, cuts_p, cuts_w = sweep._slots(points, starts, ends, 1_000_000)
