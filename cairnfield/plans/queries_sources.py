@@ -152,6 +152,8 @@ def appended_batches(spark, sf_dir):
 
 
 _MS = V.DUCK_MS
+#: So many rows of both streams are a group's.
+GROUP_ROWS = 2_000
 
 
 @query(f"""SELECT t.event_id AS trial, h.event_id AS hit FROM {V.TRIALS.format(ms=_MS)} t JOIN {V.HITS.format(ms=_MS)} h ON (h.host = t.domain OR h.host = 'www.' || t.domain) AND h.ts BETWEEN t.start_ms - 60000 AND t.end_ms + 60000""")
@@ -165,7 +167,8 @@ def streamed_trials(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_trials.PROVIDER)
     try:
         t, h = (spark.readStream.schema(rows.schema).parquet(f"{path}/{name}") for name, rows in views.items())
-        pairs = stream_trials.window_hits(t, h, late="60 days", span_ms=30 * 86_400_000).select(F.col("trial.event_id").alias("trial"), F.col("hit.event_id").alias("hit"))
+        groups = -(-sum(spark.read.parquet(f"{path}/{name}").count() for name in views) // GROUP_ROWS) or 1
+        pairs = stream_trials.window_hits(t, h, late="60 days", span_ms=30 * 86_400_000, groups=groups).select(F.col("trial.event_id").alias("trial"), F.col("hit.event_id").alias("hit"))
         query = pairs.writeStream.format("parquet").option("path", f"{path}/pairs").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:

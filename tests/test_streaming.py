@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,37 @@ def test_stateful_join_equals_the_join_over_tables(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert got == want and len(want) > 100 and ("/edge" in {x[2] for x in got}) and "/beyond" not in {x[2] for x in got if x[0] == 1}
     assert held[-1] < max(held)  # timers have dropped what can't match any more
+
+
+class Held:
+    """A state's list and timers, as a processor sees those of one key."""
+
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        self.lists[name] = held = []
+
+        class State:
+            get, appendValue, clear = staticmethod(lambda: iter(list(held))), staticmethod(held.append), staticmethod(held.clear)
+
+        return State
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_a_key_of_many_rows_has_one_timer_and_a_value_a_batch():
+    r = random.Random(4)
+    held, made = Held(), trials.Windows(1_000_000, 60)
+    made.init(held)
+    rows = [(r.random() < 0.5, f"d{r.randint(0, 5)}", lo, lo + r.choice([0, 5, 90_000]), f"{k}") for k in range(3000) for lo in [r.randint(0, 500_000)]]
+    rows = [(x[0], x[1], x[2], x[3] if x[0] else x[2], x[4]) for x in rows]
+    got, columns = [], ["is_trial", "domain", "lo", "hi", "row"]
+    for k in range(0, 3000, 1000):
+        parts = [pd.DataFrame(rows[k : k + 600], columns=columns), pd.DataFrame(rows[k + 600 : k + 1000], columns=columns)]
+        got += [tuple(x) for frame in made.handleInputRows(("g", 0), iter(parts), None) for x in frame.itertuples(index=False)]
+    hits = [x for x in rows if not x[0]]
+    assert sorted(got) == sorted((t[4], h[4]) for t in rows if t[0] for h in hits if t[1] == h[1] and t[2] <= h[2] <= t[3]) and len(got) > trials.PAIRS
+    assert held.timers == [1_000_060] and len(held.lists["trials"]) == len(held.lists["hits"]) == 3
+    assert list(made.handleExpiredTimer(("g", 0), None, None)) == [] and not held.lists["trials"] and not held.lists["hits"]
