@@ -8,10 +8,11 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -21,6 +22,7 @@ from cairnfield import schemas as S
 from . import text as T
 
 MAX_BODY_BYTES = 2 * 1024 * 1024  # fixed value: larger bodies are an error
+PART_BYTES = 4 * 1024 * 1024  # of bodies that a task's Python holds at once, beside the batch it reads
 _WINDOWS = {"gzip": 16 + zlib.MAX_WBITS, "x-gzip": 16 + zlib.MAX_WBITS, "deflate": zlib.MAX_WBITS}
 
 
@@ -70,12 +72,26 @@ def decoded(body: bytes | None, encoding: str | None) -> tuple[bytes | None, str
     return data, None
 
 
-@F.pandas_udf(StructType([StructField("body", BinaryType()), StructField("error", StringType())]))
-def decode_body(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Bodies with gzip and deflate undone, and the errors."""
+def in_parts[X](values: Iterable[X], size: Callable[[X], int]) -> Iterator[list[X]]:
+    """All values in order, in lists that end with the value that brings them to PART_BYTES."""
+    part, held = [], 0
+    for x in values:
+        part.append(x)
+        held += size(x)
+        if held >= PART_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+@F.arrow_udf(StructType([StructField("body", BinaryType()), StructField("error", StringType())]))
+def decode_body(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Bodies with gzip and deflate undone, and the errors; handed on part by part, however large a batch is unpacked."""
     for body, encoding in batches:
-        made = [decoded(b, e) for b, e in zip(body, encoding, strict=True)]
-        yield pd.DataFrame({"body": pd.Series([x for x, _ in made], dtype="object"), "error": pd.Series([x for _, x in made], dtype="object")})
+        made = (decoded(b.as_py(), e.as_py()) for b, e in zip(body, encoding, strict=True))
+        for part in in_parts(made, lambda x: len(x[0] or b"")):
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in part], pa.binary()), pa.array([x for _, x in part], pa.string())], ["body", "error"])
 
 
 def body_text(body: Column) -> Column:

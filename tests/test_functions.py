@@ -1,9 +1,11 @@
 import base64
 import gzip
+import hashlib
 import tracemalloc
 import json
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,18 @@ def test_bombs_are_not_unpacked():
     assert http.decoded(gzip.compress(b"x")[:-9], "gzip")[1] == "decode_error" and http.decoded(b"x" * (http.MAX_BODY_BYTES + 1), None) == (None, "body_too_large")
 
 
+def test_a_batch_of_bodies_is_handed_on_in_parts(spark):
+    raw = [None if k % 7 == 0 else bytes([65 + k % 20]) * 1_000_000 for k in range(40)]
+    packed = [None if x is None else gzip.compress(x, 1) for x in raw]
+    batch = (pa.array(packed, pa.binary()), pa.array(["gzip"] * 40, pa.string()))
+    parts = list(http.decode_body.func(iter([batch, (batch[0][:0], batch[1][:0])])))
+    assert [x["body"] for part in parts for x in part.to_pylist()] == raw
+    assert len(parts) > 5 and max(part.nbytes for part in parts) < http.PART_BYTES + http.MAX_BODY_BYTES + 10_000
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(packed)], "k int, b binary").coalesce(1)
+    out = rows.select("k", F.sha2(http.decode_body("b", F.lit("gzip"))["body"], 256).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in out} == {k: None if x is None else hashlib.sha256(x).hexdigest() for k, x in enumerate(raw)}
+
+
 def test_bodies_that_are_no_utf8(spark):
     out = spark.createDataFrame([(b"na\xefve \xff",), ("naïve".encode(),)], "b binary").select(http.body_text(F.col("b")).alias("t")).collect()
     assert [r["t"] for r in out] == ["na\ufffdve \ufffd", "naïve"]
